@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language_id, media, packing, substring_dedup, suffix_dedup
+from . import chat, decontamination, language_id, lm_scoring, media, near_dedup, packing, quality, substring_dedup, suffix_dedup
 from .common import documents
 
 
@@ -30,6 +30,19 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("rid")
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    return lm_scoring.scores(documents(spark, sf_dir), held_out)
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(documents(spark, sf_dir)).drop("rid")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeated_bytes(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -56,7 +69,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op6_suffix_dedup, op7_language_id, op8_media, op9_chat, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_quality, op4_lm_scoring, op5_near_dedup, op6_suffix_dedup, op7_language_id, op8_media, op9_chat, op10_substring_dedup)}
 
 ORACLE = {
     "op9_chat": """
