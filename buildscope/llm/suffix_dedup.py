@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import superkmer as K
 from .substring_dedup import merged, sha256
 
-WIDTH, GRAM = 50, 12
+WIDTH, GRAM = 50, 10
 
 
 class RangeMinimum:

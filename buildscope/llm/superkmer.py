@@ -36,7 +36,7 @@ from . import common as C
 #: Tokens of a document taken at a time; longer ones are cut with an overlap of W - 1.
 SEGMENT = 1 << 20
 #: Bytes of text hashed at a time, and bytes of pieces gathered before they are sent.
-CHUNK, FLUSH = 2 << 20, 24 << 20
+CHUNK, FLUSH = 1 << 20, 16 << 20
 #: A minimiser is hot if its pieces are more than this share of a mean bucket's.
 HOT_SHARE = 0.5
 
@@ -117,36 +117,33 @@ def chunks(batches: Iterator[pa.RecordBatch], words: bool, width: int) -> Iterat
             yield ready()
 
 
-def pack(columns: dict[str, np.ndarray], text: bytes) -> bytes:
-    """Columns and a text as one compressed string."""
-    head = b"".join(a.tobytes() for a in columns.values())
+def pack(columns: dict[str, np.ndarray], text: bytes, level: int = 3) -> bytes:
+    """Columns and a text as one compressed string; a column's bytes of equal rank stand together."""
+    head = b"".join(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in columns.values())
     sizes = np.array([len(text), *(len(a) for a in columns.values())], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(sizes + head + text)
+    return zstandard.ZstdCompressor(level=level).compress(sizes + head + text)
 
 
 def unpack(blob: bytes, kinds: dict[str, type]) -> tuple[dict[str, np.ndarray], bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     size = np.frombuffer(raw, np.int64, len(kinds) + 1)
     at, out = size.nbytes, {}
-    for (name, kind), n in zip(kinds.items(), size[1:], strict=True):
-        out[name] = np.frombuffer(raw, kind, n, at)
-        at += out[name].nbytes
-    return out, raw[at : at + size[0]]
+    for (name, kind), n in zip(kinds.items(), size[1:].tolist(), strict=True):
+        width = np.dtype(kind).itemsize
+        out[name] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel()
+        at += n * width
+    return out, raw[at : at + int(size[0])]
 
 
-PIECE = {"id": np.int64, "rid": np.int64, "docs": np.uint32, "start": np.uint32, "windows": np.uint16, "left": np.uint16, "tag": np.uint32, "length": np.uint32}
+PIECE = {"id": np.int64, "rid": np.int64, "docs": np.uint32, "start": np.uint32, "windows": np.uint16, "left": np.uint16}
 DONE = {"id": np.int64, "rid": np.int64, "docs": np.uint32, "start": np.uint32, "windows": np.uint32}
-
-
-def _table(ids, rids, docs):
-    """Distinct rows in order of first use, and each entry's index into them as differences."""
-    keys = np.unique(docs, return_inverse=True)
-    return ids[keys[0]], rids[keys[0]], np.diff(keys[1].ravel(), prepend=0).astype(np.uint32)
+#: Parts with the ids as differences, which take fewer bytes.
+LEVEL = 6
 
 
 def _whose(got: dict) -> tuple[np.ndarray, np.ndarray]:
     at = np.cumsum(got["docs"], dtype=np.uint32)
-    return got["id"][at], got["rid"][at]
+    return np.cumsum(got["id"])[at], got["rid"][at]
 
 
 def _send(words: bool, width: int, gram: int, parts: int, subs: int, hot: np.ndarray) -> Callable:
@@ -159,7 +156,7 @@ def _send(words: bool, width: int, gram: int, parts: int, subs: int, hot: np.nda
         def flush():
             # by documents in ascending order, so that the first holder of a piece is the least
             text = [p for h in held for p in h[0]]
-            ids, rids, start, windows, left, tag, bucket = (np.concatenate([h[k] for h in held]) for k in range(1, 8))
+            ids, rids, start, windows, left, bucket = (np.concatenate([h[k] for h in held]) for k in range(1, 7))
             order = np.argsort(ids, kind="stable")
             seen: dict[bytes, int] = {}
             owner = np.empty(len(text), np.int64)
@@ -175,14 +172,11 @@ def _send(words: bool, width: int, gram: int, parts: int, subs: int, hot: np.nda
             send = order[~repeated[order]]
             send = send[np.argsort(bucket[send], kind="stable")]
             for idx in np.split(send, np.flatnonzero(np.diff(bucket[send])) + 1) if len(send) else ():
-                parts_ = [text[i] for i in idx.tolist()]
-                key = ids[idx] * 1
-                _, first = np.unique(np.stack([key, rids[idx]]), axis=1, return_inverse=True)
-                order_ = np.argsort(first.ravel(), kind="stable")
-                idx, parts_ = idx[order_], [parts_[i] for i in order_.tolist()]
-                u, at = np.unique(first.ravel()[order_], return_index=True)
-                columns = {"id": ids[idx][at], "rid": rids[idx][at], "docs": np.diff(first.ravel()[order_], prepend=0).astype(np.uint32), "start": start[idx].astype(np.uint32), "windows": windows[idx].astype(np.uint16), "left": left[idx].astype(np.uint16), "tag": tag[idx], "length": np.fromiter(map(len, parts_), np.uint32, len(parts_))}
-                add(int(bucket[idx[0]]) // subs, int(bucket[idx[0]]), 0, pack(columns, b"".join(parts_)))
+                idx = idx[np.lexsort((start[idx], rids[idx], ids[idx]))]
+                new = np.ones(len(idx), bool)
+                new[1:] = (ids[idx[1:]] != ids[idx[:-1]]) | (rids[idx[1:]] != rids[idx[:-1]])
+                columns = {"id": np.diff(ids[idx[new]], prepend=0), "rid": rids[idx[new]], "docs": np.append(0, new[1:]).astype(np.uint32), "start": start[idx].astype(np.uint32), "windows": windows[idx].astype(np.uint16), "left": left[idx].astype(np.uint16)}
+                add(int(bucket[idx[0]]) // subs, int(bucket[idx[0]]), 0, pack(columns, (b"\n" if words else b"").join([text[i] for i in idx.tolist()]), LEVEL))
             gone = np.flatnonzero(repeated)
             if len(gone):
                 spot = (C.mix(rids[gone].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
@@ -190,7 +184,7 @@ def _send(words: bool, width: int, gram: int, parts: int, subs: int, hot: np.nda
                 for idx in np.split(gone, np.flatnonzero(np.diff(spot)) + 1):
                     new = np.ones(len(idx), bool)
                     new[1:] = (np.diff(ids[idx]) != 0) | (np.diff(rids[idx]) != 0)
-                    columns = {"id": ids[idx[new]], "rid": rids[idx[new]], "docs": np.append(0, new[1:]).astype(np.uint32), "start": start[idx].astype(np.uint32), "windows": windows[idx].astype(np.uint32)}
+                    columns = {"id": np.diff(ids[idx[new]], prepend=0), "rid": rids[idx[new]], "docs": np.append(0, new[1:]).astype(np.uint32), "start": start[idx].astype(np.uint32), "windows": windows[idx].astype(np.uint32)}
                     add(int(C.mix(rids[idx[:1]].view(np.uint64))[0] % np.uint64(parts)), -1, 1, pack(columns, b""))
             return pa.RecordBatch.from_arrays([pa.array(out["pid"], pa.int32()), pa.array(out["sub"], pa.int32()), pa.array(out["kind"], pa.int32()), pa.array(out["blob"], pa.binary())], names=list(out))
 
@@ -211,7 +205,7 @@ def _send(words: bool, width: int, gram: int, parts: int, subs: int, hot: np.nda
             segment = np.searchsorted(bounds, first, side="right") - 1
             row = whose[segment]
             spread = C.mix(anchor ^ np.uint64(0xA0761D6478BD642F))
-            held.append(([text[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], ids[row], rids[row], first - bounds[segment] + froms[segment], windows, place - first, (spread & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((spread >> np.uint64(32)) % np.uint64(total)).astype(np.int64)))
+            held.append(([text[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], ids[row], rids[row], first - bounds[segment] + froms[segment], windows, place - first, ((spread >> np.uint64(32)) % np.uint64(total)).astype(np.int64)))
             size += int((end - begin).sum())
             if size >= FLUSH:
                 yield flush()
@@ -234,20 +228,38 @@ def _spans(ids, rids, start, windows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[cut]), pa.array(rids[cut]), pa.array([pairs[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["doc_id", "rid", "spans"])
 
 
-def _answer(width: int, least: Callable) -> Callable:
+def anchors(texts: list[bytes], windows: np.ndarray, left: np.ndarray, words: bool, width: int, gram: int) -> np.ndarray:
+    """A hash of each piece's minimiser."""
+    if words:
+        whole = b" ".join(texts) + b" "
+        ends = np.flatnonzero(np.frombuffer(whole, np.uint8) == 32)
+        starts = np.append(0, ends[:-1] + 1)
+        at = np.cumsum(windows + width - 1) - (windows + width - 1) + left
+        begin, end = starts[at], ends[at + gram - 1]
+    else:
+        whole = b"".join(texts)
+        begin = np.cumsum(windows + width - 1) - (windows + width - 1) + left
+        end = begin + gram
+    return C.span_hash(C.prefix_hash(C.byte_values(whole)), begin, end)
+
+
+def _answer(words: bool, width: int, gram: int, least: Callable) -> Callable:
     """Spans of the windows that a smaller document has, bucket by bucket."""
 
     def bucket(blobs: list[bytes]):
         text: list[bytes] = []
-        columns: dict[str, list] = {k: [] for k in ("ids", "rids", "start", "windows", "left", "tag")}
+        columns: dict[str, list] = {k: [] for k in ("ids", "rids", "start", "windows", "left")}
         for blob in blobs:
             got, raw = unpack(blob, PIECE)
-            ends = np.cumsum(got["length"], dtype=np.int64)
-            text += [raw[a:b] for a, b in zip((ends - got["length"]).tolist(), ends.tolist(), strict=True)]
+            if words:
+                text += raw.split(b"\n")
+            else:
+                ends = np.cumsum(got["windows"].astype(np.int64) + width - 1)
+                text += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
             ids, rids = _whose(got)
-            for k, v in zip(columns, (ids, rids, got["start"], got["windows"], got["left"], got["tag"]), strict=True):
+            for k, v in zip(columns, (ids, rids, got["start"], got["windows"], got["left"]), strict=True):
                 columns[k].append(v)
-        ids, rids, start, windows, left, tag = (np.concatenate(v) for v in columns.values())
+        ids, rids, start, windows, left = (np.concatenate(v) for v in columns.values())
         seen: dict[bytes, int] = {}
         owner = np.empty(len(text), np.int64)
         for i in np.argsort(ids, kind="stable").tolist():
@@ -256,7 +268,8 @@ def _answer(width: int, least: Callable) -> Callable:
         out = [(ids[whole], rids[whole], start[whole], windows[whole])]
         # A window that two different pieces share has one minimiser, so a piece whose minimiser stands alone is done.
         own = np.flatnonzero(owner == np.arange(len(owner)))
-        _, group, count = np.unique(tag[own], return_inverse=True, return_counts=True)
+        tag = anchors([text[i] for i in own.tolist()], windows[own].astype(np.int64), left[own].astype(np.int64), words, width, gram)
+        _, group, count = np.unique(tag, return_inverse=True, return_counts=True)
         own = own[count[group.ravel()] > 1]
         if len(own):
             i, offset, run = least([text[i] for i in own.tolist()], ids[own], windows[own].astype(np.int64), left[own].astype(np.int64))
@@ -309,7 +322,7 @@ def hot_anchors(rows: DataFrame, words: bool, width: int, gram: int, buckets: in
             few = got[1] > 1  # what stands once in 2 MB can't be hot
             yield pa.RecordBatch.from_arrays([pa.array(np.append(got[0][few], np.uint64(0)).view(np.int64)), pa.array(np.append(got[1][few], got[1].sum()).astype(np.int64)), pa.array(np.arange(few.sum() + 1) == few.sum())], names=["anchor", "n", "total"])
 
-    counts = rows.where(F.pmod(F.col("rid"), F.lit(share)) == 0).mapInArrow(count, "anchor long, n long, total boolean").groupBy("anchor", "total").agg(F.sum("n").alias("n"))
+    counts = rows.where(F.pmod(F.shiftright("rid", 8), F.lit(share)) == 0).mapInArrow(count, "anchor long, n long, total boolean").groupBy("anchor", "total").agg(F.sum("n").alias("n"))
     counts = C.stored(counts, "anchors")
     total = counts.where("total").agg(F.sum("n")).first()[0] or 0
     least = max(8.0, HOT_SHARE * total / buckets)
@@ -317,6 +330,13 @@ def hot_anchors(rows: DataFrame, words: bool, width: int, gram: int, buckets: in
     return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
 
+def row_key(doc=None, text=None):
+    """Tells rows of one doc_id apart: 64 bits where there is no doc_id, else 32, which travel as four bytes."""
+    doc, text = F.col("doc_id") if doc is None else doc, F.col("text") if text is None else text
+    h = F.xxhash64(doc, text)
+    return F.when(doc.isNull(), h).otherwise(h.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 def repeated_spans(docs: DataFrame, words: bool, width: int, gram: int, least: Callable) -> DataFrame:
     """Rows (doc_id, rid, spans): runs of windows of each row that also start in a smaller doc_id.
 
@@ -325,17 +345,17 @@ def repeated_spans(docs: DataFrame, words: bool, width: int, gram: int, least: C
     """
     spark = docs.sparkSession
     parts = C.shuffle_partitions(spark)
-    subs = max(1, 512 // parts)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", C.row_id())
+    subs = max(1, 256 // parts)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", row_key())
     hot = hot_anchors(rows, words, width, gram, parts * subs)
     sent = rows.mapInArrow(_send(words, width, gram, parts, subs, hot), SENT)
-    return sent.repartitionById(parts, F.col("pid")).sortWithinPartitions("sub").mapInArrow(_answer(width, least), SPANS)
+    return sent.repartitionById(parts, F.col("pid")).sortWithinPartitions("sub").mapInArrow(_answer(words, width, gram, least), SPANS)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with rid and the list of its packed spans (null if none)."""
     by = spans.groupBy("doc_id", "rid").agg(F.collect_list("spans").alias("spans"))
-    left = docs.withColumn("rid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)))
+    left = docs.withColumn("rid", row_key(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)))
     return left.join(by.withColumnRenamed("doc_id", "_id"), ["_id", "rid"], "left").drop("_id")
 
 
