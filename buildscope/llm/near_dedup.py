@@ -13,9 +13,10 @@ from tables of 2**16 quantiles, indexed by a hash of shingle and sample.
 
 Texts that agree in all samples of a band are candidates. Candidates are compared with
 their true weights, and linked at a similarity of THRESHOLD or more; a class is a
-component of links. Candidates of a band value are first compared with one of them, which
-changes in each round, and a round takes only values whose candidates are still in several
-classes. After STARS rounds all pairs of candidates in different classes are compared. So
+component of links. Candidates of a band value are first compared with one of them: with
+the one that meets most others over all bands, which in a group of near copies is their
+common original or near it, then with others by hash. A round takes only values whose
+candidates are still in several classes. After STARS rounds all pairs of candidates in different classes are compared. So
 no link between candidates is lost, and a group of any size in which most texts are alike
 costs as many comparisons as it has texts, not pairs.
 
@@ -192,13 +193,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     banded = every.select("node", F.explode("bands").alias("band"))
     # the values of two nodes or more, the nodes of which are compared
     shared = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("band")
-    members = C.stored(banded.join(shared, "band"), "members")
+    met = banded.join(shared, "band").groupBy("band").agg(F.count(F.lit(1)).alias("met"))
+    members = banded.join(met, "band")
+    members = C.stored(members.join(members.groupBy("node").agg(F.sum("met").alias("score")), "node").select("band", "node", "score"), "members")
     nodes = members.select("node").distinct()
     texts = C.stored(keyed.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     links, tried, labels, left = None, None, None, members.withColumn("label", F.col("node"))
     for turn in range(STARS + 1):
         if turn < STARS:  # every node with one of its value's
-            order = F.struct(F.xxhash64(F.lit(turn), "node"), "node")
+            order = F.struct(-F.col("score") if turn == 0 else F.xxhash64(F.lit(turn), "node"), "node")
             centre = left.groupBy("band").agg(F.min_by(F.struct("node", "label"), order).alias("centre"))
             pairs = left.join(centre, "band").where("label != centre.label").select("node", F.col("centre.node").alias("other"))
         else:  # all that are in different classes
@@ -212,7 +215,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         found = C.stored(compared(pairs, texts, weigh, threshold), "links")
         links = found if links is None else links.unionByName(found)
         labels = C.stored(components(links), "labels")
-        left = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+        left = members.join(labels, "node", "left").select("band", "node", "score", F.coalesce("label", "node").alias("label"))
         split = left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
         left = C.stored(left.join(split, "band"), "left")
         if left.isEmpty():
