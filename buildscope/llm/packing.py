@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from . import common as C
 
 LENGTH, END = 2048, 1
-#: Words whose ids a worker keeps.
-CACHE = 400_000
+#: Words whose ids a worker keeps: the first that it met, which the frequent ones are among.
+CACHE = 800_000
 _ids: dict[str, tuple] = {}
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, bucket int"
@@ -46,12 +46,15 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers."""
     tokenizer, known = encoder(path)
     split = [t.split() for t in texts]
-    if len(known) > CACHE:
-        known.clear()
-    if missing := list(set().union(*split).difference(known)):
-        for word, got in zip(missing, tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False), strict=True):
-            known[word] = np.array(got.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    if not (missing := list(set().union(*split).difference(known))):
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+    encoded = tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
+    new = {word: np.array(got.ids, "<u4").tobytes() for word, got in zip(missing, encoded, strict=True)}
+    if len(known) < CACHE:
+        known |= new
+        _ids[path] = (tokenizer, known)
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+    return [b"".join([known[w] if w in known else new[w] for w in words]) for words in split]
 
 
 def cuts(n: int, length: int) -> list[int]:
@@ -60,7 +63,7 @@ def cuts(n: int, length: int) -> list[int]:
     return [length] * (n // length) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, step: int = 500) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, step: int = 2000) -> DataFrame:
     """A row for each piece; ids holds its token ids as little-endian 32-bit integers."""
     if length & (length - 1):
         raise ValueError("length must be a power of two")
