@@ -229,8 +229,7 @@ def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without all but the least doc_id of each class; of rows that repeat in that doc_id, one stays."""
     own = classes(docs, threshold)
     kept = own.where("doc_id <=> class_id").groupBy("class_id").agg(F.min("rid").alias("rid")).withColumnRenamed("class_id", "_id")
-    # a class without any doc_id: each row is its own class only if it has no word
-    key = docs.withColumn("rid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumn("_id", F.col("doc_id").cast("long"))
-    kept = kept.withColumnRenamed("_id", "_kept").withColumnRenamed("rid", "_rid")
-    out = key.join(kept, (F.col("_id").eqNullSafe(F.col("_kept"))) & (F.col("rid") == F.col("_rid")), "left_semi").drop("_id")
-    return out.dropDuplicates(["doc_id", "rid"]).select(*docs.columns)
+    key = docs.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumn("__id", F.col("doc_id").cast("long"))
+    kept = kept.withColumnsRenamed({"_id": "__kept", "rid": "__kept_rid"})
+    out = key.join(kept, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__rid") == F.col("__kept_rid")), "left_semi")
+    return out.dropDuplicates(["__id", "__rid"]).select(*docs.columns)

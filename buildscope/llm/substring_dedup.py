@@ -64,7 +64,7 @@ def remove_repeated_words(docs: DataFrame, width: int = WIDTH, gram: int = GRAM)
     def keep(batches):
         for batch in batches:
             ids, words, removed, kept = batch.column("doc_id"), [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
                 own = (text or "").encode().split()
                 gone = K.covered(spans, len(own), width) if spans else None
                 words.append(len(own))
@@ -74,7 +74,7 @@ def remove_repeated_words(docs: DataFrame, width: int = WIDTH, gram: int = GRAM)
 
     spans = K.repeated_spans(docs, True, width, gram, sorted_windows(width))
     rows = K.with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), spans)
-    return rows.select("doc_id", "text", "spans").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")
+    return rows.select("doc_id", "text", "__spans").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def sha256(data: bytes) -> str:

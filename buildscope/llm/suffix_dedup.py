@@ -119,7 +119,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM)
     def keep(batches):
         for batch in batches:
             size, removed, runs, kept = [], [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 size.append(len(raw))
                 if not spans:
@@ -133,7 +133,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM)
 
     spans = K.repeated_spans(docs, False, width, gram, repeated_windows(width, gram))
     rows = K.with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), spans)
-    return rows.select("doc_id", "text", "spans").mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.select("doc_id", "text", "__spans").mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def cleaned_documents(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -143,7 +143,7 @@ def cleaned_documents(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     def cut(batches):
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
                 if spans:
                     raw = text.encode()
                     gone = K.covered(spans, len(raw), width)
@@ -158,7 +158,7 @@ def cleaned_documents(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     kinds = docs.withColumn("text", F.col("text").cast("string"))
     if "n_chars" in names:
         kinds = kinds.withColumn("n_chars", F.col("n_chars").cast("long"))
-    return K.with_spans(kinds, spans).select(*names, "spans").mapInArrow(cut, kinds.schema)
+    return K.with_spans(kinds, spans).select(*names, "__spans").mapInArrow(cut, kinds.schema)
 
 
 __all__ = ["cleaned_documents", "remove_repeated_bytes", "repeated_windows", "sha256"]

@@ -353,10 +353,10 @@ def repeated_spans(docs: DataFrame, words: bool, width: int, gram: int, least: C
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with rid and the list of its packed spans (null if none)."""
-    by = spans.groupBy("doc_id", "rid").agg(F.collect_list("spans").alias("spans"))
-    left = docs.withColumn("rid", row_key(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)))
-    return left.join(by.withColumnRenamed("doc_id", "_id"), ["_id", "rid"], "left").drop("_id")
+    """docs with the list of each row's packed spans as __spans (null if none)."""
+    by = spans.groupBy("doc_id", "rid").agg(F.collect_list("spans").alias("__spans")).withColumnsRenamed({"doc_id": "__id", "rid": "__rid"})
+    left = docs.withColumn("__rid", row_key(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)))
+    return left.join(by, ["__id", "__rid"], "left").drop("__id", "__rid")
 
 
 def covered(spans: list[bytes] | None, tokens: int, width: int) -> np.ndarray:
