@@ -36,7 +36,7 @@ from . import common as C
 #: Tokens of a document taken at a time; longer ones are cut with an overlap of W - 1.
 SEGMENT = 1 << 20
 #: Bytes of text hashed at a time, and bytes of pieces gathered before they are sent.
-CHUNK, FLUSH = 1 << 20, 16 << 20
+CHUNK, FLUSH = 1 << 19, 8 << 20
 #: A minimiser is hot if its pieces are more than this share of a mean bucket's.
 HOT_SHARE = 0.5
 
