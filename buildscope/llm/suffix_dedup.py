@@ -27,6 +27,7 @@ after all others; extra columns are ignored by name.
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,24 +41,28 @@ WIDTH, GRAM = 50, 10
 
 
 class RangeMinimum:
-    """Least of values[a+1 .. b], by a table of powers of two."""
-
-    def __init__(self, values: np.ndarray):
-        self.levels = [values]
-        step = 1
-        while 2 * step <= len(values):
-            last = self.levels[-1]
-            new = last.copy()
+    """Least of values[a+1 .. b], by a table of powers of two up to the longest range asked for."""
+
+    def __init__(self, values: np.ndarray, longest: int):
+        n, levels = len(values), longest.bit_length()
+        self.table = np.empty((levels, n), values.dtype)
+        self.table[0] = values
+        for k in range(1, levels):
+            step, last, new = 1 << (k - 1), self.table[k - 1], self.table[k]
             np.minimum(last[:-step], last[step:], out=new[:-step])
-            self.levels.append(new)
-            step *= 2
-        self.table = np.stack(self.levels)
+            new[-step:] = last[-step:]
 
-    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        k = np.frexp((b - a).astype(np.float64))[1] - 1
+    def between(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+        k = _log2(len(self.table))[length]
         return np.minimum(self.table[k, a + 1], self.table[k, b - (1 << k) + 1])
 
 
+@cache
+def _log2(levels: int) -> np.ndarray:
+    """Rounded-down logarithm of each length below 2**levels."""
+    return np.frexp(np.arange(1 << levels).astype(np.float64))[1] - 1
+
+
 def columns(texts: list[bytes], left: np.ndarray, width: int, gram: int):
     """The rounds of the construction: yields (column, order of the pieces, common prefixes, symbols)."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -68,7 +73,7 @@ def columns(texts: list[bytes], left: np.ndarray, width: int, gram: int):
     at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     grid[np.repeat(np.arange(len(texts)), lengths), at + np.repeat(-left - low, lengths)] = flat
     with tempfile.TemporaryFile() as symbols, tempfile.TemporaryFile() as transform, tempfile.TemporaryFile() as prefixes:
-        grid[:, ::-1].T.tofile(symbols)  # the last column comes first
+        np.ascontiguousarray(grid[:, ::-1].T).tofile(symbols)  # the last column comes first
         del grid, flat, at
         symbols.seek(0)
         order, common = np.zeros(0, np.int64), np.zeros(0, np.uint8)
@@ -85,7 +90,9 @@ def columns(texts: list[bytes], left: np.ndarray, width: int, gram: int):
             longer = np.zeros(len(was), np.uint8)
             same = np.flatnonzero(got[1:] == got[:-1]) + 1
             if len(same):
-                longer[same] = np.minimum(RangeMinimum(common).between(was[same - 1], was[same]), 254) + 1
+                begin, end = was[same - 1], was[same]
+                length = end - begin
+                longer[same] = np.minimum(RangeMinimum(common, int(length.max())).between(begin, end, length), 254) + 1
             longer.tofile(prefixes)
             order, common = order[was], longer
             if column <= 0 and column + width >= gram:
