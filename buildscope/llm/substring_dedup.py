@@ -62,18 +62,20 @@ def remove_repeated_words(docs: DataFrame, width: int = WIDTH, gram: int = GRAM)
     """Rows (doc_id, n_words, n_removed, kept): the words that stay, joined by one space."""
 
     def keep(batches):
+        coder = K.decompressor(shared.value)
         for batch in batches:
             ids, words, removed, kept = batch.column("doc_id"), [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
-                own = (text or "").encode().split()
+            for text, spans in zip(K.texts(batch, coder), batch.column("__spans").to_pylist(), strict=True):
+                own = (text or b"").split()
                 gone = K.covered(spans, len(own), width) if spans else None
                 words.append(len(own))
                 removed.append(0 if gone is None else int(gone.sum()))
                 kept.append(b" ".join(own if gone is None else [w for w, g in zip(own, gone.tolist(), strict=True) if not g]).decode())
             yield pa.RecordBatch.from_arrays([ids, pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    spans = K.repeated_spans(docs, True, width, gram, sorted_windows(width))
-    rows = K.with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), spans)
+    shared = K.dictionary(docs)
+    spans = K.repeated_spans(docs, True, width, gram, sorted_windows(width), shared)
+    rows = K.with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), spans, shared)
     return rows.select("doc_id", "text", "__spans").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")
 
 

@@ -124,10 +124,11 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM)
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept): kept is binary, a cut may fall inside a character."""
 
     def keep(batches):
+        coder = K.decompressor(shared.value)
         for batch in batches:
             size, removed, runs, kept = [], [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
-                raw = (text or "").encode()
+            for text, spans in zip(K.texts(batch, coder), batch.column("__spans").to_pylist(), strict=True):
+                raw = text or b""
                 size.append(len(raw))
                 if not spans:
                     removed.append(0), runs.append(0), kept.append(raw)
@@ -138,8 +139,9 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM)
                 kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    spans = K.repeated_spans(docs, False, width, gram, repeated_windows(width, gram))
-    rows = K.with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), spans)
+    shared = K.dictionary(docs)
+    spans = K.repeated_spans(docs, False, width, gram, repeated_windows(width, gram), shared)
+    rows = K.with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), spans, shared)
     return rows.select("doc_id", "text", "__spans").mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
@@ -148,24 +150,24 @@ def cleaned_documents(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     names = docs.columns
 
     def cut(batches):
+        coder = K.decompressor(shared.value)
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+            for text, spans in zip(K.texts(batch, coder), batch.column("__spans").to_pylist(), strict=True):
                 if spans:
-                    raw = text.encode()
-                    gone = K.covered(spans, len(raw), width)
-                    text = np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
-                out.append(text)
+                    text = np.frombuffer(text, np.uint8)[~K.covered(spans, len(text), width)].tobytes()
+                out.append(None if text is None else text.decode("utf-8", "ignore"))
             at = {n: batch.column(n) for n in names} | {"text": pa.array(out, pa.string())}
             if "n_chars" in at:
                 at["n_chars"] = pa.array([None if t is None else len(t) for t in out], pa.int64())
             yield pa.RecordBatch.from_arrays(list(at.values()), names=list(at))
 
-    spans = K.repeated_spans(docs, False, width, gram, repeated_windows(width, gram))
+    shared = K.dictionary(docs)
+    spans = K.repeated_spans(docs, False, width, gram, repeated_windows(width, gram), shared)
     kinds = docs.withColumn("text", F.col("text").cast("string"))
     if "n_chars" in names:
         kinds = kinds.withColumn("n_chars", F.col("n_chars").cast("long"))
-    return K.with_spans(kinds, spans).select(*names, "__spans").mapInArrow(cut, kinds.schema)
+    return K.with_spans(kinds, spans, shared).select(*names, "__spans").mapInArrow(cut, kinds.schema)
 
 
 __all__ = ["cleaned_documents", "remove_repeated_bytes", "repeated_windows", "sha256"]

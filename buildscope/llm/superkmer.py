@@ -39,6 +39,8 @@ SEGMENT = 1 << 20
 CHUNK, FLUSH = 1 << 19, 8 << 20
 #: A minimiser is hot if its pieces are more than this share of a mean bucket's.
 HOT_SHARE = 0.5
+#: Effort of compression with a dictionary.
+LEVEL = 4
 
 SENT = "pid int, sub int, kind int, blob binary"
 SPANS = "doc_id long, rid long, spans binary"
@@ -117,15 +119,35 @@ def chunks(batches: Iterator[pa.RecordBatch], words: bool, width: int) -> Iterat
             yield ready()
 
 
-def pack(columns: dict[str, np.ndarray], text: bytes, level: int = 3) -> bytes:
+def dictionary(docs: DataFrame, rows: int = 64, length: int = 4096):
+    """A broadcast of at most rows * length characters of the corpus, which compression refers to.
+
+    It shortens what is shuffled and decides no result.
+    """
+    text = F.col("text").cast("string")
+    some = docs.where(F.pmod(F.xxhash64(text), F.lit(64)) == 0).select(F.substring(text, 1, length).alias("text")).limit(rows).collect()
+    return docs.sparkSession.sparkContext.broadcast("\n".join(r[0] or "" for r in some).encode().ljust(64))
+
+
+def compressor(data: bytes, level: int = LEVEL) -> zstandard.ZstdCompressor:
+    own = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    own.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(level=level, dict_data=own)
+
+
+def decompressor(data: bytes) -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+
+
+def pack(columns: dict[str, np.ndarray], text: bytes, coder: zstandard.ZstdCompressor | None = None) -> bytes:
     """Columns and a text as one compressed string; a column's bytes of equal rank stand together."""
     head = b"".join(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in columns.values())
     sizes = np.array([len(text), *(len(a) for a in columns.values())], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=level).compress(sizes + head + text)
+    return (coder or zstandard.ZstdCompressor()).compress(sizes + head + text)
 
 
-def unpack(blob: bytes, kinds: dict[str, type]) -> tuple[dict[str, np.ndarray], bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+def unpack(blob: bytes, kinds: dict[str, type], coder: zstandard.ZstdDecompressor | None = None) -> tuple[dict[str, np.ndarray], bytes]:
+    raw = (coder or zstandard.ZstdDecompressor()).decompress(blob)
     size = np.frombuffer(raw, np.int64, len(kinds) + 1)
     at, out = size.nbytes, {}
     for (name, kind), n in zip(kinds.items(), size[1:].tolist(), strict=True):
@@ -135,23 +157,21 @@ def unpack(blob: bytes, kinds: dict[str, type]) -> tuple[dict[str, np.ndarray],
     return out, raw[at : at + int(size[0])]
 
 
+#: Of ids there are the differences, which take fewer bytes.
 PIECE = {"id": np.int64, "rid": np.int64, "docs": np.uint32, "start": np.uint32, "windows": np.uint16, "left": np.uint16}
 DONE = {"id": np.int64, "rid": np.int64, "docs": np.uint32, "start": np.uint32, "windows": np.uint32}
-#: Parts with the ids as differences, which take fewer bytes.
-LEVEL = 6
-
 
 def _whose(got: dict) -> tuple[np.ndarray, np.ndarray]:
     at = np.cumsum(got["docs"], dtype=np.uint32)
     return np.cumsum(got["id"])[at], got["rid"][at]
 
 
-def _send(words: bool, width: int, gram: int, parts: int, subs: int, hot: np.ndarray) -> Callable:
+def _send(words: bool, width: int, gram: int, parts: int, subs: int, hot: np.ndarray, shared) -> Callable:
     total = parts * subs
 
     def run(batches):
         held: list[tuple] = []
-        size = 0
+        size, coder = 0, compressor(shared.value)
 
         def flush():
             # by documents in ascending order, so that the first holder of a piece is the least
@@ -176,7 +196,7 @@ def _send(words: bool, width: int, gram: int, parts: int, subs: int, hot: np.nda
                 new = np.ones(len(idx), bool)
                 new[1:] = (ids[idx[1:]] != ids[idx[:-1]]) | (rids[idx[1:]] != rids[idx[:-1]])
                 columns = {"id": np.diff(ids[idx[new]], prepend=0), "rid": rids[idx[new]], "docs": np.append(0, new[1:]).astype(np.uint32), "start": start[idx].astype(np.uint32), "windows": windows[idx].astype(np.uint16), "left": left[idx].astype(np.uint16)}
-                add(int(bucket[idx[0]]) // subs, int(bucket[idx[0]]), 0, pack(columns, (b"\n" if words else b"").join([text[i] for i in idx.tolist()]), LEVEL))
+                add(int(bucket[idx[0]]) // subs, int(bucket[idx[0]]), 0, pack(columns, (b"\n" if words else b"").join([text[i] for i in idx.tolist()]), coder))
             gone = np.flatnonzero(repeated)
             if len(gone):
                 spot = (C.mix(rids[gone].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
@@ -185,7 +205,7 @@ def _send(words: bool, width: int, gram: int, parts: int, subs: int, hot: np.nda
                     new = np.ones(len(idx), bool)
                     new[1:] = (np.diff(ids[idx]) != 0) | (np.diff(rids[idx]) != 0)
                     columns = {"id": np.diff(ids[idx[new]], prepend=0), "rid": rids[idx[new]], "docs": np.append(0, new[1:]).astype(np.uint32), "start": start[idx].astype(np.uint32), "windows": windows[idx].astype(np.uint32)}
-                    add(int(C.mix(rids[idx[:1]].view(np.uint64))[0] % np.uint64(parts)), -1, 1, pack(columns, b""))
+                    add(int(C.mix(rids[idx[:1]].view(np.uint64))[0] % np.uint64(parts)), -1, 1, pack(columns, b"", coder))
             return pa.RecordBatch.from_arrays([pa.array(out["pid"], pa.int32()), pa.array(out["sub"], pa.int32()), pa.array(out["kind"], pa.int32()), pa.array(out["blob"], pa.binary())], names=list(out))
 
         for text, at, values, bounds, whose, froms, ids, rids in chunks(batches, words, width):
@@ -243,14 +263,14 @@ def anchors(texts: list[bytes], windows: np.ndarray, left: np.ndarray, words: bo
     return C.span_hash(C.prefix_hash(C.byte_values(whole)), begin, end)
 
 
-def _answer(words: bool, width: int, gram: int, least: Callable) -> Callable:
+def _answer(words: bool, width: int, gram: int, least: Callable, shared) -> Callable:
     """Spans of the windows that a smaller document has, bucket by bucket."""
 
-    def bucket(blobs: list[bytes]):
+    def bucket(blobs: list[bytes], coder):
         text: list[bytes] = []
         columns: dict[str, list] = {k: [] for k in ("ids", "rids", "start", "windows", "left")}
         for blob in blobs:
-            got, raw = unpack(blob, PIECE)
+            got, raw = unpack(blob, PIECE, coder)
             if words:
                 text += raw.split(b"\n")
             else:
@@ -289,21 +309,21 @@ def _answer(words: bool, width: int, gram: int, least: Callable) -> Callable:
         return _spans(ids, rids, start, windows) if len(ids) else None
 
     def run(batches):
-        current, blobs = None, []
+        current, blobs, coder = None, [], decompressor(shared.value)
         for batch in batches:
             for sub, kind, blob in zip(batch.column("sub").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
                 if kind == 1:
-                    got, _ = unpack(blob.as_py(), DONE)
+                    got, _ = unpack(blob.as_py(), DONE, coder)
                     ids, rids = _whose(got)
                     yield _spans(ids, rids, got["start"], got["windows"])
                     continue
                 if sub != current and blobs:
-                    if (rows := bucket(blobs)) is not None:
+                    if (rows := bucket(blobs, coder)) is not None:
                         yield rows
                     blobs = []
                 current = sub
                 blobs.append(blob.as_py())
-        if blobs and (rows := bucket(blobs)) is not None:
+        if blobs and (rows := bucket(blobs, coder)) is not None:
             yield rows
 
     return run
@@ -337,26 +357,40 @@ def row_key(doc=None, text=None):
     return F.when(doc.isNull(), h).otherwise(h.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def repeated_spans(docs: DataFrame, words: bool, width: int, gram: int, least: Callable) -> DataFrame:
+def repeated_spans(docs: DataFrame, words: bool, width: int, gram: int, least: Callable, shared) -> DataFrame:
     """Rows (doc_id, rid, spans): runs of windows of each row that also start in a smaller doc_id.
 
     ``least(texts, ids, windows, left)`` gets different pieces and returns arrays (piece,
     first window, windows) for the runs whose windows stand in a piece with a smaller id.
+    ``shared`` is a dictionary.
     """
     spark = docs.sparkSession
     parts = C.shuffle_partitions(spark)
     subs = max(1, 256 // parts)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", row_key())
     hot = hot_anchors(rows, words, width, gram, parts * subs)
-    sent = rows.mapInArrow(_send(words, width, gram, parts, subs, hot), SENT)
-    return sent.repartitionById(parts, F.col("pid")).sortWithinPartitions("sub").mapInArrow(_answer(words, width, gram, least), SPANS)
+    sent = rows.mapInArrow(_send(words, width, gram, parts, subs, hot, shared), SENT)
+    return sent.repartitionById(parts, F.col("pid")).sortWithinPartitions("sub").mapInArrow(_answer(words, width, gram, least, shared), SPANS)
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the list of each row's packed spans as __spans (null if none)."""
+def with_spans(docs: DataFrame, spans: DataFrame, shared) -> DataFrame:
+    """docs with the list of each row's packed spans as __spans (null if none) and text compressed; see texts."""
     by = spans.groupBy("doc_id", "rid").agg(F.collect_list("spans").alias("__spans")).withColumnsRenamed({"doc_id": "__id", "rid": "__rid"})
     left = docs.withColumn("__rid", row_key(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)))
-    return left.join(by, ["__id", "__rid"], "left").drop("__id", "__rid")
+
+    def squeeze(batches):
+        coder = compressor(shared.value, 3)
+        for batch in batches:
+            text = pa.array([None if t is None else coder.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
+
+    small = left.mapInArrow(squeeze, left.withColumn("text", F.lit(None).cast("binary")).schema)
+    return small.join(by, ["__id", "__rid"], "left").drop("__id", "__rid")
+
+
+def texts(batch: pa.RecordBatch, coder: zstandard.ZstdDecompressor) -> list[bytes | None]:
+    """The texts of a batch of with_spans in UTF-8."""
+    return [None if t is None else coder.decompress(t) for t in batch.column("text").to_pylist()]
 
 
 def covered(spans: list[bytes] | None, tokens: int, width: int) -> np.ndarray:
