@@ -67,7 +67,7 @@ def fill_sketch(docs: DataFrame) -> tuple[int, np.ndarray]:
             n += batch.num_rows
             for text in batch.column("text").to_pylist():
                 for d, at in enumerate(slots(np.unique(shingles(text)))):
-                    np.add.at(table[d], at, 1)
+                    np.add.at(table[d], at, np.uint32(1))
         return [table.ravel(), np.array([n])]
 
     sketch, n = summed(docs.select("text"), count, [(DEPTH * WIDTH, np.uint32), (1, np.int64)])
