@@ -189,7 +189,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     weigh = Weights(docs.sparkSession, *fill_sketch(rows))
     keyed = rows.withColumn("node", node())
-    every = signatures(keyed, weigh).groupBy("node").agg(F.first("bands").alias("bands"))
+    # read twice below, so stored: its samples are the operator's largest cost
+    every = C.stored(signatures(keyed, weigh).groupBy("node").agg(F.first("bands").alias("bands")), "signatures")
     banded = every.select("node", F.explode("bands").alias("band"))
     # the values of two nodes or more, the nodes of which are compared
     shared = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("band")
