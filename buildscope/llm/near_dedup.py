@@ -16,9 +16,13 @@ their true weights, and linked at a similarity of THRESHOLD or more; a class is
 component of links. Candidates of a band value are first compared with one of them: with
 the one that meets most others over all bands, which in a group of near copies is their
 common original or near it, then with others by hash. A round takes only values whose
-candidates are still in several classes. After STARS rounds all pairs of candidates in different classes are compared. So
-no link between candidates is lost, and a group of any size in which most texts are alike
-costs as many comparisons as it has texts, not pairs.
+candidates are still in several classes. After STARS rounds candidates in different classes
+are compared with each other if they can be similar: in one order of all shingles, from rare
+to frequent, the first shingles of a text, so many that the rest weighs less than THRESHOLD
+of it, are its prefix; two texts whose prefixes share nothing, or whose total weights are
+too far apart, are below THRESHOLD whatever else they share. So no link between candidates
+is lost, a group of any size in which most texts are alike costs as many comparisons as it
+has texts, not pairs, and texts that only share a frequent passage are not compared.
 
 Equal texts are one node from the start and never compared. Defined cases: a null text or
 one without a word is a class of its own, copies included; texts of fewer than five words
@@ -83,13 +87,17 @@ class Weights:
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles and their weights."""
+        return self.counted(text)[:2]
+
+    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct shingles, their weights and document frequencies."""
         if self.key not in _sketch:
             _sketch.clear()
             _sketch[self.key] = unpacked(self.shared.value, np.uint32).reshape(DEPTH, WIDTH)
         table = _sketch[self.key]
         kinds, tf = np.unique(shingles(text), return_counts=True)
         df = np.minimum.reduce([table[d][at] for d, at in enumerate(slots(kinds))]) if len(kinds) else np.zeros(0)
-        return kinds, tf * np.log1p(self.n / np.maximum(df, 1))
+        return kinds, tf * np.log1p(self.n / np.maximum(df, 1)), df
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -166,6 +174,33 @@ def signatures(rows: DataFrame, weigh: Weights) -> DataFrame:
     return rows.select("node", "text").mapInArrow(run, "node binary, bands array<long>")
 
 
+def prefix(kinds: np.ndarray, weights: np.ndarray, df: np.ndarray, threshold: float) -> np.ndarray:
+    """The least set of first shingles, from rare to frequent, that leaves less than threshold of the weight.
+
+    Those of one document are left out of it: the sketch never underestimates, so no other text has them.
+    """
+    order = np.lexsort((kinds, df))
+    rest = weights.sum() - np.cumsum(weights[order])
+    n = int(np.argmax(rest < threshold * weights.sum() * (1 - 1e-9))) + 1
+    first = order[:n]
+    return kinds[first][df[first] > 1]
+
+
+def prefixes(texts: DataFrame, weigh: Weights, threshold: float) -> DataFrame:
+    """Rows (node, total, shingles): a text's weight and its prefix."""
+
+    def run(batches):
+        for batch in batches:
+            total, out = [], []
+            for text in batch.column("text").to_pylist():
+                kinds, w, df = weigh.counted(text)
+                total.append(float(w.sum()))
+                out.append(prefix(kinds, w, df, threshold).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(total, pa.float64()), pa.array(out, pa.list_(pa.int64()))], names=["node", "total", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, total double, shingles array<long>")
+
+
 def compared(pairs: DataFrame, texts: DataFrame, weigh: Weights, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) whose texts are similar enough."""
     one = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "x"}), "a")
@@ -205,9 +240,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             order = F.struct(-F.col("score") if turn == 0 else F.xxhash64(F.lit(turn), "node"), "node")
             centre = left.groupBy("band").agg(F.min_by(F.struct("node", "label"), order).alias("centre"))
             pairs = left.join(centre, "band").where("label != centre.label").select("node", F.col("centre.node").alias("other"))
-        else:  # all that are in different classes
-            other = left.select("band", F.col("node").alias("other"), F.col("label").alias("other_label"))
-            pairs = left.join(other, "band").where("label < other_label").select("node", "other")
+        else:  # all that are in different classes and can be similar
+            undecided = texts.join(left.select("node").distinct(), "node", "left_semi")
+            own = left.select("band", "node", "label").join(prefixes(undecided, weigh, threshold), "node").withColumn("shingle", F.explode("shingles")).drop("shingles")
+            other = own.withColumnsRenamed({"node": "other", "label": "other_label", "total": "other_total"})
+            near = F.least("total", "other_total") >= threshold * (1 - 1e-9) * F.greatest("total", "other_total")
+            pairs = own.join(other, ["band", "shingle"]).where((F.col("label") < F.col("other_label")) & near).select("node", "other")
         pairs = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
