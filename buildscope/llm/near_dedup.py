@@ -1,7 +1,10 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is the weighted set of its shingles of five words: a shingle weighs its count in
-the text times ln(1 + N / df). Document frequencies come from a count sketch of fixed
+the text times 1 + ln(1 + N / df) / ln(1 + N), so one of a single document weighs twice as
+much as one of all, at any size of the corpus. A bare ln(1 + N / df) would count against
+copies how many there are: of two texts of 150 words that differ in two, the similarity falls
+from 0.87 to 0.78 once some thousands of copies share the rest. Document frequencies come from a count sketch of fixed
 size (DEPTH rows of WIDTH counters, the least row counts), filled over all documents; it
 never underestimates, and what is rare weighs alike at any size of the corpus.
 
@@ -44,6 +47,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 4
 DEPTH, WIDTH = 2, 1 << 21
 STARS = 3
+#: Shingles of texts already weighed that a task keeps for further pairs; 16 bytes each.
+HELD = 1 << 21
 _sketch: dict[str, np.ndarray] = {}
 
 
@@ -97,7 +102,7 @@ class Weights:
         table = _sketch[self.key]
         kinds, tf = np.unique(shingles(text), return_counts=True)
         df = np.minimum.reduce([table[d][at] for d, at in enumerate(slots(kinds))]) if len(kinds) else np.zeros(0)
-        return kinds, tf * np.log1p(self.n / np.maximum(df, 1)), df
+        return kinds, tf * (1 + np.log1p(self.n / np.maximum(df, 1)) / np.log1p(max(self.n, 1))), df
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -207,13 +212,22 @@ def compared(pairs: DataFrame, texts: DataFrame, weigh: Weights, threshold: floa
     both = one.join(texts.withColumnsRenamed({"node": "b", "text": "y"}), "b").select("a", "b", "x", "y")
 
     def run(batches):
-        last: tuple = (None, None)
+        known: dict[bytes, tuple] = {}
+        held = 0
+
+        def weighed(key, text):
+            nonlocal held
+            if key not in known:
+                if held > HELD:
+                    known.clear()
+                    held = 0
+                known[key] = weigh(text)
+                held += len(known[key][0])
+            return known[key]
+
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                if last[0] != y:
-                    last = (y, weigh(y))
-                keep.append(similarity(weigh(x), last[1]) >= threshold)
+            a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
+            keep = [similarity(weighed(i, s), weighed(j, t)) >= threshold for i, j, s, t in zip(a, b, x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a binary, b binary")
