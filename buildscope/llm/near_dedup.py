@@ -4,9 +4,10 @@ A text is the weighted set of its shingles of five words: a shingle weighs its c
 the text times 1 + ln(1 + N / df) / ln(1 + N), so one of a single document weighs twice as
 much as one of all, at any size of the corpus. A bare ln(1 + N / df) would count against
 copies how many there are: of two texts of 150 words that differ in two, the similarity falls
-from 0.87 to 0.78 once some thousands of copies share the rest. Document frequencies come from a count sketch of fixed
-size (DEPTH rows of WIDTH counters, the least row counts), filled over all documents; it
-never underestimates, and what is rare weighs alike at any size of the corpus.
+from 0.87 to 0.78 once some thousands of copies share the rest.
+
+Document frequencies come from a count sketch of fixed size (DEPTH rows of WIDTH counters,
+the least row counts), filled over all documents; it never underestimates.
 
 Each text gets BANDS * ROWS consistent weighted samples. A sample draws r and c of a
 Gamma(2, 1) and b of a uniform distribution for every shingle, and keeps the shingle with
