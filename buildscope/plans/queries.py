@@ -275,6 +275,29 @@ def j3(t):
     return x.select("o_orderkey").join(hit, "o_orderkey", "left")
 
 
+WHOLE = "b as (select p_partkey id, p_size * 1000.0 lo, p_size * 1000.0 + 500.0 * (1 + p_partkey % 7) hi, 500.0 * (1 + p_partkey % 7) size from part), x as (select o_orderkey, o_totalprice from orders) "
+
+
+def whole_bands(t):
+    """bands() without its filters; of parts with one interval the least id stands for all, as both orders take it first."""
+    size = F.lit(500.0) * (1 + F.col("p_partkey") % 7)
+    b = t.part.select(F.col("p_partkey").alias("id"), (F.col("p_size") * F.lit(1000.0)).alias("lo"), (F.col("p_size") * F.lit(1000.0) + size).alias("hi"), size.alias("size"))
+    return b.groupBy("lo", "hi", "size").agg(F.min("id").alias("id")), t.orders.select("o_orderkey", "o_totalprice")
+
+
+@query("J2_containment_smallest_whole", "with " + WHOLE + "select o_orderkey, id from (select o_orderkey, id, row_number() over (partition by o_orderkey order by size, id) r from x join b on o_totalprice >= lo and o_totalprice < hi) where r = 1")
+def j2_whole(t):
+    b, x = whole_bands(t)
+    return O.dedupe_first(O.range_join(x, b, "o_totalprice", "lo", "hi", 2000.0), ["o_orderkey"], ["size", "id"]).select("o_orderkey", "id")
+
+
+@query("J3_containment_first_whole", "with " + WHOLE + ", m as (select o_orderkey k, arg_min(id, (lo, hi, id)) id from x join b on o_totalprice >= lo and o_totalprice < hi group by 1) select o_orderkey, id from x left join m on k = o_orderkey")
+def j3_whole(t):
+    b, x = whole_bands(t)
+    hit = O.range_join(x, b, "o_totalprice", "lo", "hi", 2000.0).groupBy("o_orderkey").agg(F.min_by("id", F.struct("lo", "hi", "id")).alias("id"))
+    return x.select("o_orderkey").join(hit, "o_orderkey", "left")
+
+
 @query("J4_asof_backward", """
 with s as (select user_id, ts, max(event_id) id from events where event_type = 'signup' group by 1, 2)
 select e.event_id, s.id as signup_id from events e asof left join s on e.user_id = s.user_id and e.ts >= s.ts""")
