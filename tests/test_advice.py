@@ -2,6 +2,7 @@
 
 import random
 
+from buildscope.llm import quality
 from buildscope.plans.queries import QUERIES
 
 
@@ -19,3 +20,16 @@ def test_containment_whole(spark, tmp_path):
     for name, want in (("J2_containment_smallest_whole", smallest), ("J3_containment_first_whole", first)):
         got = QUERIES[name](spark, str(tmp_path)).collect()
         assert len(got) == len(want) and {r.o_orderkey: r.id for r in got} == want
+
+
+def test_short_trusted_texts_do_not_widen_limits_of_long_ones(spark):
+    rng = random.Random(7)
+    text = lambda n: " ".join("".join(rng.choice(["ka", "lo", "mi", "ru"]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    junk = lambda n: " ".join("".join(rng.choice("abdefghijklmnoprstu") for _ in range(rng.randint(2, 6))) for _ in range(n))
+    good = [(i, text(rng.randint(30, 200)), "xx") for i in range(60)] + [(60, junk(2), "xx"), (61, junk(1), "xx")]
+    bad = [(100 + i, junk(300), "xx") for i in range(10)] + [(110 + i, text(300) + " " + junk(60), "xx") for i in range(10)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, 1, 0) for d, _, _ in good], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.rejected for r in quality.judged(docs, labels).collect()}
+    assert not any(got[d] for d, _, _ in good) and all(got[d] for d, _, _ in bad)
+    assert {r.doc_id for r in quality.accepted(docs, labels).collect()} == {d for d, _, _ in good}
