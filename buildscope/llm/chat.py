@@ -27,9 +27,10 @@ def rolling(conversations: DataFrame) -> DataFrame:
     rows = conversations.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("n_turns", F.row_number().over(order).cast("long")).withColumn("last", F.lead(F.lit(1)).over(order).isNull())
     parts = [F.col("n_turns"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
+    upto = Window.partitionBy("conv_id").orderBy("n_turns").rowsBetween(Window.unboundedPreceding, 0)  # order has ties where turns repeat
     for k in (0, 1):
         rows = rows.withColumn("h", F.xxhash64(F.lit(k), *parts))
-        rows = rows.withColumn(KEY[1 + 2 * k], F.sum(F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))).over(order)).withColumn(KEY[2 + 2 * k], F.sum(F.shiftright("h", 32)).over(order))
+        rows = rows.withColumn(KEY[1 + 2 * k], F.sum(F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))).over(upto)).withColumn(KEY[2 + 2 * k], F.sum(F.shiftright("h", 32)).over(upto))
     return rows.drop("h")
 
 

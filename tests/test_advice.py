@@ -1,8 +1,12 @@
 """What the reviewer's findings missed: each test fails on the code as it was."""
 
+import datetime
 import random
+from collections import Counter
 
-from buildscope.llm import quality
+from pyspark.sql import functions as F
+
+from buildscope.llm import chat, near_dedup, quality
 from buildscope.plans.queries import QUERIES
 
 
@@ -33,3 +37,9 @@ def test_short_trusted_texts_do_not_widen_limits_of_long_ones(spark):
     got = {r.doc_id: r.rejected for r in quality.judged(docs, labels).collect()}
     assert not any(got[d] for d, _, _ in good) and all(got[d] for d, _, _ in bad)
     assert {r.doc_id for r in quality.accepted(docs, labels).collect()} == {d for d, _, _ in good}
+
+
+def test_chat_repeated_turns(spark):
+    turns = [(1, 0, "u", "hi"), (1, 0, "u", "hi"), (1, 1, "a", "x"), (2, 0, "u", "hi"), (3, 0, "u", "hi"), (3, 0, "u", "hi"), (4, 0, "u", "hi"), (4, 0, "u", "hi"), (4, 0, "u", "hi")]
+    got = {r.conv_id: r.n_turns for r in chat.render(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {1: 3, 4: 3}
