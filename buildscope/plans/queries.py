@@ -153,7 +153,7 @@ def a14(t):
 
 @query("ST4_stream_stats", STATS)
 def st4(t):
-    out = telemetry.drain(t.spark, t.folder, "events.parquet" if not t.folder.endswith("check_l") else "*.parquet", lambda s: s.groupBy("user_id", "event_type").agg(n_rows().alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.max_by("value", F.struct("ts", "event_id")).alias("last_value"), F.min("ts").alias("a"), F.max("ts").alias("b")), "complete")
+    out = telemetry.drain(t.spark, f"{t.folder}/events.parquet", lambda s: s.groupBy("user_id", "event_type").agg(n_rows().alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.max_by("value", F.struct("ts", "event_id")).alias("last_value"), F.min("ts").alias("a"), F.max("ts").alias("b")), "complete")
     span = F.unix_micros(F.col("b").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp"))
     return out.select("user_id", "event_type", "n", "min_value", "max_value", "last_value", F.round(F.try_divide((F.col("n") - 1) * F.lit(1e6), span.cast("double")), 9).alias("rate"))
 

@@ -14,13 +14,17 @@ def series_stats(events: DataFrame) -> DataFrame:
     return out.select("user_id", "event_type", "n", "min_value", "max_value", "last_value", F.round(F.try_divide((F.col("n") - 1) * F.lit(1e6), span.cast("double")), 9).alias("rate"))
 
 
-def drain(spark: SparkSession, path: str, pattern: str, transform, mode: str) -> DataFrame:
-    """Runs transform over the files as a stream until all are read; the result as a table."""
+def drain(spark: SparkSession, path: str, transform, mode: str) -> DataFrame:
+    """Runs transform over a Parquet file, or a folder of them, as a stream until all is read; the result as a table."""
     import uuid
 
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(path).schema
+    schema = spark.read.parquet(path).schema
     name = f"drain_{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").parquet(path)
+    stream, at = spark.readStream.schema(schema), spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isFile():
+        # a stream reads folders only: the one file of that name in its own
+        stream, path = stream.option("pathGlobFilter", at.getName()), at.getParent().toString()
+    stream = stream.parquet(path)
     query = transform(stream).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)

@@ -43,3 +43,24 @@ def test_chat_repeated_turns(spark):
     turns = [(1, 0, "u", "hi"), (1, 0, "u", "hi"), (1, 1, "a", "x"), (2, 0, "u", "hi"), (3, 0, "u", "hi"), (3, 0, "u", "hi"), (4, 0, "u", "hi"), (4, 0, "u", "hi"), (4, 0, "u", "hi")]
     got = {r.conv_id: r.n_turns for r in chat.render(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
     assert got == {1: 3, 4: 3}
+
+
+def test_stream_reads_its_own_table_only(spark, tmp_path):
+    import shutil
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(i, at + datetime.timedelta(seconds=i), i % 3, "click", float(i)) for i in range(40)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double")
+    for name, files in (("small", 1), ("large", 5), ("check_l", 5)):
+        folder = tmp_path / name
+        other = events.withColumn("value", F.lit(1e9))
+        other.repartition(2).write.parquet(f"{folder}/pages.parquet")
+        if files > 1:
+            events.repartition(files).write.parquet(f"{folder}/events.parquet")
+        else:
+            events.coalesce(1).write.parquet(f"{folder}/_one")
+            shutil.move(next((folder / "_one").glob("part-*.parquet")), folder / "events.parquet")
+            other.coalesce(1).write.parquet(f"{folder}/old/events.parquet")
+        got = {r.user_id: (r.n, r.min_value, r.max_value, r.last_value) for r in QUERIES["ST4_stream_stats"](spark, str(folder)).collect()}
+        own = {u: [r[4] for r in rows if r[2] == u] for u in range(3)}
+        assert got == {u: (len(v), v[0], v[-1], v[-1]) for u, v in own.items()}, name
