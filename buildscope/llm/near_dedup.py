@@ -235,7 +235,7 @@ def compared(pairs: DataFrame, texts: DataFrame, weigh: Weights, threshold: floa
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (doc_id, rid, class_id, class_size): class_id is the least doc_id of the row's class."""
+    """Rows (doc_id, rid, label, class_id, class_size): label names the row's class, class_id is its least doc_id, which two classes may share."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     weigh = Weights(docs.sparkSession, *fill_sketch(rows))
     keyed = rows.withColumn("node", node())
@@ -276,14 +276,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             break
     ids = keyed.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "node").join(labels, "node", "left").select("doc_id", "rid", F.coalesce("label", "node").alias("label"))
     ids = C.stored(ids, "classes")
-    return ids.join(ids.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "label").select("doc_id", "rid", "class_id", "class_size")
+    return ids.join(ids.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "label").select("doc_id", "rid", F.hex("label").alias("label"), "class_id", "class_size")
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without all but the least doc_id of each class; of rows that repeat in that doc_id, one stays."""
+    """docs without all but one row of each class: that of the least doc_id, nulls last, and of its texts that with the least rid."""
     own = classes(docs, threshold)
-    kept = own.where("doc_id <=> class_id").groupBy("class_id").agg(F.min("rid").alias("rid")).withColumnRenamed("class_id", "_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first")
+    kept = own.groupBy("label").agg(first).select(F.col("first.doc_id").alias("__kept"), F.col("first.rid").alias("__kept_rid"))
     key = docs.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumn("__id", F.col("doc_id").cast("long"))
-    kept = kept.withColumnsRenamed({"_id": "__kept", "rid": "__kept_rid"})
     out = key.join(kept, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__rid") == F.col("__kept_rid")), "left_semi")
     return out.dropDuplicates(["__id", "__rid"]).select(*docs.columns)

@@ -64,3 +64,16 @@ def test_stream_reads_its_own_table_only(spark, tmp_path):
         got = {r.user_id: (r.n, r.min_value, r.max_value, r.last_value) for r in QUERIES["ST4_stream_stats"](spark, str(folder)).collect()}
         own = {u: [r[4] for r in rows if r[2] == u] for u in range(3)}
         assert got == {u: (len(v), v[0], v[-1], v[-1]) for u, v in own.items()}, name
+
+
+def test_representatives_of_null_ids_and_one_id_with_two_texts(spark):
+    rng = random.Random(11)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (None, c), (1, d), (1, e), (2, d), (3, e), (4, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = near_dedup.classes(docs).collect()
+    assert len(own) == len(rows) and len({r.label for r in own}) == len({t for _, t in rows})
+    got = Counter((r.doc_id, r.text) for r in near_dedup.representatives(docs).collect())
+    want = {t: min(((i is None, i or 0, i) for i, x in rows if x == t))[2] for _, t in rows}
+    assert got == Counter((i, t) for t, i in want.items())
