@@ -229,9 +229,9 @@ def fil1(t):
     return t.customer.where(O.optional(O.contains("c_name", "00"), F.col("c_mktsegment") == "BUILDING", O.contains("c_mktsegment", ""))).select("c_custkey", "c_name", "c_mktsegment")
 
 
-@query("FIL2_either_contains", "select p_partkey from part where (contains(lower(p_name),'red') or contains(lower(p_brand),'3')) and contains(p_type,'STEEL')")
+@query("FIL2_either_contains", "select p_partkey from part where (contains(lower(p_name),'red') or contains(lower(p_brand),'3')) and contains(p_type,'MALL')")
 def fil2(t):
-    return t.part.where((O.contains("p_name", "red") | O.contains("p_brand", "3")) & F.col("p_type").contains("STEEL")).select("p_partkey")
+    return t.part.where((O.contains("p_name", "red") | O.contains("p_brand", "3")) & F.col("p_type").contains("MALL")).select("p_partkey")
 
 
 @query("FIL6_induced_subgraph", NATIONS + "select distinct src, dst from e where src in (select n_nationkey from nation where n_regionkey <= 1) and dst in (select n_nationkey from nation where n_regionkey <= 1)")
@@ -254,12 +254,14 @@ def fil10(t):
     return t.orders.where(F.col("o_orderdate") <= at).join(ends, "o_orderkey", "left").where(F.col("e").isNull() | (at <= F.col("e"))).select("o_orderkey")
 
 
-BANDS = "b as (select p_partkey id, p_size * 1000.0 lo, p_size * 1000.0 + 500.0 * (1 + p_partkey % 7) hi, 500.0 * (1 + p_partkey % 7) size from part where p_partkey <= 200), x as (select o_orderkey, o_totalprice from orders where o_totalprice < 60000) "
+BANDS = "b as (select p_partkey id, p_size * 1000.0 lo, p_size * 1000.0 + 500.0 * (1 + p_partkey % 7) hi, 500.0 * (1 + p_partkey % 7) size from part), x as (select o_orderkey, o_totalprice from orders) "
 
 
 def bands(t):
+    """Intervals of parts and the orders to place; of parts with one interval the least id stands for all, as both orders take it first."""
     size = F.lit(500.0) * (1 + F.col("p_partkey") % 7)
-    return t.part.where("p_partkey <= 200").select(F.col("p_partkey").alias("id"), (F.col("p_size") * F.lit(1000.0)).alias("lo"), (F.col("p_size") * F.lit(1000.0) + size).alias("hi"), size.alias("size")), t.orders.where("o_totalprice < 60000").select("o_orderkey", "o_totalprice")
+    b = t.part.select(F.col("p_partkey").alias("id"), (F.col("p_size") * F.lit(1000.0)).alias("lo"), (F.col("p_size") * F.lit(1000.0) + size).alias("hi"), size.alias("size"))
+    return b.groupBy("lo", "hi", "size").agg(F.min("id").alias("id")), t.orders.select("o_orderkey", "o_totalprice")
 
 
 @query("J2_containment_smallest", "with " + BANDS + "select o_orderkey, id from (select o_orderkey, id, row_number() over (partition by o_orderkey order by size, id) r from x join b on o_totalprice >= lo and o_totalprice < hi) where r = 1")
@@ -275,29 +277,6 @@ def j3(t):
     return x.select("o_orderkey").join(hit, "o_orderkey", "left")
 
 
-WHOLE = "b as (select p_partkey id, p_size * 1000.0 lo, p_size * 1000.0 + 500.0 * (1 + p_partkey % 7) hi, 500.0 * (1 + p_partkey % 7) size from part), x as (select o_orderkey, o_totalprice from orders) "
-
-
-def whole_bands(t):
-    """bands() without its filters; of parts with one interval the least id stands for all, as both orders take it first."""
-    size = F.lit(500.0) * (1 + F.col("p_partkey") % 7)
-    b = t.part.select(F.col("p_partkey").alias("id"), (F.col("p_size") * F.lit(1000.0)).alias("lo"), (F.col("p_size") * F.lit(1000.0) + size).alias("hi"), size.alias("size"))
-    return b.groupBy("lo", "hi", "size").agg(F.min("id").alias("id")), t.orders.select("o_orderkey", "o_totalprice")
-
-
-@query("J2_containment_smallest_whole", "with " + WHOLE + "select o_orderkey, id from (select o_orderkey, id, row_number() over (partition by o_orderkey order by size, id) r from x join b on o_totalprice >= lo and o_totalprice < hi) where r = 1")
-def j2_whole(t):
-    b, x = whole_bands(t)
-    return O.dedupe_first(O.range_join(x, b, "o_totalprice", "lo", "hi", 2000.0), ["o_orderkey"], ["size", "id"]).select("o_orderkey", "id")
-
-
-@query("J3_containment_first_whole", "with " + WHOLE + ", m as (select o_orderkey k, arg_min(id, (lo, hi, id)) id from x join b on o_totalprice >= lo and o_totalprice < hi group by 1) select o_orderkey, id from x left join m on k = o_orderkey")
-def j3_whole(t):
-    b, x = whole_bands(t)
-    hit = O.range_join(x, b, "o_totalprice", "lo", "hi", 2000.0).groupBy("o_orderkey").agg(F.min_by("id", F.struct("lo", "hi", "id")).alias("id"))
-    return x.select("o_orderkey").join(hit, "o_orderkey", "left")
-
-
 @query("J4_asof_backward", """
 with s as (select user_id, ts, max(event_id) id from events where event_type = 'signup' group by 1, 2)
 select e.event_id, s.id as signup_id from events e asof left join s on e.user_id = s.user_id and e.ts >= s.ts""")
@@ -307,9 +286,9 @@ def j4(t):
     return O.asof(e, s, ["user_id"], "ts", "id", ["id"]).select("event_id", F.col("asof_id").alias("signup_id"))
 
 
-@query("J8_anti", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("J8_anti", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
 def j8(t):
-    return t.customer.select("c_custkey").join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return t.customer.select("c_custkey").join(t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @query("J9_waterfall", """
@@ -406,9 +385,9 @@ def u4(t):
     return t.customer.select(F.col("c_nationkey").alias("k")).intersect(t.supplier.select("s_nationkey"))
 
 
-@query("U6_except", "select c_nationkey k from customer except select s_nationkey from supplier")
+@query("U6_except", "select l_orderkey from lineitem where l_returnflag = 'R' except select l_orderkey from lineitem where l_returnflag = 'A'")
 def u6(t):
-    return t.customer.select(F.col("c_nationkey").alias("k")).subtract(t.supplier.select("s_nationkey"))
+    return t.lineitem.where("l_returnflag = 'R'").select("l_orderkey").subtract(t.lineitem.where("l_returnflag = 'A'").select("l_orderkey"))
 
 
 @query("U5_snapshot_diff", """
