@@ -38,17 +38,65 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
     sc = spark.sparkContext
     if not (base := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="buildscope-")  # a single machine, as in tests
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: With it the shuffle files of a query go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there."""
+    """df written to the shared folder and read again: its lineage ends there, and its shuffle files go."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes what stored() wrote for these; nothing that is still to run may read them."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+_held: dict = {}
+
+
+def held(key, build=None):
+    """What build() made for key in this Python worker. A worker, which may live on from stage to stage, keeps one such thing only."""
+    if key not in _held:
+        _held.clear()
+        trim()
+        if build is not None:
+            _held[key] = build()
+    return _held.get(key)
+
+
+def trim() -> None:
+    """Gives freed memory of this worker back to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: the memory stays with the worker
 
 
 def strings(column) -> tuple[memoryview, np.ndarray, np.ndarray]:

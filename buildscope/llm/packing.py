@@ -26,33 +26,35 @@ from pyspark.sql import DataFrame
 from . import common as C
 
 LENGTH, END = 2048, 1
-#: Words whose ids a worker keeps: the first that it met, which the frequent ones are among.
-CACHE = 800_000
-_ids: dict[str, tuple] = {}
+#: Bytes of words and ids that a worker keeps: of the first words that it met, which the frequent ones are among.
+CACHE = 64 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, bucket int"
 
 
 def encoder(path: str):
     """The tokenizer of a file and this worker's cache of the ids of its words."""
-    if path not in _ids:
+
+    def load():
         from tokenizers import Tokenizer
 
-        _ids[path] = (Tokenizer.from_file(path), {})
-    return _ids[path]
+        return [Tokenizer.from_file(path), {}, 0]
+
+    return C.held(("tokenizer", path), load)
 
 
 def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers."""
-    tokenizer, known = encoder(path)
+    own = encoder(path)
+    tokenizer, known, size = own
     split = [t.split() for t in texts]
     if not (missing := list(set().union(*split).difference(known))):
         return [b"".join(map(known.__getitem__, words)) for words in split]
     encoded = tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
     new = {word: np.array(got.ids, "<u4").tobytes() for word, got in zip(missing, encoded, strict=True)}
-    if len(known) < CACHE:
+    if size < CACHE:
         known |= new
-        _ids[path] = (tokenizer, known)
+        own[2] += sum(map(len, new)) + sum(map(len, new.values())) + 150 * len(new)  # and what the dictionary and two objects take
         return [b"".join(map(known.__getitem__, words)) for words in split]
     return [b"".join([known[w] if w in known else new[w] for w in words]) for words in split]
 
