@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def _tally(edges: DataFrame) -> tuple:
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select("u", F.col("m").alias("v")).unionByName(joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        now = stored(small, "edges")
+        before, now = now, stored(small, "edges")
+        forget(before)
         if (new := _tally(now)) == said:
             break
         said = new

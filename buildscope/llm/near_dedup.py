@@ -1,13 +1,17 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is the weighted set of its shingles of five words: a shingle weighs its count in
-the text times 1 + ln(1 + N / df) / ln(1 + N), so one of a single document weighs twice as
-much as one of all, at any size of the corpus. A bare ln(1 + N / df) would count against
-copies how many there are: of two texts of 150 words that differ in two, the similarity falls
-from 0.87 to 0.78 once some thousands of copies share the rest.
-
-Document frequencies come from a count sketch of fixed size (DEPTH rows of WIDTH counters,
-the least row counts), filled over all documents; it never underestimates.
+the text times 1 + ln(1 + x) / ln(1 + X), where x = N / df, at most RAREST, and X is the
+most that x can be; so a rare one weighs twice as much as one of all, at any size of the
+corpus. A bare ln(1 + N / df) would count against copies how many there are: of two texts of
+150 words that differ in two, the similarity falls from 0.87 to 0.78 once some thousands of
+copies share the rest.
+
+Document frequencies come from a count sketch (DEPTH rows of WIDTH counters, the least row
+counts), filled over all documents; it never underestimates. Its error is a share of N that
+does not grow with N (the distinct shingles a document over WIDTH, some 1 / 26,000), and a
+shingle of fewer than N / RAREST documents counts as one of so many, so the sketch's size
+need not follow the corpus: weights tell shares of the documents apart, not counts.
 
 Each text gets BANDS * ROWS consistent weighted samples. A sample draws r and c of a
 Gamma(2, 1) and b of a uniform distribution for every shingle, and keeps the shingle with
@@ -24,10 +28,14 @@ candidates are still in several classes. After STARS rounds candidates in differ
 are compared with each other if they can be similar: in one order of all shingles, from rare
 to frequent, the first shingles of a text, so many that the rest weighs less than THRESHOLD
 of it, are its prefix; two texts whose prefixes share nothing, or whose total weights are
-too far apart, are below THRESHOLD whatever else they share. So no link between candidates
+too far apart, are below THRESHOLD whatever else they share, and so are two of which the
+weight from the first shared shingle on is too small. So no link between candidates
 is lost, a group of any size in which most texts are alike costs as many comparisons as it
 has texts, not pairs, and texts that only share a frequent passage are not compared.
 
+Texts are kept compressed in a table that is bucketed by node, so a round shuffles the texts
+of one side of its pairs only. What a round stores is deleted when it is no longer read.
+
 Equal texts are one node from the start and never compared. Defined cases: a null text or
 one without a word is a class of its own, copies included; texts of fewer than five words
 are one shingle; extra columns are ignored by name.
@@ -42,15 +50,16 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .components import components
+from .superkmer import compressor, decompressor, dictionary
 from .tables import packed, summed, unpacked
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 4
 DEPTH, WIDTH = 2, 1 << 21
-STARS = 3
+RAREST = 1 << 14
+STARS = 2
 #: Shingles of texts already weighed that a task keeps for further pairs; 16 bytes each.
 HELD = 1 << 21
-_sketch: dict[str, np.ndarray] = {}
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -72,6 +81,7 @@ def fill_sketch(docs: DataFrame) -> tuple[int, np.ndarray]:
     """Number of documents and the sketch of their shingles' document frequencies."""
 
     def count(batches):
+        C.held("sketch")
         table, n = np.zeros((DEPTH, WIDTH), np.uint32), 0
         for batch in batches:
             n += batch.num_rows
@@ -97,13 +107,11 @@ class Weights:
 
     def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct shingles, their weights and document frequencies."""
-        if self.key not in _sketch:
-            _sketch.clear()
-            _sketch[self.key] = unpacked(self.shared.value, np.uint32).reshape(DEPTH, WIDTH)
-        table = _sketch[self.key]
+        table = C.held(self.key, lambda: unpacked(self.shared.value, np.uint32).reshape(DEPTH, WIDTH))
         kinds, tf = np.unique(shingles(text), return_counts=True)
         df = np.minimum.reduce([table[d][at] for d, at in enumerate(slots(kinds))]) if len(kinds) else np.zeros(0)
-        return kinds, tf * (1 + np.log1p(self.n / np.maximum(df, 1)) / np.log1p(max(self.n, 1))), df
+        most = min(max(self.n, 1), RAREST)
+        return kinds, tf * (1 + np.log1p(np.minimum(self.n / np.maximum(df, 1), most)) / np.log1p(most)), df
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -180,50 +188,67 @@ def signatures(rows: DataFrame, weigh: Weights) -> DataFrame:
     return rows.select("node", "text").mapInArrow(run, "node binary, bands array<long>")
 
 
-def prefix(kinds: np.ndarray, weights: np.ndarray, df: np.ndarray, threshold: float) -> np.ndarray:
-    """The least set of first shingles, from rare to frequent, that leaves less than threshold of the weight.
+def prefix(kinds: np.ndarray, weights: np.ndarray, df: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The least set of first shingles, from rare to frequent, that leaves less than threshold of the weight, and the weight from each on.
 
     Those of one document are left out of it: the sketch never underestimates, so no other text has them.
     """
     order = np.lexsort((kinds, df))
-    rest = weights.sum() - np.cumsum(weights[order])
+    own = weights[order]
+    rest = weights.sum() - np.cumsum(own)
     n = int(np.argmax(rest < threshold * weights.sum() * (1 - 1e-9))) + 1
-    first = order[:n]
-    return kinds[first][df[first] > 1]
+    shared = df[order[:n]] > 1
+    return kinds[order[:n]][shared], (rest + own)[:n][shared]
 
 
-def prefixes(texts: DataFrame, weigh: Weights, threshold: float) -> DataFrame:
-    """Rows (node, total, shingles): a text's weight and its prefix."""
+def prefixes(texts: DataFrame, weigh: Weights, threshold: float, shared) -> DataFrame:
+    """Rows (node, total, shingle, onward): a text's weight, each shingle of its prefix and the weight from that on."""
 
     def run(batches):
+        coder = decompressor(shared.value)
         for batch in batches:
-            total, out = [], []
-            for text in batch.column("text").to_pylist():
-                kinds, w, df = weigh.counted(text)
-                total.append(float(w.sum()))
-                out.append(prefix(kinds, w, df, threshold).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(total, pa.float64()), pa.array(out, pa.list_(pa.int64()))], names=["node", "total", "shingles"])
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                kinds, w, df = weigh.counted(coder.decompress(text).decode())
+                found, onward = prefix(kinds, w, df, threshold)
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array([node] * n, pa.binary()), pa.array(np.full(n, w.sum())), pa.array(found.view(np.int64)), pa.array(onward)], names=["node", "total", "shingle", "onward"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, total double, shingle long, onward double")
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, total double, shingles array<long>")
 
+def undecided_pairs(left: DataFrame, texts: DataFrame, weigh: Weights, threshold: float, shared) -> DataFrame:
+    """Pairs (node, other) of left's nodes in different classes that can be similar.
 
-def compared(pairs: DataFrame, texts: DataFrame, weigh: Weights, threshold: float) -> DataFrame:
+    Of each shingle the class with most texts is not joined with itself, so a large group
+    that is linked already costs its rows.
+    """
+    labels = left.select("node", "label").distinct()
+    own = C.stored(prefixes(texts.join(labels.select("node"), "node", "left_semi"), weigh, threshold, shared).join(labels, "node"), "prefixes")
+    main = own.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    own = own.join(main, "shingle")
+    other = own.withColumnsRenamed({"node": "other", "label": "other_label", "total": "other_total", "onward": "other_onward"}).drop("main")
+    can = F.least("onward", "other_onward") >= F.lit(threshold / (1 + threshold) * (1 - 1e-9)) * (F.col("total") + F.col("other_total"))
+    one = (F.col("label") < F.col("other_label")) | (F.col("other_label") == F.col("main"))  # a pair with the main class once only
+    return own.where("label != main").join(other, "shingle").where((F.col("label") != F.col("other_label")) & one & can).select("node", "other")
+
+
+def compared(pairs: DataFrame, texts: DataFrame, weigh: Weights, threshold: float, shared) -> DataFrame:
     """Those of the pairs (a, b) whose texts are similar enough."""
     one = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "x"}), "a")
     both = one.join(texts.withColumnsRenamed({"node": "b", "text": "y"}), "b").select("a", "b", "x", "y")
 
     def run(batches):
         known: dict[bytes, tuple] = {}
-        held = 0
+        size, coder = 0, decompressor(shared.value)
 
         def weighed(key, text):
-            nonlocal held
+            nonlocal size
             if key not in known:
-                if held > HELD:
+                if size > HELD:
                     known.clear()
-                    held = 0
-                known[key] = weigh(text)
-                held += len(known[key][0])
+                    size = 0
+                known[key] = weigh(coder.decompress(text).decode())
+                size += len(known[key][0])
             return known[key]
 
         for batch in batches:
@@ -234,6 +259,29 @@ def compared(pairs: DataFrame, texts: DataFrame, weigh: Weights, threshold: floa
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df as a table of the session's warehouse with a bucket a shuffle partition, dealt by column."""
+    import uuid
+
+    spark, n = df.sparkSession, C.shuffle_partitions(df.sparkSession)
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(n, column).write.bucketBy(n, column).sortBy(column).saveAsTable(table)
+    out = spark.table(table)
+    out._table = table
+    return out
+
+
+def squeezed(rows: DataFrame, shared) -> DataFrame:
+    """rows (node, text) with text compressed."""
+
+    def run(batches):
+        coder = compressor(shared.value, 3)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([coder.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], names=["node", "text"])
+
+    return rows.select("node", "text").mapInArrow(run, "node binary, text binary")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (doc_id, rid, label, class_id, class_size): label names the row's class, class_id is its least doc_id, which two classes may share."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -248,7 +296,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = banded.join(met, "band")
     members = C.stored(members.join(members.groupBy("node").agg(F.sum("met").alias("score")), "node").select("band", "node", "score"), "members")
     nodes = members.select("node").distinct()
-    texts = C.stored(keyed.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    shared = dictionary(rows)
+    texts = bucketed(squeezed(keyed, shared).join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "node", "texts")
     links, tried, labels, left = None, None, None, members.withColumn("label", F.col("node"))
     for turn in range(STARS + 1):
         if turn < STARS:  # every node with one of its value's
@@ -256,26 +305,26 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             centre = left.groupBy("band").agg(F.min_by(F.struct("node", "label"), order).alias("centre"))
             pairs = left.join(centre, "band").where("label != centre.label").select("node", F.col("centre.node").alias("other"))
         else:  # all that are in different classes and can be similar
-            undecided = texts.join(left.select("node").distinct(), "node", "left_semi")
-            own = left.select("band", "node", "label").join(prefixes(undecided, weigh, threshold), "node").withColumn("shingle", F.explode("shingles")).drop("shingles")
-            other = own.withColumnsRenamed({"node": "other", "label": "other_label", "total": "other_total"})
-            near = F.least("total", "other_total") >= threshold * (1 - 1e-9) * F.greatest("total", "other_total")
-            pairs = own.join(other, ["band", "shingle"]).where((F.col("label") < F.col("other_label")) & near).select("node", "other")
+            pairs = undecided_pairs(left, texts, weigh, threshold, shared)
         pairs = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = C.stored(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = C.stored(compared(pairs, texts, weigh, threshold), "links")
+        found = C.stored(compared(pairs, texts, weigh, threshold, shared), "links")
         links = found if links is None else links.unionByName(found)
+        C.forget(labels)
         labels = C.stored(components(links), "labels")
-        left = members.join(labels, "node", "left").select("band", "node", "score", F.coalesce("label", "node").alias("label"))
-        split = left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
-        left = C.stored(left.join(split, "band"), "left")
+        now = members.join(labels, "node", "left").select("band", "node", "score", F.coalesce("label", "node").alias("label"))
+        split = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
+        C.forget(left)
+        left = C.stored(now.join(split, "band"), "left")
         if left.isEmpty():
             break
     ids = keyed.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "node").join(labels, "node", "left").select("doc_id", "rid", F.coalesce("label", "node").alias("label"))
     ids = C.stored(ids, "classes")
+    C.forget(every, members, left, labels)
+    docs.sparkSession.sql(f"drop table {texts._table}")
     return ids.join(ids.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "label").select("doc_id", "rid", F.hex("label").alias("label"), "class_id", "class_size")
 
 
