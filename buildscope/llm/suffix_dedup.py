@@ -8,16 +8,21 @@ the pieces are a collection of short documents, lined up on their minimisers. Th
 construction goes from the last column to the first: each round takes one symbol of every
 piece that reaches the column, puts it before that piece's suffix, and so gets
 
-* the order of the longer suffixes, a stable sort of the old order by the new symbols,
-* the column's part of the Burrows-Wheeler transform, the symbols read in the old order,
+* the order of the longer suffixes, a stable sort of the old order by the new symbols (the
+  symbols in the old order are the column's part of a Burrows-Wheeler transform),
 * the common prefixes of neighbours, 1 more than the least of the old ones between them
   when both got the same symbol, and otherwise 0.
 
 Only symbols, order and common prefixes of one column are in memory. Symbols are read
-from one sequential file, a column a round; transform, order and common prefixes are
-appended to others and never read again but in order. Equal windows have equal places
-relative to their minimiser, so suffixes of different columns need no comparison; that is
-what lets a round cost the number of pieces, not the size of the transform so far.
+from one sequential file, a column a round; order and common prefixes are appended to
+others, which are then read once from the start to find the repeats.
+
+This is less than the transform of a collection of whole documents: equal windows have
+equal places relative to their minimiser, so suffixes of different columns are never
+merged into one transform, and pieces that are equal, or whose minimiser no other piece
+has, are settled before the construction. That is what lets a round cost the number of
+pieces, not the size of the transform so far; whole documents would take a round a byte of
+the longest one, each of them a pass over the whole transform.
 
 Defined cases: null and empty texts have no bytes and keep the empty string; texts under
 50 bytes keep all; equal doc_ids never remove each other's bytes; a null doc_id comes
@@ -37,7 +42,7 @@ from pyspark.sql import functions as F
 from . import superkmer as K
 from .substring_dedup import merged, sha256
 
-WIDTH, GRAM = 50, 10
+WIDTH, GRAM = 50, 8
 
 
 class RangeMinimum:
@@ -63,8 +68,8 @@ def _log2(levels: int) -> np.ndarray:
     return np.frexp(np.arange(1 << levels).astype(np.float64))[1] - 1
 
 
-def columns(texts: list[bytes], left: np.ndarray, width: int, gram: int):
-    """The rounds of the construction: yields (column, order of the pieces, common prefixes, symbols)."""
+def construct(texts: list[bytes], left: np.ndarray, last: int, orders, prefixes) -> list[tuple[int, int]]:
+    """Writes order and common prefixes of the columns from 0 down to last, and returns (column, length) of each."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     right = lengths - left  # columns from the minimiser on
     low, high = -int(left.max()), int(right.max())
@@ -72,19 +77,18 @@ def columns(texts: list[bytes], left: np.ndarray, width: int, gram: int):
     flat = np.frombuffer(b"".join(texts), np.uint8)
     at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     grid[np.repeat(np.arange(len(texts)), lengths), at + np.repeat(-left - low, lengths)] = flat
-    with tempfile.TemporaryFile() as symbols, tempfile.TemporaryFile() as transform, tempfile.TemporaryFile() as prefixes:
+    with tempfile.TemporaryFile() as symbols:
         np.ascontiguousarray(grid[:, ::-1].T).tofile(symbols)  # the last column comes first
         del grid, flat, at
         symbols.seek(0)
-        order, common = np.zeros(0, np.int64), np.zeros(0, np.uint8)
-        for column in range(high - 1, low - 1, -1):
+        order, common, done = np.zeros(0, np.int32), np.zeros(0, np.uint8), []
+        for column in range(high - 1, max(low, last) - 1, -1):
             symbol = np.fromfile(symbols, np.uint8, len(texts))
             if len(new := np.flatnonzero(right == column + 1)):  # pieces that end here have the empty suffix, the least
-                order, common = np.append(new, order), np.append(np.zeros(len(new), np.uint8), common)
+                order, common = np.append(new.astype(np.int32), order), np.append(np.zeros(len(new), np.uint8), common)
             common[:1] = 0
             held = np.flatnonzero(column >= -left[order])  # a piece whose first symbol is in leaves
             got = symbol[order[held]]
-            got.tofile(transform)
             turn = np.argsort(got, kind="stable")
             was, got = held[turn], got[turn]
             longer = np.zeros(len(was), np.uint8)
@@ -93,10 +97,11 @@ def columns(texts: list[bytes], left: np.ndarray, width: int, gram: int):
                 begin, end = was[same - 1], was[same]
                 length = end - begin
                 longer[same] = np.minimum(RangeMinimum(common, int(length.max())).between(begin, end, length), 254) + 1
-            longer.tofile(prefixes)
             order, common = order[was], longer
-            if column <= 0 and column + width >= gram:
-                yield column, order, common
+            if column <= 0:
+                order.tofile(orders), common.tofile(prefixes)
+                done.append((column, len(order)))
+    return done
 
 
 def repeated_windows(width: int, gram: int):
@@ -105,16 +110,19 @@ def repeated_windows(width: int, gram: int):
     def least(texts, ids, windows, left):
         right = np.fromiter(map(len, texts), np.int64, len(texts)) - left
         piece, window = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for column, order, common in columns(texts, left, width, gram):
-            run = common >= width
-            if not run.any():
-                continue
-            starts = np.flatnonzero(~run)
-            smallest = np.minimum.reduceat(ids[order], starts)
-            which = np.cumsum(~run) - 1
-            hit = (ids[order] > smallest[which]) & (right[order] - column >= width)
-            piece.append(order[hit])
-            window.append(column + left[order[hit]])
+        with tempfile.TemporaryFile() as orders, tempfile.TemporaryFile() as prefixes:
+            done = construct(texts, left, gram - width, orders, prefixes)
+            orders.seek(0), prefixes.seek(0)
+            for column, n in done:
+                order, run = np.fromfile(orders, np.int32, n), np.fromfile(prefixes, np.uint8, n) >= width
+                if not run.any():
+                    continue
+                starts = np.flatnonzero(~run)
+                smallest = np.minimum.reduceat(ids[order], starts)
+                which = np.cumsum(~run) - 1
+                hit = (ids[order] > smallest[which]) & (right[order] - column >= width)
+                piece.append(order[hit].astype(np.int64))
+                window.append(column + left[order[hit]])
         return merged(np.concatenate(piece), np.concatenate(window))
 
     return least

@@ -7,12 +7,13 @@ of that minimiser, so every occurrence of a window reaches one bucket while each
 travels about W / (W - q) * 3 times less often than if windows travelled alone.
 
 What crosses the network is cut down before the shuffle. Within a task's flush a piece
-is sent once, for the least document that holds it; every later document with the same
-piece has all the piece's windows repeated, which needs no other machine. So a group of
-copies that holds a third of the corpus reaches its bucket as one piece a flush.
+is sent once, for the least doc_id that holds it, with the list of its places in that
+doc_id's rows; every later document with the same piece has all the piece's windows
+repeated, which needs no other machine. So a group of copies that holds a third of the
+corpus, or a text that repeats one letter, reaches its bucket as one piece a flush.
 
 Minimisers that stand in very many different pieces (a line that every document has)
-would still make a heavy bucket. ``hot_anchors`` counts minimisers over a scan and names
+would still make a heavy bucket. ``dealing`` counts minimisers over a scan and names
 those whose share would outweigh a bucket, at most HOT_SHARE a bucket; their pieces are
 cut into single windows and dealt by the hash of the whole window instead.
 
@@ -42,6 +43,9 @@ HOT_SHARE = 0.5
 #: Effort of compression with a dictionary.
 LEVEL = 4
 
+#: Bytes of pieces a bucket, and the least number of buckets.
+BUCKET, BUCKETS = 16 << 20, 256
+
 SENT = "pid int, sub int, kind int, blob binary"
 SPANS = "doc_id long, rid long, spans binary"
 
@@ -158,7 +162,7 @@ def unpack(blob: bytes, kinds: dict[str, type], coder: zstandard.ZstdDecompresso
 
 
 #: Of ids there are the differences, which take fewer bytes.
-PIECE = {"id": np.int64, "rid": np.int64, "docs": np.uint32, "start": np.uint32, "windows": np.uint16, "left": np.uint16}
+PIECE = {"id": np.int64, "rid": np.int64, "docs": np.uint32, "start": np.uint32, "places": np.uint32, "windows": np.uint16, "left": np.uint16}
 DONE = {"id": np.int64, "rid": np.int64, "docs": np.uint32, "start": np.uint32, "windows": np.uint32}
 
 def _whose(got: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -170,6 +174,7 @@ def _send(words: bool, width: int, gram: int, parts: int, subs: int, hot: np.nda
     total = parts * subs
 
     def run(batches):
+        C.held("pieces")
         held: list[tuple] = []
         size, coder = 0, compressor(shared.value)
 
@@ -192,11 +197,17 @@ def _send(words: bool, width: int, gram: int, parts: int, subs: int, hot: np.nda
             send = order[~repeated[order]]
             send = send[np.argsort(bucket[send], kind="stable")]
             for idx in np.split(send, np.flatnonzero(np.diff(bucket[send])) + 1) if len(send) else ():
-                idx = idx[np.lexsort((start[idx], rids[idx], ids[idx]))]
+                # pieces by the first place of each; places that share a piece stand together
+                own = owner[idx]
+                idx = idx[np.lexsort((start[idx], rids[idx], own, rids[own], ids[idx]))]
                 new = np.ones(len(idx), bool)
                 new[1:] = (ids[idx[1:]] != ids[idx[:-1]]) | (rids[idx[1:]] != rids[idx[:-1]])
-                columns = {"id": np.diff(ids[idx[new]], prepend=0), "rid": rids[idx[new]], "docs": np.append(0, new[1:]).astype(np.uint32), "start": start[idx].astype(np.uint32), "windows": windows[idx].astype(np.uint16), "left": left[idx].astype(np.uint16)}
-                add(int(bucket[idx[0]]) // subs, int(bucket[idx[0]]), 0, pack(columns, (b"\n" if words else b"").join([text[i] for i in idx.tolist()]), coder))
+                head = np.ones(len(idx), bool)
+                head[1:] = owner[idx[1:]] != owner[idx[:-1]]
+                one = idx[head]
+                places = np.diff(np.append(np.flatnonzero(head), len(idx)))
+                columns = {"id": np.diff(ids[idx[new]], prepend=0), "rid": rids[idx[new]], "docs": np.append(0, new[1:]).astype(np.uint32), "start": start[idx].astype(np.uint32), "places": places.astype(np.uint32), "windows": windows[one].astype(np.uint16), "left": left[one].astype(np.uint16)}
+                add(int(bucket[idx[0]]) // subs, int(bucket[idx[0]]), 0, pack(columns, (b"\n" if words else b"").join([text[i] for i in one.tolist()]), coder))
             gone = np.flatnonzero(repeated)
             if len(gone):
                 spot = (C.mix(rids[gone].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
@@ -248,6 +259,11 @@ def _spans(ids, rids, start, windows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[cut]), pa.array(rids[cut]), pa.array([pairs[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["doc_id", "rid", "spans"])
 
 
+def _ranges(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """low[0], low[0] + 1, ... n[0] numbers, then those from low[1] on, and so on."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+
+
 def anchors(texts: list[bytes], windows: np.ndarray, left: np.ndarray, words: bool, width: int, gram: int) -> np.ndarray:
     """A hash of each piece's minimiser."""
     if words:
@@ -268,45 +284,48 @@ def _answer(words: bool, width: int, gram: int, least: Callable, shared) -> Call
 
     def bucket(blobs: list[bytes], coder):
         text: list[bytes] = []
-        columns: dict[str, list] = {k: [] for k in ("ids", "rids", "start", "windows", "left")}
+        columns: dict[str, list] = {k: [] for k in ("ids", "rids", "start", "places", "windows", "left")}
         for blob in blobs:
             got, raw = unpack(blob, PIECE, coder)
+            windows = got["windows"].astype(np.int64)
             if words:
                 text += raw.split(b"\n")
             else:
-                ends = np.cumsum(got["windows"].astype(np.int64) + width - 1)
+                ends = np.cumsum(windows + width - 1)
                 text += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-            ids, rids = _whose(got)
-            for k, v in zip(columns, (ids, rids, got["start"], got["windows"], got["left"]), strict=True):
+            for k, v in zip(columns, (*_whose(got), got["start"], got["places"].astype(np.int64), windows, got["left"].astype(np.int64)), strict=True):
                 columns[k].append(v)
-        ids, rids, start, windows, left = (np.concatenate(v) for v in columns.values())
+        place_id, place_rid, place_start, places, windows, left = (np.concatenate(v) for v in columns.values())
+        first = np.cumsum(places) - places
+        ids = place_id[first]  # all places of a piece have one doc_id
         seen: dict[bytes, int] = {}
         owner = np.empty(len(text), np.int64)
         for i in np.argsort(ids, kind="stable").tolist():
             owner[i] = seen.setdefault(text[i], i)
         whole = np.flatnonzero(ids[owner] < ids)  # the same piece stands in a smaller document
-        out = [(ids[whole], rids[whole], start[whole], windows[whole])]
+        found = [(whole, np.zeros(len(whole), np.int64), windows[whole])]  # pieces, first windows, windows
         # A window that two different pieces share has one minimiser, so a piece whose minimiser stands alone is done.
         own = np.flatnonzero(owner == np.arange(len(owner)))
-        tag = anchors([text[i] for i in own.tolist()], windows[own].astype(np.int64), left[own].astype(np.int64), words, width, gram)
+        tag = anchors([text[i] for i in own.tolist()], windows[own], left[own], words, width, gram)
         _, group, count = np.unique(tag, return_inverse=True, return_counts=True)
         own = own[count[group.ravel()] > 1]
         if len(own):
-            i, offset, run = least([text[i] for i in own.tolist()], ids[own], windows[own].astype(np.int64), left[own].astype(np.int64))
+            i, offset, run = least([text[i] for i in own.tolist()], ids[own], windows[own], left[own])
             if len(i):
-                rows = own[i]
+                order = np.argsort(own[i], kind="stable")
+                rows, offset, run = own[i][order], offset[order], run[order]
+                found.append((rows, offset, run))
                 mate = np.flatnonzero((ids[owner] == ids) & (owner != np.arange(len(owner))))  # the same piece again in its least document
-                out.append((ids[rows], rids[rows], start[rows] + offset, run))
-                if len(mate):
-                    by: dict[int, list] = {}
-                    for r, o, n in zip(rows.tolist(), offset.tolist(), run.tolist(), strict=True):
-                        by.setdefault(r, []).append((o, n))
-                    more = [(m, o, n) for m in mate.tolist() for o, n in by.get(int(owner[m]), ())]
-                    if more:
-                        m, o, n = (np.array(x) for x in zip(*more, strict=True))
-                        out.append((ids[m], rids[m], start[m] + o, n))
-        ids, rids, start, windows = (np.concatenate([o[k] for o in out]) for k in range(4))
-        return _spans(ids, rids, start, windows) if len(ids) else None
+                low, n = np.searchsorted(rows, owner[mate], "left"), np.zeros(len(mate), np.int64)
+                n = np.searchsorted(rows, owner[mate], "right") - low
+                at = _ranges(low, n)
+                found.append((np.repeat(mate, n), offset[at], run[at]))
+        piece, offset, run = (np.concatenate([f[k] for f in found]) for k in range(3))
+        if not len(piece):
+            return None
+        n = places[piece]
+        at = _ranges(first[piece], n)
+        return _spans(place_id[at], place_rid[at], place_start[at].astype(np.int64) + np.repeat(offset, n), np.repeat(run, n))
 
     def run(batches):
         current, blobs, coder = None, [], decompressor(shared.value)
@@ -329,32 +348,39 @@ def _answer(words: bool, width: int, gram: int, least: Callable, shared) -> Call
     return run
 
 
-def hot_anchors(rows: DataFrame, words: bool, width: int, gram: int, buckets: int, share: int = 64) -> np.ndarray:
-    """Minimisers with more than HOT_SHARE of a mean bucket's pieces, at most buckets / HOT_SHARE of them.
+def dealing(rows: DataFrame, words: bool, width: int, gram: int, parts: int, share: int = 64) -> tuple[np.ndarray, int, int]:
+    """(hot minimisers, partitions, buckets a partition).
 
-    They only decide how work is dealt, never a result, so they are estimated on the rows
-    whose hash is divisible by ``share``.
+    There is a bucket for each BUCKET bytes of pieces, BUCKETS at least. A minimiser is hot
+    with more than HOT_SHARE of a mean bucket's pieces, so at most buckets / HOT_SHARE are.
+    This only decides how work is dealt, never a result, so it is estimated on the rows whose
+    hash is divisible by ``share``.
     """
 
     def count(batches):
+        C.held("anchors")
         for text, at, values, bounds, *_ in chunks(batches, words, width):
-            got = np.unique(pieces(values, bounds, width, gram)[3], return_counts=True)
+            first, windows, _, anchor = pieces(values, bounds, width, gram)
+            got = np.unique(anchor, return_counts=True)
             few = got[1] > 1  # what stands once in 2 MB can't be hot
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(got[0][few], np.uint64(0)).view(np.int64)), pa.array(np.append(got[1][few], got[1].sum()).astype(np.int64)), pa.array(np.arange(few.sum() + 1) == few.sum())], names=["anchor", "n", "total"])
+            size = int((at[first + windows + width - 1] - at[first]).sum()) if len(first) else 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(got[0][few], np.uint64(0)).view(np.int64)), pa.array(np.append(got[1][few], got[1].sum()).astype(np.int64)), pa.array(np.append(np.zeros(few.sum(), np.int64), size)), pa.array(np.arange(few.sum() + 1) == few.sum())], names=["anchor", "n", "size", "total"])
 
-    counts = rows.where(F.pmod(F.shiftright("rid", 8), F.lit(share)) == 0).mapInArrow(count, "anchor long, n long, total boolean").groupBy("anchor", "total").agg(F.sum("n").alias("n"))
+    counts = rows.where(F.pmod(F.shiftright("rid", 8), F.lit(share)) == 0).mapInArrow(count, "anchor long, n long, size long, total boolean").groupBy("anchor", "total").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
     counts = C.stored(counts, "anchors")
-    total = counts.where("total").agg(F.sum("n")).first()[0] or 0
-    least = max(8.0, HOT_SHARE * total / buckets)
-    found = counts.where(~F.col("total") & (F.col("n") > least)).select("anchor").limit(int(buckets / HOT_SHARE) + 1).collect()
-    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+    total, size = counts.where("total").agg(F.sum("n"), F.sum("size")).first()
+    wanted = max(BUCKETS, share * (size or 0) // BUCKET)
+    parts = max(parts, wanted // 64)  # 1 GB of pieces a task at most
+    subs = max(1, wanted // parts)
+    least = max(8.0, HOT_SHARE * (total or 0) / (parts * subs))
+    found = counts.where(~F.col("total") & (F.col("n") > least)).select("anchor").limit(int(parts * subs / HOT_SHARE) + 1).collect()
+    C.forget(counts)
+    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64)), parts, subs
 
 
 def row_key(doc=None, text=None):
-    """Tells rows of one doc_id apart: 64 bits where there is no doc_id, else 32, which travel as four bytes."""
-    doc, text = F.col("doc_id") if doc is None else doc, F.col("text") if text is None else text
-    h = F.xxhash64(doc, text)
-    return F.when(doc.isNull(), h).otherwise(h.bitwiseAND(F.lit(0xFFFFFFFF)))
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(F.col("doc_id") if doc is None else doc, F.col("text") if text is None else text)
 
 
 def repeated_spans(docs: DataFrame, words: bool, width: int, gram: int, least: Callable, shared) -> DataFrame:
@@ -364,13 +390,11 @@ def repeated_spans(docs: DataFrame, words: bool, width: int, gram: int, least: C
     first window, windows) for the runs whose windows stand in a piece with a smaller id.
     ``shared`` is a dictionary.
     """
-    spark = docs.sparkSession
-    parts = C.shuffle_partitions(spark)
-    subs = max(1, 256 // parts)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", row_key())
-    hot = hot_anchors(rows, words, width, gram, parts * subs)
+    hot, parts, subs = dealing(rows, words, width, gram, C.shuffle_partitions(docs.sparkSession))
     sent = rows.mapInArrow(_send(words, width, gram, parts, subs, hot, shared), SENT)
-    return sent.repartitionById(parts, F.col("pid")).sortWithinPartitions("sub").mapInArrow(_answer(words, width, gram, least, shared), SPANS)
+    spans = sent.repartitionById(parts, F.col("pid")).sortWithinPartitions("sub").mapInArrow(_answer(words, width, gram, least, shared), SPANS)
+    return C.stored(spans, "spans")  # so that the pieces' shuffle files go before the texts are shuffled
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, shared) -> DataFrame:

@@ -73,6 +73,18 @@ def test_repeated_bytes(docs, rows, empty):
     assert suffix_dedup.remove_repeated_bytes(empty).count() == 0
 
 
+def test_repeats_within_a_document(spark):
+    """A very long text of one letter is one piece with many places; so is what rows without a doc_id share."""
+    rng = random.Random(9)
+    shared = words(rng, 80)
+    rows = [(1, "a" * 1_500_000), (2, "b" * 70 + "a" * 1_000), (3, "x " * 200_000), (4, "y " + "x " * 500)] + [(None, f"{i} {shared}") for i in range(1_500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_dedup.remove_repeated_bytes(docs).collect()}
+    assert [got[k] for k in ((1, 1_500_000), (2, 1_070), (3, 400_000), (4, 1_002))] == [0, 1_000, 0, 1_001] and not any(v for k, v in got.items() if k[0] is None)
+    got = {(r.doc_id, r.n_words): r.n_removed for r in substring_dedup.remove_repeated_words(docs).collect()}
+    assert got[4, 501] == 500 and sum(got.values()) == 500
+
+
 def test_packing_round_trip(docs, rows, empty):
     from tokenizers import Tokenizer
 
