@@ -37,7 +37,7 @@ from . import common as C
 #: Tokens of a document taken at a time; longer ones are cut with an overlap of W - 1.
 SEGMENT = 1 << 20
 #: Bytes of text hashed at a time, and bytes of pieces gathered before they are sent.
-CHUNK, FLUSH = 1 << 19, 8 << 20
+CHUNK, FLUSH = 1 << 18, 8 << 20
 #: A minimiser is hot if its pieces are more than this share of a mean bucket's.
 HOT_SHARE = 0.5
 #: Effort of compression with a dictionary.
@@ -182,7 +182,7 @@ def _send(words: bool, width: int, gram: int, parts: int, subs: int, hot: np.nda
             # by documents in ascending order, so that the first holder of a piece is the least
             text = [p for h in held for p in h[0]]
             ids, rids, start, windows, left, bucket = (np.concatenate([h[k] for h in held]) for k in range(1, 7))
-            order = np.argsort(ids, kind="stable")
+            order = np.lexsort((start, rids, ids))
             seen: dict[bytes, int] = {}
             owner = np.empty(len(text), np.int64)
             for i in order.tolist():
@@ -194,20 +194,26 @@ def _send(words: bool, width: int, gram: int, parts: int, subs: int, hot: np.nda
                 for k, v in zip(out, (pid, sub, kind, blob), strict=True):
                     out[k].append(v)
 
+            # a bucket's pieces by the first place of each; places that share a piece stand together
+            rank = np.empty(len(text), np.int64)
+            rank[order] = np.arange(len(text))
             send = order[~repeated[order]]
-            send = send[np.argsort(bucket[send], kind="stable")]
-            for idx in np.split(send, np.flatnonzero(np.diff(bucket[send])) + 1) if len(send) else ():
-                # pieces by the first place of each; places that share a piece stand together
-                own = owner[idx]
-                idx = idx[np.lexsort((start[idx], rids[idx], own, rids[own], ids[idx]))]
-                new = np.ones(len(idx), bool)
-                new[1:] = (ids[idx[1:]] != ids[idx[:-1]]) | (rids[idx[1:]] != rids[idx[:-1]])
-                head = np.ones(len(idx), bool)
-                head[1:] = owner[idx[1:]] != owner[idx[:-1]]
-                one = idx[head]
-                places = np.diff(np.append(np.flatnonzero(head), len(idx)))
-                columns = {"id": np.diff(ids[idx[new]], prepend=0), "rid": rids[idx[new]], "docs": np.append(0, new[1:]).astype(np.uint32), "start": start[idx].astype(np.uint32), "places": places.astype(np.uint32), "windows": windows[one].astype(np.uint16), "left": left[one].astype(np.uint16)}
-                add(int(bucket[idx[0]]) // subs, int(bucket[idx[0]]), 0, pack(columns, (b"\n" if words else b"").join([text[i] for i in one.tolist()]), coder))
+            send = send[np.argsort(bucket[send] * len(text) + rank[owner[send]], kind="stable")]
+            id_, rid_, start_ = ids[send], rids[send], start[send].astype(np.uint32)
+            edge = np.ones(len(send), bool)
+            edge[1:] = bucket[send[1:]] != bucket[send[:-1]]
+            new, head = edge.copy(), edge.copy()
+            new[1:] |= (id_[1:] != id_[:-1]) | (rid_[1:] != rid_[:-1])
+            head[1:] |= owner[send[1:]] != owner[send[:-1]]
+            cut = np.append(np.flatnonzero(edge), len(send)).tolist()
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                changes, heads = new[a:b], np.flatnonzero(head[a:b])
+                one = send[a:b][heads]
+                docs = changes.astype(np.uint32)
+                docs[0] = 0
+                columns = {"id": np.diff(id_[a:b][changes], prepend=0), "rid": rid_[a:b][changes], "docs": docs, "start": start_[a:b], "places": np.diff(np.append(heads, b - a)).astype(np.uint32), "windows": windows[one].astype(np.uint16), "left": left[one].astype(np.uint16)}
+                place = int(bucket[send[a]])
+                add(place // subs, place, 0, pack(columns, (b"\n" if words else b"").join([text[i] for i in one.tolist()]), coder))
             gone = np.flatnonzero(repeated)
             if len(gone):
                 spot = (C.mix(rids[gone].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
