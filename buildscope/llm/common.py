@@ -89,14 +89,17 @@ def held(key, build=None):
 
 
 def trim() -> None:
-    """Gives freed memory of this worker back to the system."""
+    """Gives freed memory of this worker back to the system, and has large blocks go back as soon as they are freed."""
     import ctypes
     import gc
 
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
-        ctypes.CDLL(None).malloc_trim(0)
+        c = ctypes.CDLL(None)
+        c.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        c.mallopt(-8, 2)  # M_ARENA_MAX
+        c.malloc_trim(0)
     except (OSError, AttributeError):
         pass  # another C library: the memory stays with the worker
 

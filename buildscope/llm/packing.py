@@ -18,6 +18,8 @@ other columns are ignored by name.
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,6 +30,8 @@ from . import common as C
 LENGTH, END = 2048, 1
 #: Bytes of words and ids that a worker keeps: of the first words that it met, which the frequent ones are among.
 CACHE = 64 << 20
+#: Words given to the tokenizer at a time.
+ENCODED = 1 << 13
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, bucket int"
 
@@ -36,6 +40,7 @@ def encoder(path: str):
     """The tokenizer of a file and this worker's cache of the ids of its words."""
 
     def load():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         return [Tokenizer.from_file(path), {}, 0]
@@ -50,8 +55,11 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     split = [t.split() for t in texts]
     if not (missing := list(set().union(*split).difference(known))):
         return [b"".join(map(known.__getitem__, words)) for words in split]
-    encoded = tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-    new = {word: np.array(got.ids, "<u4").tobytes() for word, got in zip(missing, encoded, strict=True)}
+    new = {}
+    for a in range(0, len(missing), ENCODED):
+        part = missing[a : a + ENCODED]
+        encoded = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+        new |= {word: np.array(got.ids, "<u4").tobytes() for word, got in zip(part, encoded, strict=True)}
     if size < CACHE:
         known |= new
         own[2] += sum(map(len, new)) + sum(map(len, new.values())) + 150 * len(new)  # and what the dictionary and two objects take
