@@ -33,7 +33,8 @@ def path_tail(path: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    return F.when(n >= 1 << 20, F.format_string("%.1f MB", n / (1 << 20))).when(n >= 1024, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%d B", n.cast("long")))
+    """F16."""
+    return F.when(n >= 1 << 20, F.format_string("%.2f MB", n / (1 << 20))).when(n >= 1024, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%d B", n.cast("long")))
 
 
 def stable_id(*parts: Column) -> Column:

@@ -42,6 +42,57 @@ def contains(column: str, part: str | None) -> Column | None:
     return F.lower(F.col(column)).contains(part.lower()) if part else None
 
 
+def tri_state(value: Column, allowed: Sequence[bool | None]) -> Column:
+    """Whether a boolean that may be null is one of the allowed states; null is a state like the others."""
+    known = [a for a in allowed if a is not None]
+    out = value.isin(known) if known else F.lit(False)
+    return F.coalesce(out, F.lit(None in allowed))
+
+
+def short_keys(df: DataFrame, names: dict[str, str], marked: Sequence[str] = ()) -> DataFrame:
+    """The named columns under short names; comments that mark generated text go from `marked` ones."""
+    strip = lambda c: F.trim(F.regexp_replace(c, "<!--[^>]*-->", ""))
+    return df.select(*((strip(c) if c in marked else F.col(c)).alias(n) for c, n in names.items()))
+
+
+def remap_ends(edges: DataFrame, pairs: DataFrame, a: str, b: str, file: str, paired: str) -> DataFrame:
+    """edges with both ends replaced by their paired file where there is one; edges from a file to itself go."""
+    for end in (a, b):
+        to = pairs.select(F.col(file).alias(end), F.col(paired).alias("_to"))
+        edges = edges.join(to, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    return edges.where(F.col(a) != F.col(b))
+
+
+def valid_patterns(patterns: Sequence[str]) -> list[str]:
+    """Those that compile; the others are skipped."""
+    import re
+
+    def works(p):
+        try:
+            re.compile(p)
+        except re.error:
+            return False
+        return True
+
+    return [p for p in patterns if works(p)]
+
+
+def user_match(value: Column, pattern: str, flags: str = "") -> Column:
+    """Whether a user's pattern is found; flags other than i, m, s and u are dropped, a pattern that does not compile never matches."""
+    if not valid_patterns([pattern]):
+        return F.lit(False)
+    known = "".join(f for f in dict.fromkeys(flags) if f in "imsu")
+    return value.rlike((f"(?{known})" if known else "") + pattern)
+
+
+def any_glob(value: Column, globs: Sequence[str]) -> Column:
+    """Whether any glob of * and ? fits the whole value."""
+    import re
+
+    fits = [value.rlike("^" + re.escape(g).replace(r"\*", ".*").replace(r"\?", ".") + "$") for g in globs]
+    return reduce(lambda x, y: x | y, fits) if fits else F.lit(False)
+
+
 def asof(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, tie: str, values: Sequence[str]) -> DataFrame:
     """left with the values of right's last row at or before it, by union and one window.
 

@@ -2,51 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import core as O
 from ..operators import graph as G
 from ..streaming import telemetry
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-class Tables:
-    """Tables by name, read when asked for."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return add
-
-
-def money(c) -> F.Column:
-    """Exact sums of doubles, whatever the order of rows."""
-    return F.col(c).cast("decimal(18,4)") if isinstance(c, str) else c.cast("decimal(18,4)")
-
-
-def as_double(c) -> F.Column:
-    return c.cast("double")
-
-
-def n_rows() -> F.Column:
-    return F.count(F.lit(1))
+from .registry import ORACLE, QUERIES, as_double, money, n_rows, query
 
 
 @query("A1_conditional_rollup", """
@@ -409,11 +372,6 @@ def f2(t):
     return t.lineitem.groupBy(S.severity(F.col("l_quantity"), 20).alias("severity")).agg(n_rows().alias("n"))
 
 
-@query("F9_rounding", "select p_partkey, round_even(p_size / 2.0, 0)::bigint cycles from part")
-def f9(t):
-    return t.part.select("p_partkey", F.bround(F.col("p_size") / 2.0, 0).cast("long").alias("cycles"))
-
-
 @query("F13_stable_id", "select p_partkey, 'lens:' || left(sha1(p_name || '|' || p_brand), 16) id from part")
 def f13(t):
     return t.part.select("p_partkey", S.stable_id(F.col("p_name"), F.col("p_brand")).alias("id"))
@@ -475,3 +433,8 @@ def src4(t):
 
 
 ORACLE["SRC_nm_totals"] = "select count(*) n, sum(p_size)::bigint size from part"
+
+
+from . import rules  # noqa: E402, F401  they register their queries
+
+__all__ = ["ORACLE", "QUERIES"]
