@@ -141,3 +141,45 @@ def induced(edges: DataFrame, nodes: DataFrame, a: str, b: str, node: str) -> Da
 
 def waste(total: Column, claimed: Column) -> Column:
     return F.greatest(F.lit(0), total - claimed)
+
+
+def seen_before(flag: Column, order, rows: int) -> Column:
+    """Whether the flag holds in any of the rows just before, in a window's order."""
+    return F.coalesce(F.max(flag.cast("int")).over(order.rowsBetween(-rows, -1)) == 1, F.lit(False))
+
+
+def near(flag: Column, order, rows: int) -> Column:
+    """Whether the flag holds within so many rows on either side: one window, no join with the targets."""
+    return F.max(flag.cast("int")).over(order.rowsBetween(-rows, rows)) == 1
+
+
+def findings(*parts: DataFrame) -> DataFrame:
+    """Rows of several producers under one schema; what a producer does not know is null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def rank_of(value: Column, order: Sequence[str]) -> Column:
+    """Place of value in the order; others come last."""
+    out = F.when(value == order[0], 0)
+    for i, v in enumerate(order[1:], 1):
+        out = out.when(value == v, i)
+    return out.otherwise(len(order))
+
+
+def without_orphans(nodes: DataFrame, edges: DataFrame, node: str, root=None, a: str = "src", b: str = "dst") -> DataFrame:
+    """The nodes with an edge, and the root."""
+    ends = edges.select(F.explode(F.array(a, b)).alias(node))
+    kept = nodes.join(ends, node, "left_semi")
+    return kept if root is None else kept.unionByName(nodes.where(F.col(node) == root)).dropDuplicates([node])
+
+
+def isrs(symbols: DataFrame) -> DataFrame:
+    """M5: functions that are handlers by name or section, the first of each name by address, with the reasons."""
+    from ..functions import rules as R
+
+    section = F.col("section")
+    by_name = R.is_isr(F.col("name"))
+    vector = section.isin(*R.VECTOR_SECTIONS) | F.lower(section).contains("vector")
+    fast = section.isin(*R.FAST_SECTIONS, *R.VECTOR_SECTIONS) | R.any_of(F.lower(section), ("iram", "itcm", "ramcode", "fastcode"))
+    reason = F.concat_ws(" + ", F.when(by_name, "naming convention"), F.when(vector, "vector section"), F.when(fast, "fast memory"))
+    return dedupe_first(symbols.where(by_name | vector).withColumn("reason", reason), ["name"], ["addr"])

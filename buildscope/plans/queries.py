@@ -435,6 +435,6 @@ def src4(t):
 ORACLE["SRC_nm_totals"] = "select count(*) n, sum(p_size)::bigint size from part"
 
 
-from . import rules  # noqa: E402, F401  they register their queries
+from . import rollups, rules  # noqa: E402, F401  they register their queries
 
 __all__ = ["ORACLE", "QUERIES"]
