@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import core as O
 from ..operators import graph as G
 from ..streaming import telemetry
+from .graphs import HEAP, heap
 from .registry import ORACLE, QUERIES, as_double, money, n_rows, query
 
 
@@ -392,13 +393,6 @@ def f26(t):
     return t.events.select("event_id", F.expr("try_cast(nullif(regexp_extract(props, '\"k\":\\\\s*(-?[0-9.]+)', 1), '') as double)").alias("k"))
 
 
-HEAP = "with recursive e as (select p_partkey src, p_partkey // 2 dst from part where p_partkey > 1), "
-
-
-def heap(t) -> DataFrame:
-    return t.part.where("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).cast("long").alias("dst"))
-
-
 @query("G2_khop", HEAP + "u as (select src, dst from e union select dst, src from e), w as (select 5::bigint node, 0 depth union select dst, depth + 1 from w join u on node = src where depth < 3) select node, min(depth)::bigint depth from w group by 1")
 def g2(t):
     return G.hops(G.both_ways(heap(t)), t.spark.createDataFrame([(5,)], "node long"), 3)
@@ -416,7 +410,7 @@ def g8(t):
 
 @query("G7_longest_path", HEAP + "w as (select p_partkey node, p_partkey pos, p_size::bigint total from part union all select node, dst, total + p_size from w join e on pos = src join part on p_partkey = dst) select node, max(total) worst from w group by 1")
 def g7(t):
-    return G.longest(heap(t), t.part.select(F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("weight")))
+    return G.longest(heap(t), t.part.select(F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("weight"))).drop("path")
 
 
 @query("G13_alias_chain", HEAP + "w as (select src node, dst target, 1::bigint hops from e union all select node, dst, hops + 1 from w join e on target = src where hops < 8) select node, arg_max(target, hops) target, max(hops) hops from w group by 1")
@@ -435,6 +429,6 @@ def src4(t):
 ORACLE["SRC_nm_totals"] = "select count(*) n, sum(p_size)::bigint size from part"
 
 
-from . import rollups, rules  # noqa: E402, F401  they register their queries
+from . import graphs, rollups, rules  # noqa: E402, F401  they register their queries
 
 __all__ = ["ORACLE", "QUERIES"]
