@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import core as O
 from ..operators import graph as G
+from ..operators import located as L
 from ..streaming import telemetry
 from .graphs import HEAP, heap
 from .registry import ORACLE, QUERIES, as_double, money, n_rows, query
@@ -262,10 +263,7 @@ r as (select *, rank() over (partition by c_custkey order by priority) r from c)
 def j9(t):
     c = t.customer.select("c_custkey", F.col("c_nationkey").alias("n_nationkey")).join(t.nation.select("n_nationkey", "n_regionkey"), "n_nationkey")
     s = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("n_nationkey")).join(t.nation.select("n_nationkey", "n_regionkey"), "n_nationkey")
-    one = c.join(s.drop("n_regionkey"), "n_nationkey").select("c_custkey", "s_suppkey", F.lit(1).alias("priority"))
-    two = c.drop("n_nationkey").join(s.drop("n_nationkey"), "n_regionkey").select("c_custkey", "s_suppkey", F.lit(2).alias("priority"))
-    best = O.waterfall(one.unionByName(two), ["c_custkey"])
-    return best.withColumn("n", n_rows().over(Window.partitionBy("c_custkey"))).where("n <= 12").drop("n")
+    return L.capped_tiers(c, s, "c_custkey", "s_suppkey", ["n_nationkey", "n_regionkey"], 12).drop("kind")
 
 
 @query("J11_prefer_human", "select doc_id, coalesce(quality, case when n_chars > 100 then 1 else 0 end) quality, quality is not null corrected from documents left join labels using (doc_id)")
@@ -429,6 +427,6 @@ def src4(t):
 ORACLE["SRC_nm_totals"] = "select count(*) n, sum(p_size)::bigint size from part"
 
 
-from . import graphs, rollups, rules  # noqa: E402, F401  they register their queries
+from . import graphs, places, rollups, rules  # noqa: E402, F401  they register their queries
 
 __all__ = ["ORACLE", "QUERIES"]
