@@ -118,9 +118,8 @@ def a14(t):
 
 @query("ST4_stream_stats", STATS)
 def st4(t):
-    out = telemetry.drain(t.spark, f"{t.folder}/events.parquet", lambda s: s.groupBy("user_id", "event_type").agg(n_rows().alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.max_by("value", F.struct("ts", "event_id")).alias("last_value"), F.min("ts").alias("a"), F.max("ts").alias("b")), "complete")
-    span = F.unix_micros(F.col("b").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp"))
-    return out.select("user_id", "event_type", "n", "min_value", "max_value", "last_value", F.round(F.try_divide((F.col("n") - 1) * F.lit(1e6), span.cast("double")), 9).alias("rate"))
+    stream = telemetry.opened(t.spark, f"{t.folder}/events.parquet")
+    return telemetry.with_rate(telemetry.drained(telemetry.series_state(stream), ["user_id", "event_type"]))
 
 
 NATIONS = """with e as (select c.c_nationkey src, s.s_nationkey dst, l_partkey from lineitem join orders on l_orderkey = o_orderkey
@@ -416,17 +415,6 @@ def g13(t):
     return G.chase(heap(t).withColumnsRenamed({"src": "node", "dst": "next"}))
 
 
-@query("SRC_nm_totals")
-def src4(t):
-    from ..sources import builds
-
-    rows = t.part.select(F.lit("part").alias("file"), F.col("p_partkey").alias("line_no"), F.format_string("%08x %08x T %s", F.col("p_partkey") * 16, F.col("p_size"), F.concat(F.lit("part_"), F.col("p_partkey"))).alias("line"))
-    return builds.nm(rows).agg(n_rows().alias("n"), F.sum("size").alias("size"))
-
-
-ORACLE["SRC_nm_totals"] = "select count(*) n, sum(p_size)::bigint size from part"
-
-
-from . import graphs, places, rollups, rules  # noqa: E402, F401  they register their queries
+from . import graphs, places, rollups, rules, texts  # noqa: E402, F401  they register their queries
 
 __all__ = ["ORACLE", "QUERIES"]
