@@ -43,6 +43,8 @@ from . import superkmer as K
 from .substring_dedup import merged, sha256
 
 WIDTH, GRAM = 50, 10
+#: Pieces lined up at a time.
+ROWS = 1 << 14
 
 
 class RangeMinimum:
@@ -74,12 +76,13 @@ def construct(texts: list[bytes], left: np.ndarray, last: int, orders, prefixes)
     right = lengths - left  # columns from the minimiser on
     low, high = -int(left.max()), int(right.max())
     grid = np.zeros((len(texts), high - low), np.uint8)
-    flat = np.frombuffer(b"".join(texts), np.uint8)
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    grid[np.repeat(np.arange(len(texts)), lengths), at + np.repeat(-left - low, lengths)] = flat
+    place = np.arange(low, high)
+    for a in range(0, len(texts), ROWS):  # a piece's bytes are its row's columns from -left to right
+        own = slice(a, a + ROWS)
+        grid[own][(place >= -left[own, None]) & (place < right[own, None])] = np.frombuffer(b"".join(texts[own]), np.uint8)
     with tempfile.TemporaryFile() as symbols:
         np.ascontiguousarray(grid[:, ::-1].T).tofile(symbols)  # the last column comes first
-        del grid, flat, at
+        del grid
         symbols.seek(0)
         order, common, done = np.zeros(0, np.int32), np.zeros(0, np.uint8), []
         for column in range(high - 1, max(low, last) - 1, -1):

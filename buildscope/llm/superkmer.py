@@ -270,19 +270,21 @@ def _ranges(low: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
 
 
-def anchors(texts: list[bytes], windows: np.ndarray, left: np.ndarray, words: bool, width: int, gram: int) -> np.ndarray:
-    """A hash of each piece's minimiser."""
-    if words:
-        whole = b" ".join(texts) + b" "
-        ends = np.flatnonzero(np.frombuffer(whole, np.uint8) == 32)
-        starts = np.append(0, ends[:-1] + 1)
-        at = np.cumsum(windows + width - 1) - (windows + width - 1) + left
-        begin, end = starts[at], ends[at + gram - 1]
-    else:
-        whole = b"".join(texts)
-        begin = np.cumsum(windows + width - 1) - (windows + width - 1) + left
-        end = begin + gram
-    return C.span_hash(C.prefix_hash(C.byte_values(whole)), begin, end)
+def anchors(texts: list[bytes], windows: np.ndarray, left: np.ndarray, words: bool, width: int, gram: int, step: int = 4096) -> np.ndarray:
+    """A hash of each piece's minimiser, so many pieces at a time."""
+    out = [np.zeros(0, np.uint64)]
+    for a in range(0, len(texts), step):
+        some, tokens, at = texts[a : a + step], windows[a : a + step] + width - 1, left[a : a + step]
+        begin = np.cumsum(tokens) - tokens + at
+        if words:
+            whole = b" ".join(some) + b" "
+            ends = np.flatnonzero(np.frombuffer(whole, np.uint8) == 32)
+            begin, end = np.append(0, ends[:-1] + 1)[begin], ends[begin + gram - 1]
+        else:
+            whole = b"".join(some)
+            end = begin + gram
+        out.append(C.span_hash(C.prefix_hash(C.byte_values(whole)), begin, end))
+    return np.concatenate(out)
 
 
 def _answer(words: bool, width: int, gram: int, least: Callable, shared) -> Callable:
