@@ -1,14 +1,17 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
 Each task takes its documents in shards of a few MB. A shard's words become numbers of
-the test vocabulary (0 for a word that no test has, which matches nothing), and the
-positions from which a match can start are sorted into a suffix array, compared by the
-next ``width`` words. Every test suffix of at least a window is found by two binary
-searches; what it finds is extended word by word to the longest verbatim match.
-
-The training text is read once and never shuffled. The test set goes to all tasks, in
-blocks of at most BLOCK bytes: a larger test set takes one pass over the training text a
-block, with the passes' findings merged by row.
+the test vocabulary (0 for a word that no test has, which matches nothing; words are told
+by 64-bit hashes, and what is found is compared byte by byte), and the positions from which a
+match can start are sorted into a suffix array, compared by the next ``width`` words. Every
+test suffix of at least a window is found by two binary searches. Occurrences that follow
+one another in text and item make up a longest verbatim match (see ``longest_matches``); the
+words that are hit are those of the occurrences, which are the same.
+
+The training text is read once and never shuffled. The test set goes to all tasks as a
+broadcast of arrays, in blocks of at most about BLOCK bytes of text, of which the driver
+holds two: a larger test set takes one pass over the training text a block, with the
+passes' findings stored and merged by row.
 
 A window is ``width`` consecutive words of an item; an item with fewer words, but not
 none, is one window. A document word within an occurrence of a window is hit.
@@ -28,44 +31,66 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-WIDTH, BLOCK, SHARD = 10, 32 << 20, 4 << 20
+WIDTH, BLOCK, SHARD = 10, 8 << 20, 1 << 20
 FOUND = "doc_id long, rid long, n_words long, hits binary, items array<string>"
 
 
 class Tests:
-    """The windows of a block of test items, sorted, and the items that have each."""
+    """The windows of a block of test items as sorted arrays, and the items and places that have each."""
 
     def __init__(self, items: list[tuple], width: int):
         self.width = width
-        words = [(i, C.plain_words((t or "").encode())) for i, t in items]
-        words = [(i, w) for i, w in words if w]
-        self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in words for w in ws}))}
+        split = [(i, C.plain_words((t or "").encode())) for i, t in items]
+        split = [(i, w) for i, w in split if w]
+        self.names = [None if i is None else str(i) for i, _ in split]
+        self.lengths = np.fromiter((len(w) for _, w in split), np.int64, len(split))
+        self.first = np.cumsum(self.lengths) - self.lengths
+        # the items' words in a row, with the place of each
+        self.text, self.at, hashes = C.word_hashes([x for _, w in split for x in w])
+        del split
+        self.vocabulary, number = np.unique(hashes, return_inverse=True)
         self.kind = np.dtype(">u2" if len(self.vocabulary) < 65535 else ">u4")
-        self.texts = [np.fromiter((self.vocabulary[w] for w in ws), np.int64, len(ws)) for _, ws in words]
-        self.names = [None if i is None else str(i) for i, _ in words]
-        found: dict[tuple, list] = {}
-        for k, text in enumerate(self.texts):
-            n = min(width, len(text))
-            for a in range(len(text) - n + 1):
-                found.setdefault(tuple(text[a : a + n].tolist()), []).append((k, a))
-        self.keys = sorted(found)
-        self.places = [found[k] for k in self.keys]
-        self.sizes = np.array([len(k) for k in self.keys], np.int64)
-        self.least = min([4, *self.sizes.tolist()])
-        low = np.zeros((len(self.keys), width), self.kind)
-        high = np.full((len(self.keys), width), np.iinfo(self.kind.newbyteorder("=")).max, self.kind)
-        for i, k in enumerate(self.keys):
-            low[i, : len(k)] = high[i, : len(k)] = k
-        self.low, self.high = self.as_text(low), self.as_text(high)
+        number = (number.ravel() + 1).astype(self.kind)
+        size = np.minimum(self.lengths, width)
+        many = self.lengths - size + 1
+        item = np.repeat(np.arange(len(size)), many)
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        start, size = self.first[item] + place, size[item]
+        rows = np.zeros((len(start), width), self.kind)
+        for k in range(width):  # a window's words; a shorter item's are followed by 0
+            has = size > k
+            rows[has, k] = number[start[has] + k]
+        keys, inverse = np.unique(self.as_text(rows), return_inverse=True)
+        order = np.argsort(inverse.ravel(), kind="stable")
+        self.item, self.place = item[order], place[order]
+        self.bounds = np.append(0, np.cumsum(np.bincount(inverse.ravel(), minlength=len(keys))))
+        self.low, self.sizes = keys, size[order][self.bounds[:-1]]
+        self.short = np.flatnonzero(self.sizes < width)
+        high = rows[order[self.bounds[:-1]][self.short]]
+        high[np.arange(width) >= self.sizes[self.short][:, None]] = np.iinfo(self.kind.newbyteorder("=")).max
+        self.high = self.as_text(high)
+        self.least = int(min([4, *self.sizes.tolist()]))
 
     def as_text(self, rows: np.ndarray) -> np.ndarray:
         return np.ascontiguousarray(rows).view(f"S{self.width * self.kind.itemsize}").ravel()
 
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of words by their hashes; 0 for those of no test."""
+        if not len(self.vocabulary):
+            return np.zeros(len(hashes), np.int64)
+        near = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[near] == hashes, near + 1, 0)
+
+    def window(self, w: int) -> bytes:
+        """The words of a window, joined by spaces."""
+        a = self.first[self.item[self.bounds[w]]] + self.place[self.bounds[w]]
+        return self.text[self.at[a] : self.at[a + self.sizes[w]] - 1]
+
 
 def search(numbers: np.ndarray, tests: Tests):
     """Occurrences in a shard of test windows: (position, index of the window)."""
     none = np.zeros(0, np.int64)
-    if not tests.keys:
+    if not len(tests.low):
         return none, none
     known = numbers > 0
     n = len(numbers)
@@ -81,30 +106,40 @@ def search(numbers: np.ndarray, tests: Tests):
     suffixes = tests.as_text(np.lib.stride_tricks.sliding_window_view(wide, tests.width)[at])
     order = np.argsort(suffixes, kind="stable")
     suffixes = suffixes[order]
-    low, high = np.searchsorted(suffixes, tests.low, "left"), np.searchsorted(suffixes, tests.high, "right")
+    low, high = np.searchsorted(suffixes, tests.low, "left"), np.searchsorted(suffixes, tests.low, "right")
+    high[tests.short] = np.searchsorted(suffixes, tests.high, "right")
     count = high - low
     window = np.repeat(np.arange(len(count)), count)
     entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
     return at[order[entry]], window
 
 
-def extended(numbers: np.ndarray, bounds: np.ndarray, position: np.ndarray, window: np.ndarray, tests: Tests):
-    """Longest verbatim matches (position, item, place in the item, words) of the occurrences."""
-    pairs = [(p, k, a) for p, w in zip(position.tolist(), window.tolist(), strict=True) for k, a in tests.places[w]]
-    out = []
-    for p, k, a in pairs:
-        if a and p and tests.texts[k][a - 1] == numbers[p - 1] and p not in bounds:
-            continue  # a suffix that starts earlier has this match
-        own, limit = tests.texts[k][a:], bounds[np.searchsorted(bounds, p, "right")] - p
-        n = min(len(own), int(limit))
-        differ = np.flatnonzero(own[:n] != numbers[p : p + n])
-        out.append((p, k, a, int(differ[0]) if len(differ) else n))
-    return out
+def occurrences(numbers: np.ndarray, bounds: np.ndarray, text: bytes, starts: np.ndarray, tests: Tests):
+    """(position, window, document) of the occurrences that lie within a document and have the window's very words."""
+    position, window = search(numbers, tests)
+    size = tests.sizes[window]
+    doc = np.searchsorted(bounds, position, side="right") - 1
+    inside = position + size <= bounds[doc + 1] if len(position) else np.zeros(0, bool)
+    position, window, size, doc = position[inside], window[inside], size[inside], doc[inside]
+    same = np.fromiter((text[starts[p] : starts[p + n] - 1] == tests.window(w) for p, n, w in zip(position.tolist(), size.tolist(), window.tolist(), strict=True)), bool, len(position))
+    return position[same], window[same], doc[same]
+
+
+def extended(position: np.ndarray, window: np.ndarray, tests: Tests):
+    """Longest verbatim matches of the occurrences: arrays (position, item, place in the item, words)."""
+    n = tests.bounds[window + 1] - tests.bounds[window]
+    each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(tests.bounds[window], n)
+    p, item, place, size = np.repeat(position, n), tests.item[each], tests.place[each], np.repeat(tests.sizes[window], n)
+    order = np.lexsort((p, p - place, item))
+    p, item, place, size = p[order], item[order], place[order], size[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (item[1:] != item[:-1]) | (p[1:] - place[1:] != p[:-1] - place[:-1]) | (p[1:] != p[:-1] + 1)
+    cut = np.flatnonzero(new)
+    return p[cut], item[cut], place[cut], np.diff(np.append(cut, len(p))) - 1 + size[cut]
 
 
 def shards(batches, tests: Tests, size: int):
-    """(numbers, first word of each document and the end, doc_ids, rids) of a few MB of documents each."""
-    get = tests.vocabulary.get
+    """(numbers, first word of each document and the end, words in a row, where each starts, doc_ids, rids) of a MB of documents each."""
     for batch in batches:
         data, starts, ends = C.strings(batch.column("text"))
         ids, rids = batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist()
@@ -113,9 +148,10 @@ def shards(batches, tests: Tests, size: int):
             b = max(a + 1, int(np.searchsorted(ends, starts[a] + size)))
             words, bounds = [], [0]
             for i in range(a, b):
-                words += map(get, C.plain_words(bytes(data[starts[i] : ends[i]])))
+                words += C.plain_words(bytes(data[starts[i] : ends[i]]))
                 bounds.append(len(words))
-            yield np.array([w or 0 for w in words], np.int64), np.array(bounds), ids[a:b], rids[a:b]
+            text, at, hashes = C.word_hashes(words)
+            yield tests.numbers(hashes), np.array(bounds), text, at, ids[a:b], rids[a:b]
             a = b
 
 
@@ -135,22 +171,19 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", C.row_id())
 
 
-def _find(tests: Tests):
+def _find(shared):
     def run(batches):
-        for numbers, bounds, ids, rids in shards(batches, tests, SHARD):
-            # a match must not run over a document's end: occurrences are checked against the bounds
-            position, window = search(numbers, tests)
-            size = tests.sizes[window]
-            doc = np.searchsorted(bounds, position, side="right") - 1
-            inside = position + size <= bounds[doc + 1] if len(position) else np.zeros(0, bool)
-            position, window, size, doc = position[inside], window[inside], size[inside], doc[inside]
+        C.held("tests")
+        tests = shared.value
+        for numbers, bounds, text, at, ids, rids in shards(batches, tests, SHARD):
+            position, window, doc = occurrences(numbers, bounds, text, at, tests)
             edge = np.zeros(len(numbers) + 1, np.int64)
             np.add.at(edge, position, 1)
-            np.add.at(edge, position + size, -1)
+            np.add.at(edge, position + tests.sizes[window], -1)
             hit = np.cumsum(edge[:-1]) > 0
             names: dict[int, set] = {}
             for d, w in set(zip(doc.tolist(), window.tolist(), strict=True)):
-                names.setdefault(d, set()).update(tests.names[k] for k, _ in tests.places[w])
+                names.setdefault(d, set()).update(tests.names[k] for k in tests.item[tests.bounds[w] : tests.bounds[w + 1]].tolist())
             hits = [np.packbits(hit[a:b]).tobytes() if d in names else b"" for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))]
             items = [sorted(n for n in names.get(d, ()) if n is not None) for d in range(len(ids))]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rids, pa.int64()), pa.array(np.diff(bounds)), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "rid", "n_words", "hits", "items"])
@@ -175,15 +208,19 @@ def _union(hits):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """Rows (doc_id, rid, n_words, hits, items): hits has a bit a word, items the sorted ids of found items."""
-    rows, parts = _rows(docs), []
+    rows, parts, spark = _rows(docs), [], docs.sparkSession
+    last = None
     for tests in blocks(benchmark, width, block):
-        parts.append((tests, rows.mapInArrow(_find(tests), FOUND)))
-        if len(parts) > 1:  # a test set of several blocks: each pass is stored, then merged
-            parts = [(None, C.stored(p, "found")) for _, p in parts]
+        if last is not None:  # a test set of several blocks: each pass is stored, then merged
+            parts.append(C.stored(rows.mapInArrow(_find(last), FOUND), "found"))
+            last.unpersist()
+        last = spark.sparkContext.broadcast(tests)  # arrays of at most some 30 times the block's bytes
+    final = rows.mapInArrow(_find(last), FOUND)
+    parts.append(C.stored(final, "found") if parts else final)
     if len(parts) == 1:
-        return parts[0][1]
-    every = parts[0][1]
-    for _, more in parts[1:]:
+        return parts[0]
+    every = parts[0]
+    for more in parts[1:]:
         every = every.unionByName(more)
     # repeated rows come once a block each: equal rows of one block are counted and given back
     one = every.groupBy("doc_id", "rid").agg(F.max("n_words").alias("n_words"), F.collect_set("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.expr(f"count(*) div {len(parts)}").alias("copies"))
@@ -198,37 +235,44 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
     return found.select("doc_id", "n_words", F.when(F.length("hits") > 0, ones).otherwise(F.lit(0)).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"))
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+def longest_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """Rows (item_id, item_word, doc_id, doc_word, words): every maximal verbatim match of at least a window."""
     rows, every = _rows(docs), None
-    for tests in blocks(benchmark, width, BLOCK):
+    for tests in blocks(benchmark, width, block):
 
-        def run(batches, tests=tests):
-            for numbers, bounds, ids, _ in shards(batches, tests, SHARD):
-                got = [m for m in extended(numbers, bounds, *search(numbers, tests), tests) if m[3] >= min(tests.width, len(tests.texts[m[1]]))]
-                doc = [int(np.searchsorted(bounds, p, "right")) - 1 for p, *_ in got]
-                yield pa.RecordBatch.from_arrays([pa.array([tests.names[m[1]] for m in got], pa.string()), pa.array([m[2] for m in got], pa.int64()), pa.array([ids[d] for d in doc], pa.int64()), pa.array([m[0] - int(bounds[d]) for m, d in zip(got, doc, strict=True)], pa.int64()), pa.array([m[3] for m in got], pa.int64())], names=["item_id", "item_word", "doc_id", "doc_word", "words"])
+        def run(batches, shared=docs.sparkSession.sparkContext.broadcast(tests)):
+            tests = shared.value
+            for numbers, bounds, text, at, ids, _ in shards(batches, tests, SHARD):
+                position, window, _ = occurrences(numbers, bounds, text, at, tests)
+                p, item, place, words = extended(position, window, tests)
+                doc = np.searchsorted(bounds, p, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array([tests.names[k] for k in item.tolist()], pa.string()), pa.array(place), pa.array([ids[d] for d in doc.tolist()], pa.int64()), pa.array(p - bounds[doc]), pa.array(words)], names=["item_id", "item_word", "doc_id", "doc_word", "words"])
 
-        part = rows.mapInArrow(run, "item_id string, item_word long, doc_id long, doc_word long, words long")
+        part = C.stored(rows.mapInArrow(run, "item_id string, item_word long, doc_id long, doc_word long, words long"), "matches")
         every = part if every is None else every.unionByName(part)
     return every
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs without the documents that have a hit word; all columns stay as they are."""
-    names = docs.columns
-    passes = list(blocks(benchmark, width, BLOCK))
-    for tests in passes:
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
+    """docs without the documents that have a hit word; all columns stay as they are. With several blocks what each leaves is stored."""
+    kept, last = docs.withColumn("text", F.col("text").cast("string")), None
 
-        def run(batches, tests=tests):
+    def without(kept, shared):
+        def run(batches):
             for batch in batches:
                 rid = pa.array(np.arange(batch.num_rows))
-                whole = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text"), rid], names=["doc_id", "text", "rid"])
+                whole = pa.RecordBatch.from_arrays([rid, batch.column("text"), rid], names=["doc_id", "text", "rid"])
                 bad = np.zeros(batch.num_rows, bool)
-                for found in _find(tests)(iter([whole])):
+                for found in _find(shared)(iter([whole])):
                     ids = np.asarray(found.column("doc_id"))
                     bad[ids] |= np.fromiter((len(h) > 0 for h in found.column("hits").to_pylist()), bool, len(ids))
                 yield batch.filter(pa.array(~bad))
 
-        docs = docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
-    return docs.select(*names)
+        return kept.mapInArrow(run, kept.schema)
+
+    for tests in blocks(benchmark, width, block):
+        if last is not None:
+            kept = C.stored(without(kept, last), "kept")
+            last.unpersist()
+        last = docs.sparkSession.sparkContext.broadcast(tests)
+    return without(kept, last).select(*docs.columns)

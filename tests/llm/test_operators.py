@@ -115,6 +115,40 @@ def test_contamination(spark, docs, rows):
     assert {r.doc_id for r in decontamination.clean(docs, bench).collect()}.isdisjoint({d for d, _, f in want if f and d is not None})
 
 
+def test_longest_matches(spark, docs, rows):
+    """Maximal matches, their places and lengths, against every diagonal of every pair."""
+    items = [(7, " ".join(rows[5][1].split()[20:45])), (8, "☃"), (9, rows[0][1]), (10, "ka lo " + " ".join(rows[4][1].split()[:30]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = []
+    for d, t in rows:
+        own = decontamination.C.plain_words((t or "").encode())
+        for i, x in items:
+            w = decontamination.C.plain_words(x.encode())
+            for shift in range(-len(w) + 1, len(own)):
+                n = 0
+                for a in range(len(w) + 1):
+                    if a < len(w) and 0 <= shift + a < len(own) and own[shift + a] == w[a]:
+                        n += 1
+                        continue
+                    if n >= min(10, len(w)):
+                        want.append((str(i), a - n, d, shift + a - n, n))
+                    n = 0
+    assert order(tuple(r) for r in decontamination.longest_matches(docs, bench).collect()) == order(want) and len(want) > 8
+
+
+def test_empty_tables(spark, docs, empty):
+    """No documents, or no items: nothing is found and nothing lost."""
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontamination.contamination(empty, none).count() == 0 and decontamination.clean(empty, none).count() == 0
+    assert decontamination.clean(docs, none).count() == docs.count()
+    assert not any(r["items"] for r in decontamination.contamination(docs, none).collect())
+    assert media.encode(empty).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.judged(empty, labels).count() == 0 and quality.accepted(empty, labels).count() == 0
+    assert {r.doc_id for r in quality.judged(docs, labels).where("rejected").collect()} == {18, 19, None}
+    assert chat.render(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
 def test_near_duplicates(docs, rows, empty):
     got = near_dedup.classes(docs).collect()
     assert len(got) == len(rows)
