@@ -165,7 +165,7 @@ SYMBOLS = f"s as (select p_partkey, {sql_pick('p_partkey', ('rx_buffer', 'counte
 select p_partkey, arg_min(section, i) as section from s join g on addr >= lo and addr < hi where size >= 4 and variable and ({' or '.join(f"contains(lower(name), '{w}')" for w in R.DMA_WORDS)}) group by 1""")
 def m1(t):
     name = pick(F.col("p_partkey"), ("rx_buffer", "counter", "DmaFrame", "msgq", "state", "spi_tx", "table"))
-    s = t.part.select("p_partkey", name.alias("name"), F.col("p_size").alias("size"), (F.col("p_retailprice").cast("decimal(18,0)").cast("long") * 7 % 4000).alias("addr"), (F.col("p_partkey") % 3 > 0).alias("variable"))
+    s = t.part.select("p_partkey", name.alias("name"), F.col("p_size").alias("size"), (F.bround("p_retailprice", 0).cast("long") * 7 % 4000).alias("addr"), (F.col("p_partkey") % 3 > 0).alias("variable"))
     ranges = t.spark.createDataFrame([(0, 0, 900, ".data"), (1, 700, 1500, ".bss"), (2, 2000, 2600, ".dtcm_data")], "i int, lo long, hi long, section string")
     own = s.where((F.col("size") >= 4) & F.col("variable") & R.any_of(F.lower("name"), R.DMA_WORDS))
     return O.range_join(own, ranges, "addr", "lo", "hi", 500.0).groupBy("p_partkey").agg(F.min_by("section", "i").alias("section"))
