@@ -58,6 +58,8 @@ BANDS, ROWS = 10, 4
 DEPTH, WIDTH = 2, 1 << 21
 RAREST = 1 << 14
 STARS = 2
+#: Shingles before its own that a row of a prefix carries, by which two texts that share an earlier one know it.
+BEFORE = 8
 #: Shingles of texts already weighed that a task keeps for further pairs; 16 bytes each.
 HELD = 1 << 21
 
@@ -202,7 +204,7 @@ def prefix(kinds: np.ndarray, weights: np.ndarray, df: np.ndarray, threshold: fl
 
 
 def prefixes(texts: DataFrame, weigh: Weights, threshold: float, shared) -> DataFrame:
-    """Rows (node, total, shingle, onward): a text's weight, each shingle of its prefix and the weight from that on."""
+    """Rows (node, total, shingle, onward, before): a text's weight, each shingle of its prefix, the weight from that on and up to BEFORE shingles before it."""
 
     def run(batches):
         coder = decompressor(shared.value)
@@ -211,25 +213,33 @@ def prefixes(texts: DataFrame, weigh: Weights, threshold: float, shared) -> Data
                 kinds, w, df = weigh.counted(coder.decompress(text).decode())
                 found, onward = prefix(kinds, w, df, threshold)
                 n = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array([node] * n, pa.binary()), pa.array(np.full(n, w.sum())), pa.array(found.view(np.int64)), pa.array(onward)], names=["node", "total", "shingle", "onward"])
+                found = found.view(np.int64)
+                size = np.minimum(np.arange(n), BEFORE)
+                ends = np.concatenate([[0], np.cumsum(size)])
+                at = np.arange(ends[-1]) - np.repeat(ends[:-1] + size - np.arange(n), size)
+                before = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found[at]))
+                yield pa.RecordBatch.from_arrays([pa.array([node] * n, pa.binary()), pa.array(np.full(n, w.sum())), pa.array(found), pa.array(onward), before], names=["node", "total", "shingle", "onward", "before"])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, total double, shingle long, onward double")
+    return texts.select("node", "text").mapInArrow(run, "node binary, total double, shingle long, onward double, before array<long>")
 
 
 def undecided_pairs(left: DataFrame, texts: DataFrame, weigh: Weights, threshold: float, shared) -> DataFrame:
     """Pairs (node, other) of left's nodes in different classes that can be similar.
 
     Of each shingle the class with most texts is not joined with itself, so a large group
-    that is linked already costs its rows.
+    that is linked already costs its rows. A pair is left out at a shingle before which both
+    texts carry a common one: at the first they share it is never left out, as that has
+    no common one before it.
     """
     labels = left.select("node", "label").distinct()
     own = C.stored(prefixes(texts.join(labels.select("node"), "node", "left_semi"), weigh, threshold, shared).join(labels, "node"), "prefixes")
     main = own.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     own = own.join(main, "shingle")
-    other = own.withColumnsRenamed({"node": "other", "label": "other_label", "total": "other_total", "onward": "other_onward"}).drop("main")
+    other = own.withColumnsRenamed({"node": "other", "label": "other_label", "total": "other_total", "onward": "other_onward", "before": "other_before"}).drop("main")
     can = F.least("onward", "other_onward") >= F.lit(threshold / (1 + threshold) * (1 - 1e-9)) * (F.col("total") + F.col("other_total"))
     one = (F.col("label") < F.col("other_label")) | (F.col("other_label") == F.col("main"))  # a pair with the main class once only
-    return own.where("label != main").join(other, "shingle").where((F.col("label") != F.col("other_label")) & one & can).select("node", "other")
+    first = ~F.arrays_overlap("before", "other_before")
+    return own.where("label != main").join(other, "shingle").where((F.col("label") != F.col("other_label")) & one & can & first).select("node", "other")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, weigh: Weights, threshold: float, shared) -> DataFrame:
