@@ -8,15 +8,19 @@ from ..functions import code as R
 from ..operators import code as C
 from .registry import pick, query, sql_pick
 
-KEY = F.col("p_partkey")
+
+def key():
+    return F.col("p_partkey")
+
+
 NAMES = ("extension", "composition", "weird", "friendship")
 
 
 @query("SRC17_relations", f"select 'c' || p_partkey as source, case when p_partkey % 5 = 0 then '' else 'c' || (p_partkey // 2) end as target, case when p_partkey % 7 = 0 then 'other' else {sql_pick('p_partkey', ('inheritance', 'composition', 'other', 'friendship'))} end as kind from part")
 def src17(t):
-    field = F.when(KEY % 7 == 0, "").otherwise(F.concat(F.lit('"type":"'), pick(KEY, NAMES), F.lit('",')))
-    target = F.when(KEY % 5 == 0, "").otherwise(F.format_string('"destination":"c%d",', F.floor(KEY / 2)))
-    rows = t.part.select(F.from_json(F.concat(F.lit("{"), field, target, F.format_string('"source":"c%d"}', KEY)), "type string, source string, destination string").alias("r"))
+    field = F.when(key() % 7 == 0, "").otherwise(F.concat(F.lit('"type":"'), pick(key(), NAMES), F.lit('",')))
+    target = F.when(key() % 5 == 0, "").otherwise(F.format_string('"destination":"c%d",', F.floor(key() / 2)))
+    rows = t.part.select(F.from_json(F.concat(F.lit("{"), field, target, F.format_string('"source":"c%d"}', key())), "type string, source string, destination string").alias("r"))
     return rows.select(F.coalesce("r.source", F.lit("")).alias("source"), F.coalesce("r.destination", F.lit("")).alias("target"), R.relation_kind(F.col("r.type")).alias("kind"))
 
 
@@ -30,7 +34,7 @@ INSTRUCTIONS = (
 
 @query("M31_operand_direction", f"select p_partkey, contains(w, 'l') is_load, contains(w, 's') is_store, contains(w, 'b') is_branch from (select p_partkey, {sql_pick('p_partkey', [x[2] for x in INSTRUCTIONS])} w from part)")
 def m31(t):
-    does = R.x86_access(pick(KEY, [x[0] for x in INSTRUCTIONS]), pick(KEY, [x[1] for x in INSTRUCTIONS]))
+    does = R.x86_access(pick(key(), [x[0] for x in INSTRUCTIONS]), pick(key(), [x[1] for x in INSTRUCTIONS]))
     return t.part.select("p_partkey", does.alias("does")).select("p_partkey", "does.*")
 
 
@@ -39,15 +43,15 @@ HEADERS = (("limits.h", "builtin"), ("limits", "standard-library"), ("hal/gpio.h
 
 @query("M30_missing_header", f"select p_partkey, case when p_partkey % 11 > 0 then {sql_pick('p_partkey', [h for h, _ in HEADERS])} end header, case when p_partkey % 11 > 0 then {sql_pick('p_partkey', [k for _, k in HEADERS])} end kind from part")
 def m30(t):
-    said = F.when(KEY % 11 == 0, F.lit("a.c:1: error: expected ';'")).otherwise(F.concat(F.lit("a.c:1:10: fatal error: '"), pick(KEY, [h for h, _ in HEADERS]), F.lit("' file not found")))
+    said = F.when(key() % 11 == 0, F.lit("a.c:1: error: expected ';'")).otherwise(F.concat(F.lit("a.c:1:10: fatal error: '"), pick(key(), [h for h, _ in HEADERS]), F.lit("' file not found")))
     rows = t.part.select("p_partkey", R.missing_header(said).alias("header"))
     return rows.withColumn("kind", F.when(F.col("header").isNotNull(), R.header_kind(F.col("header"))))
 
 
 @query("M38_compile_entry", "select p_partkey, array_to_string(list_concat(list_concat(['gcc', '-Wall', 'include'], case when p_partkey % 2 = 0 then ['-O2'] else ['src/f' || p_partkey || '.c', '-O2'] end), ['-Iinc', '-isystem/sys', '-DON=1', '-c', '/w/src/f' || p_partkey || '.c']), ' ') as command from part")
 def m38(t):
-    name = F.concat(F.lit("src/f"), KEY, F.lit(".c"))
-    given = F.when(KEY % 2 == 0, F.concat(F.lit("/w/./SRC/x/../f"), KEY, F.lit(".c"))).otherwise(name)
+    name = F.concat(F.lit("src/f"), key(), F.lit(".c"))
+    given = F.when(key() % 2 == 0, F.concat(F.lit("/w/./SRC/x/../f"), key(), F.lit(".c"))).otherwise(name)
     flags = [F.lit(x) for x in ("gcc", "-Iold", "-Wall", "-DX", "-isystem", "include", "-o", "-DY", "-c")]
     arguments = F.array(*flags, given, F.lit("-O2"))
     out = R.compile_arguments(arguments, F.lit("/w/lib/.."), name, F.array(F.lit("-Iinc"), F.lit("-isystem/sys")), F.array(F.lit("-DON=1")), "cc")
@@ -67,7 +71,7 @@ def m39(t):
 @query("M40_participants", """with a as (select 'f' || (p_partkey % 40) as file, 'fn' || (p_partkey % 400) as name, 0 part, p_size::bigint place from part union all select 'f' || (l_partkey % 40), case when l_suppkey % 5 = 0 then 'HAL_' || (l_suppkey % 7) else 'fn' || (l_suppkey % 60) end, 1, l_orderkey * 8 + l_linenumber from lineitem),
  g as (select file, name, min((part, place)) first from a group by 1, 2) select file, name, first[1] = 1 or name like 'HAL\\_%' escape '\\' as extern, row_number() over (partition by file order by first, name) - 1 as pos from g""")
 def m40(t):
-    symbols = t.part.select(F.concat(F.lit("f"), KEY % 40).alias("file"), F.concat(F.lit("fn"), KEY % 400).alias("name"), F.col("p_size").alias("line"))
+    symbols = t.part.select(F.concat(F.lit("f"), key() % 40).alias("file"), F.concat(F.lit("fn"), key() % 400).alias("name"), F.col("p_size").alias("line"))
     supplier = F.col("l_suppkey")
     callee = F.when(supplier % 5 == 0, F.concat(F.lit("HAL_"), supplier % 7)).otherwise(F.concat(F.lit("fn"), supplier % 60))
     calls = t.lineitem.select(F.concat(F.lit("f"), F.col("l_partkey") % 40).alias("file"), callee.alias("callee"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"))
@@ -76,13 +80,13 @@ def m40(t):
 
 @query("M23_context", "with f as (select p_partkey % 40 as file, 'fn' || (p_partkey % 400) as name, p_partkey ord from part where p_partkey % 400 > 9) select name from (select name, min((file <> 7, ord)) first from f where file = 7 or contains('why does fn123 call fn45?', name) group by 1 order by 2, 1 limit 30)")
 def m23(t):
-    rows = t.part.where("p_partkey % 400 > 9").select(F.concat(F.lit("f"), KEY % 40).alias("file"), F.concat(F.lit("fn"), KEY % 400).alias("name"), KEY.alias("ord"))
+    rows = t.part.where("p_partkey % 400 > 9").select(F.concat(F.lit("f"), key() % 40).alias("file"), F.concat(F.lit("fn"), key() % 400).alias("name"), key().alias("ord"))
     return C.context(rows, "f7", "Why does FN123 call fn45?", 30)
 
 
 @query("M7_interrupts", "select p_partkey, p_name, p_size from part where contains(lower(p_name), 'ring') and p_brand = 'Brand#2' and p_partkey % 3 = 1")
 def m7(t):
-    severities = F.when(KEY % 3 == 0, F.array().cast("array<string>")).when(KEY % 3 == 1, F.array(F.lit("warn"), F.lit("error"))).otherwise(F.array(F.lit("warn")))
+    severities = F.when(key() % 3 == 0, F.array().cast("array<string>")).when(key() % 3 == 1, F.array(F.lit("warn"), F.lit("error"))).otherwise(F.array(F.lit("warn")))
     keep = R.matches_interrupt(F.col("p_name"), F.col("p_brand"), severities, "ring", "Brand#2", "error")
     return t.part.where(keep).select("p_partkey", "p_name", "p_size").orderBy(F.desc(F.coalesce("p_size", F.lit(-1))))
 
@@ -98,9 +102,9 @@ def m33(t):
 
 @query("E12_type_usage", "with p as (select p_partkey k, 'f' || (p_partkey % 90) as file from part) select distinct type, file from (select 'Base' || (k % 13) as type, file from p union all select 'IFace', file from p union all select 'struct', file from p where k % 3 = 0 union all select 'Arg' || (k % 5), file from p where k % 2 = 0)")
 def e12(t):
-    inherits = F.concat(F.lit("Base"), KEY % 13, F.lit(", IFace,"))
-    signature = F.when(KEY % 2 == 0, F.concat(F.lit("(const Arg"), KEY % 5, F.lit(" &x, int y, T z)")))
-    return C.type_usage(t.part.select(F.concat(F.lit("f"), KEY % 90).alias("file"), inherits.alias("inherits"), F.when(KEY % 3 == 0, "struct:Node").alias("typeref"), signature.alias("signature")))
+    inherits = F.concat(F.lit("Base"), key() % 13, F.lit(", IFace,"))
+    signature = F.when(key() % 2 == 0, F.concat(F.lit("(const Arg"), key() % 5, F.lit(" &x, int y, T z)")))
+    return C.type_usage(t.part.select(F.concat(F.lit("f"), key() % 90).alias("file"), inherits.alias("inherits"), F.when(key() % 3 == 0, "struct:Node").alias("typeref"), signature.alias("signature")))
 
 
 NODES = ("IfStmt", "BinaryOperator", "CXXThrowExpr", "ReturnStmt", "ForStmt", "DeclRefExpr")
@@ -117,20 +121,20 @@ def e7(t):
 
 @query("M6_interrupt_stack", "select p_partkey as name, size, worst_case, 32 + coalesce(worst_case, size) total, depth, coalesce(depth > 5, false) deep from (select p_partkey, case when p_partkey % 3 > 0 then p_size::bigint end size, case when p_partkey % 4 = 0 then p_size * 10::bigint end worst_case, case when p_partkey % 4 = 0 and p_partkey % 8 > 0 then (p_partkey % 9)::int end depth from part)")
 def m6(t):
-    handlers = t.part.select(KEY.alias("name"))
-    frames = t.part.where("p_partkey % 3 > 0").select(KEY.alias("name"), F.col("p_size").cast("long").alias("size"))
-    path = F.when(KEY % 8 > 0, F.array_repeat(F.lit("f"), (KEY % 9 + 1).cast("int"))).otherwise(F.array().cast("array<string>"))
-    return C.interrupt_stack(handlers, frames, t.part.where("p_partkey % 4 = 0").select(KEY.alias("name"), (F.col("p_size") * 10).cast("long").alias("worst_case"), path.alias("path")), 32)
+    handlers = t.part.select(key().alias("name"))
+    frames = t.part.where("p_partkey % 3 > 0").select(key().alias("name"), F.col("p_size").cast("long").alias("size"))
+    path = F.when(key() % 8 > 0, F.array_repeat(F.lit("f"), (key() % 9 + 1).cast("int"))).otherwise(F.array().cast("array<string>"))
+    return C.interrupt_stack(handlers, frames, t.part.where("p_partkey % 4 = 0").select(key().alias("name"), (F.col("p_size") * 10).cast("long").alias("worst_case"), path.alias("path")), 32)
 
 
 @query("E5_bindings", "with p as (select p_partkey k, 'f' || p_partkey as file from part) select file, 'field' as form, 'Enable' as name, 'fn' || (k % 50) as function from p where k % 50 < 40 union all select file, 'field', 'Off', 'fn1' from p union all select file, 'pointer', 'cb', 'fn' || (k % 45) from p where k % 45 < 40")
 def e5(t):
-    text = F.concat(F.lit("struct Ops o = { .Enable = &fn"), KEY % 50, F.lit(", .Off=fn1 };\nvoid (*cb)(int) = fn"), KEY % 45, F.lit(";\nint x = 3; o.n = 4;\n"))
-    names = t.part.where("p_partkey < 40").select(F.concat(F.lit("fn"), KEY).alias("name"))
-    return C.bindings(t.part.select(F.concat(F.lit("f"), KEY).alias("file"), text.alias("text")), names)
+    text = F.concat(F.lit("struct Ops o = { .Enable = &fn"), key() % 50, F.lit(", .Off=fn1 };\nvoid (*cb)(int) = fn"), key() % 45, F.lit(";\nint x = 3; o.n = 4;\n"))
+    names = t.part.where("p_partkey < 40").select(F.concat(F.lit("fn"), key()).alias("name"))
+    return C.bindings(t.part.select(F.concat(F.lit("f"), key()).alias("file"), text.alias("text")), names)
 
 
 @query("M17_conditional_ranges", "with p as (select 'f' || p_partkey as file, 7 + length(p_partkey::varchar) n from part) select file, true inactive, null::varchar macro, 19 + n as start, 32 + n as \"end\" from p union all select file, true, null, 39 + n, 47 + n from p union all select file, false, 'B', 54 + n, 65 + n from p union all select file, false, 'B', 65 + n, 75 + n from p")
 def m17(t):
-    text = F.concat(F.lit("#define A\n#ifdef A\nint x"), KEY, F.lit(";\n#else\nint y;\n#endif\n#if 0\nz\n#endif\n#ifdef B\nq\n#elif C\nr\n#endif\n"))
-    return C.conditional_ranges(t.part.select(F.concat(F.lit("f"), KEY).alias("file"), text.alias("text")))
+    text = F.concat(F.lit("#define A\n#ifdef A\nint x"), key(), F.lit(";\n#else\nint y;\n#endif\n#if 0\nz\n#endif\n#ifdef B\nq\n#elif C\nr\n#endif\n"))
+    return C.conditional_ranges(t.part.select(F.concat(F.lit("f"), key()).alias("file"), text.alias("text")))
