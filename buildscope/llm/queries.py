@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language_id, lm_scoring, media, near_dedup, packing, quality, substring_dedup, suffix_dedup
+from . import chat, decontamination, hard_negatives, language_id, lm_scoring, media, near_dedup, packing, quality, simhash, substring_dedup, suffix_dedup, whitening
 from .common import documents
 
 
@@ -69,7 +69,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_quality, op4_lm_scoring, op5_near_dedup, op6_suffix_dedup, op7_language_id, op8_media, op9_chat, op10_substring_dedup)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    own = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(hard_negatives.usable(F.col("embedding")))
+    rows = own.select(F.col("vec_id").alias("id"), label.alias("label"), hard_negatives.whole(F.col("embedding"), 256).alias("x"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    out = whitening.whiten(rows).withColumnRenamed("id", "vec_id")
+    return out.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_quality, op4_lm_scoring, op5_near_dedup, op6_suffix_dedup, op7_language_id, op8_media, op9_chat, op10_substring_dedup, op11_hard_negatives, op12_simhash, op13_whitening)}
 
 ORACLE = {
     "op9_chat": """
@@ -86,4 +103,22 @@ top as (
   select conv_id from kept k where not exists (select 1 from h where not h.last and h.n = k.n and h.hash = k.hash))
 select conv_id, count(*) as n_turns, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' order by n) as chat
 from t join top using (conv_id) group by conv_id""",
+    "op11_hard_negatives": """
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, c -> floor(256 * c::double)) as x
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, c -> c is null or not isfinite(c))) = 0),
+s as (
+  select a.vec_id as anchor_id, r.vec_id, r.label = a.label as same, list_dot_product(a.x, r.x)::bigint as score
+  from r a join r on r.vec_id <> a.vec_id where a.vec_id % 100 = 0),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.positive_id, row_number() over w as rank, s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not s.same
+where 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score
+qualify row_number() over w <= 10
+window w as (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id)""",
 }
