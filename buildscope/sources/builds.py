@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import carry
 from ..operators.core import dedupe_first, dedupe_last
 
 # Type letters and block words of the formats.
@@ -74,12 +77,13 @@ def map_entries(rows: DataFrame) -> DataFrame:
     its size is 0; units of size 0 go too; symbols have size 0.
     """
     get = lambda pattern, k: F.regexp_extract("line", pattern, k)
-    by_file = Window.partitionBy("file")
-    title = F.min(F.when(F.col("line").startswith("Linker script and memory map"), F.col("line_no"))).over(by_file)
-    known = F.min(F.when(F.col("line").rlike(r"^\.(text|data|bss|rodata|iram|dram|flash)"), F.col("line_no"))).over(by_file)
-    own = rows.withColumn("_from", F.coalesce(title, known)).where(F.col("_from").isNull() | (F.col("line_no") >= F.col("_from")))
+    title = F.min(F.when(F.col("line").startswith("Linker script and memory map"), F.col("line_no")))
+    known = F.min(F.when(F.col("line").rlike(r"^\.(text|data|bss|rodata|iram|dram|flash)"), F.col("line_no")))
+    begin = rows.groupBy("file").agg(F.coalesce(title, known).alias("_from"))  # a row a file
+    own = rows.join(begin, "file").where(F.col("_from").isNull() | (F.col("line_no") >= F.col("_from")))
     head = F.when(F.col("line").rlike(SECTION), F.struct(get(SECTION, 1).alias("name"), hexadecimal(get(SECTION, 2)).alias("addr"), hexadecimal(get(SECTION, 3)).alias("size")))
-    own = own.withColumn("_head", head).withColumn("_section", F.last("_head", ignorenulls=True).over(_in_file())).where("_section.size > 0")
+    own = own.select("file", "line_no", "line").withColumn("_head", head).withColumn("_section", F.col("_head"))
+    own = carry.last_values(own, "file", "line_no", ["_section"]).where("_section.size > 0")
     row = lambda kind, name, addr, size, obj: F.struct(F.lit(kind).alias("kind"), name.alias("name"), addr.alias("addr"), size.alias("size"), obj.alias("object"))
     none, zero = F.lit(""), F.lit(0).cast("long")
     entry = (
@@ -95,7 +99,7 @@ def map_discarded(rows: DataFrame) -> DataFrame:
     pattern = r"^\s+(\.\S+)\s+0x\S+\s+0x\S+\s+(\S+)"
     hit, title = F.col("line").rlike(pattern), F.col("line").contains("Discarded input sections")
     event = F.when(title, True).when((F.trim("line") != "") & ~hit & ~F.col("line").rlike(r"^[ \t]"), False)
-    own = rows.withColumn("_in", F.last(event, ignorenulls=True).over(_in_file())).where(F.col("_in") & hit & ~title)
+    own = carry.last_values(rows.select("file", "line_no", "line", event.alias("_in")), "file", "line_no", ["_in"]).where(F.col("_in") & hit & ~title)
     return own.select("file", "line_no", F.regexp_extract("line", pattern, 1).alias("name"), F.regexp_extract("line", pattern, 2).alias("object"))
 
 
@@ -135,15 +139,15 @@ def trace(rows: DataFrame) -> DataFrame:
 
 
 def record_layouts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """SRC13: (records, entries) of a layout dump. A record begins at the separator and needs a footer; an entry's depth is half of its indent.
+    """SRC13: (records, entries) of a layout dump; block is the place of a record's separator. A record begins at the separator and needs a footer; an entry's depth is half of its indent.
 
     Entries are fields, bit fields, bases and table pointers; a base's line has its role in brackets.
     """
     head, entry = r"^\s*(\d+)\s*\|\s*(struct|class|union)\s+(\S.*?)\s*$", r"^(\s*)(?:(\d+)|(\d+):(\d+)-(\d+))\s*\|(\s*)(.*?)\s*$"
     footer, nv = r"\[?sizeof=(\d+),\s*dsize=(\d+),\s*align=(\d+)", r"nvsize=(\d+),\s*nvalign=(\d+)"
     get = lambda p, k: F.regexp_extract("line", p, k)
-    block = F.sum(F.col("line").contains("*** Dumping AST Record Layout").cast("int")).over(_in_file())
-    own = rows.withColumn("block", block).where("block > 0").where(~F.col("line").contains("*** Dumping AST Record Layout") & (F.trim("line") != ""))
+    begin = F.when(F.col("line").contains("*** Dumping AST Record Layout"), F.col("line_no"))
+    own = carry.last_values(rows.select("file", "line_no", "line", begin.alias("block")), "file", "line_no", ["block"]).where("block is not null").where(~F.col("line").contains("*** Dumping AST Record Layout") & (F.trim("line") != ""))
     first = Window.partitionBy("file", "block").orderBy("line_no")
     own = own.withColumn("_n", F.row_number().over(first))
     number = lambda p, k: F.max(F.when(F.col("line").rlike(p), get(p, k)).try_cast("long"))
@@ -187,11 +191,12 @@ def linker_regions(files: DataFrame) -> DataFrame:
 
 
 def call_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """SRC9: (nodes, edges) of call graph dumps (file, text); a label's lines tell frame, its kind, and place."""
-    block = F.explode(F.regexp_extract_all("text", F.lit(r"(?s)(?:node|edge)\s*:\s*\{[^}]*\}"), F.lit(0))).alias("b")
+    """SRC9: (nodes, edges) of call graph dumps (file, text); a label's lines tell frame, its kind, and place. Of nodes of one name the last file's last counts."""
+    block = F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)(?:node|edge)\s*:\s*\{[^}]*\}"), F.lit(0))).alias("place", "b")
     blocks = files.select("file", block)
     text = lambda k: F.regexp_replace(F.regexp_extract("b", rf'\b{k}\s*:\s*"((?:[^"\\]|\\.)*)"', 1), r"\\n", "\n")
-    nodes = blocks.where(F.col("b").rlike(r"^node")).select("file", F.trim(text("title")).alias("name"), text("label").alias("label"), F.col("b").rlike(r'shape\s*:\s*"?ellipse').alias("external")).where("name <> ''")
+    nodes = blocks.where(F.col("b").rlike(r"^node")).select("file", F.col("place").alias("_place"), F.trim(text("title")).alias("name"), text("label").alias("label"), F.col("b").rlike(r'shape\s*:\s*"?ellipse').alias("external")).where("name <> ''")
+    nodes = dedupe_last(nodes, ["name"], ["file", "_place"])
     size, place = r"(?im)^\s*(\d+)\s+bytes?\s*\(?(static|dynamic(?:,\s*bounded)?)?", r"(?im)^\s*(.+\.(?:c|cpp|cxx|cc|h|hpp))(?::(\d+))?"
     kind = F.lower(F.regexp_extract("label", size, 2))
     nodes = nodes.select("name", "external", F.coalesce(F.nullif(F.regexp_extract("label", size, 1), F.lit("")).cast("long"), F.lit(0)).alias("frame"), kind.contains("dynamic").alias("dynamic"), kind.contains("bounded").alias("bounded"), F.regexp_extract("label", place, 1).alias("source"), F.coalesce(F.nullif(F.regexp_extract("label", place, 2), F.lit("")).cast("int"), F.lit(0)).alias("at"))
@@ -199,11 +204,17 @@ def call_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def last_of_keys(pairs: Column) -> Column:
+    """A map of an array of (key, value): of a key that comes more than once the last value."""
+    later = lambda x, i: F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"])
+    return F.map_from_entries(F.filter(pairs, lambda x, i: ~later(x, i)))
+
+
 def tags(rows: DataFrame) -> DataFrame:
-    """SRC19: tag lines with `key:value` columns; comments and lines of fewer than four columns go."""
+    """SRC19: tag lines with `key:value` columns, of a key the last; comments and lines of fewer than four columns go."""
     p = F.split("line", "\t")
     pairs = F.transform(F.filter(F.slice(p, 5, 1 << 20), lambda x: F.instr(x, ":") > 1), lambda x: F.struct(F.substring_index(x, ":", 1).alias("key"), F.regexp_replace(x, "^[^:]*:", "").alias("value")))
-    extra = F.map_from_entries(F.array_distinct(pairs))
+    extra = last_of_keys(pairs)
     own = rows.where((F.col("line") != "") & ~F.col("line").startswith("!")).where(F.size(p) >= 4)
     get = lambda k: F.try_element_at(F.col("_x"), F.lit(k))
     return own.withColumn("_x", extra).select(p[0].alias("name"), F.regexp_replace(p[1], r"^\./", "").alias("file"), F.coalesce(get("kind"), p[3]).alias("kind"), F.coalesce(get("class"), get("namespace"), get("scope")).alias("scope"), get("inherits").alias("inherits"), get("signature").alias("signature"))
@@ -235,10 +246,10 @@ def json_objects(files: DataFrame) -> DataFrame:
 
 
 def front_matter(files: DataFrame) -> DataFrame:
-    """SRC21: rows (file, fields, body) of notes with a head of `key: value` lines between --- lines."""
+    """SRC21: rows (file, fields, body) of notes with a head of `key: value` lines between --- lines; of a key the last value counts."""
     head = F.regexp_extract("text", r"(?s)^---\r?\n(.*?)\r?\n---", 1)
     pairs = F.filter(F.split(head, r"\r?\n"), lambda x: x.rlike(r"^\w[\w-]*\s*:"))
-    fields = F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value"))))
+    fields = last_of_keys(F.transform(pairs, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value"))))
     return files.select("file", fields.alias("fields"), F.regexp_replace(F.regexp_replace("text", r"(?s)^---\r?\n.*?\r?\n---\r?\n?", ""), r"^\s+|\s+$", "").alias("body"))
 
 
@@ -269,9 +280,28 @@ def compile_entry(entries: DataFrame, files: DataFrame, path: str) -> DataFrame:
 
 
 def project_settings(files: DataFrame) -> DataFrame:
-    """SRC25: (file, includes, defines) of IDE project files, each value once and in order."""
-    values = lambda kind: F.array_distinct(F.transform(F.xpath("text", F.lit(f"//option[@valueType='{kind}']/listOptionValue/@value")), lambda v: F.regexp_replace(v, '^"|"$', "")))
-    return files.select("file", values("includePath").alias("includes"), values("definedSymbols").alias("defines"))
+    """SRC25: (file, includes, defines) of IDE project files, each value once and in order; null lists for text that is no XML."""
+    import pyarrow as pa
+
+    def read(batches):
+        from xml.etree import ElementTree
+
+        def values(root, kind):
+            found = (v.get("value") for o in root.iter("option") if o.get("valueType") == kind for v in o.findall("listOptionValue"))
+            return list(dict.fromkeys(re.sub('^"|"$', "", v) for v in found if v is not None))
+
+        for batch in batches:
+            out = ([], [])
+            for text in batch.column("text").to_pylist():
+                try:
+                    root = ElementTree.fromstring(text or "")
+                except ElementTree.ParseError:
+                    root = None
+                for column, kind in zip(out, ("includePath", "definedSymbols"), strict=True):
+                    column.append(None if root is None else values(root, kind))
+            yield pa.RecordBatch.from_arrays([batch.column("file"), *(pa.array(c, pa.list_(pa.string())) for c in out)], names=["file", "includes", "defines"])
+
+    return files.select("file", "text").mapInArrow(read, "file string, includes array<string>, defines array<string>")
 
 
 def file_kinds(paths: DataFrame, path: str, kinds: dict[str, str], pruned: tuple[str, ...] = (".git", "build")) -> DataFrame:
