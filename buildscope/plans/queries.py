@@ -415,6 +415,6 @@ def g13(t):
     return G.chase(heap(t).withColumnsRenamed({"src": "node", "dst": "next"}))
 
 
-from . import code, debug, dispatch, flow, graphs, places, rollups, rules, source, texts  # noqa: E402, F401  they register their queries
+from . import binary, code, debug, dispatch, flow, graphs, places, rollups, rules, source, texts  # noqa: E402, F401  they register their queries
 
 __all__ = ["ORACLE", "QUERIES"]
