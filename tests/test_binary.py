@@ -38,7 +38,7 @@ def test_sections(spark, folder):
     by = {r.file.rsplit("/", 1)[-1]: r for r in got}
     problems = {n: by[n].problem for n in ("cut", "short", "text", "class", "order", "none")}
     assert all(problems.values()) and problems["text"] == "no ELF file" and "class" in problems["class"] and "order" in problems["order"] and "headers" in problems["none"]
-    assert [(r.index, r.name, r.type) for r in sorted(got, key=lambda r: r.index or 0) if r.file.endswith("/101.elf")] == [(0, "", 0), (1, ".text", 1), (2, ".data", 1), (3, ".dynsym", 11), (4, ".strtab", 3), (5, ".shstrtab", 3)]
+    assert [(r["index"], r.name, r.type) for r in sorted(got, key=lambda r: r["index"] or 0) if r.file.endswith("/101.elf")] == [(0, "", 0), (1, ".text", 1), (2, ".data", 1), (3, ".dynsym", 11), (4, ".strtab", 3), (5, ".shstrtab", 3)]
     assert {(r.file[-7:-4], r["class"], r.little_endian, r.stripped) for r in got if r.problem is None} == {(f"{w:d}{b:d}{d:d}", 64 if w else 32, b, d) for w in (True, False) for b in (True, False) for d in (True, False)}
 
 
