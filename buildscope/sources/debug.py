@@ -285,3 +285,64 @@ def observed(rows: DataFrame, size: int = carry.ROWS) -> tuple[DataFrame, DataFr
     gaps = laid.select("file", "record", "line_no", F.when(F.col("_next_gap") > 0, F.col("_next_gap")).alias("hole_after")).join(told.where("plain").select("file", "record"), ["file", "record"], "left_semi")
     out = members.join(gaps, ["file", "record", "line_no"], "left").withColumn("pos", (F.row_number().over(Window.partitionBy("file", "record").orderBy("line_no")) - 1).cast("long"))
     return records, out.select("file", F.col("owner").alias("record"), "pos", "name", "type", "offset", "size", "is_ancestor", "bit_unit", "bit_first", "bit_width", "hole_after"), not_found
+
+
+# The forms of a layout tool's lines, in order of precedence within a record.
+HEAD = r"^(struct|union|class)\s+([A-Za-z_]\w*)(?:\s*:\s*[^{]+)?\s*\{"
+HOLE, BIT_HOLE = r"/\* XXX (\d+) bytes? hole", r"/\* XXX (\d+) bits? hole"
+BASE = r"^\s*/\*\s*(struct|class)\s+(\S+)\s+<ancestor>;\s*\*/\s*/\*\s*(\d+)\s+(\d+)\s*\*/\s*$"
+MEMBER = r"^\s*(.+?)\s{2,}([A-Za-z_]\w*)(?::(\d+))?;\s*/\*\s*(\d+)(?::\s*(\d+))?\s+(\d+)\s*\*/\s*$"
+NO_NAME = r"^\s*(.+?)\s+:(\d+);\s*$"
+ABSENT = r"^pahole: type '([^']+)' not found"
+
+
+def layouts(rows: DataFrame, size: int = carry.ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """SRC14: (records, members, not_found) of a layout tool's text.
+
+    records: file, place, name, kind, size_of, sum_members, holes, sum_holes, bit_holes, sum_bit_holes, padding; members: file, place
+    (of the record), record, pos, name, type, offset, size, is_ancestor, bit_unit, bit_first, bit_width, hole_after,
+    bit_hole_after; not_found: file, name. A record goes from its head to the next line that begins with a
+    brace; a head within it is none, and one that is not ended is left out. A line about a hole is of the member before it.
+    """
+    line = F.col("line")
+    got = lambda pattern, k: F.regexp_extract("line", pattern, k)
+    own = rows.select("file", "line_no", F.regexp_replace(F.coalesce("line", F.lit("")), "\r$", "").alias("line"))
+    not_found = own.where(line.rlike(ABSENT)).select("file", got(ABSENT, 1).alias("name"))
+    kind = F.when(line.rlike(HOLE), "hole").when(line.rlike(BIT_HOLE), "bit_hole").when(line.rlike(BASE), "base").when(line.rlike(MEMBER), "member").when(line.rlike(NO_NAME) & ~line.contains("/*"), "no_name").when(F.ltrim("line").startswith("}"), "end").otherwise("other")
+    told = own.where(~line.rlike(ABSENT)).withColumn("what", kind)
+    # records are told apart by the last end before them; the first head after that begins one
+    eras = carry.last_values(told.withColumn("era", F.when(F.col("what") == "end", F.col("line_no"))), "file", "line_no", ["era"], size, own=False)
+    eras = cut(eras)
+    heads = eras.where(line.rlike(HEAD)).groupBy("file", "era").agg(F.min_by(F.struct("line_no", got(HEAD, 2).alias("name"), got(HEAD, 1).alias("kind")), "line_no").alias("h"))
+    ended = eras.where("what = 'end'").select("file", "era", F.col("line_no").alias("_end"))
+    heads = heads.join(ended, heads.file.eqNullSafe(ended.file) & heads.era.eqNullSafe(ended.era)).select(heads.file, heads.era, F.col("h.line_no").alias("place"), F.col("h.name").alias("record"), F.col("h.kind").alias("record_kind"), "_end").where(F.col("place") < F.col("_end"))
+    b = heads.select(F.col("file").alias("_f"), F.col("era").alias("_e"), "place", "record", "record_kind")
+    inside = eras.join(b, eras.file.eqNullSafe(b._f) & eras.era.eqNullSafe(b._e)).where(F.col("line_no") > F.col("place")).drop("_f", "_e")
+    number_ = lambda pattern, k: F.max_by(got(pattern, k).try_cast("long"), F.when((F.col("what") == "other") & line.rlike(pattern), F.col("line_no")))
+    total, bits = r"/\* sum members: (\d+), holes: (\d+), sum holes: (\d+)", r"bit holes: (\d+), sum bit holes: (\d+) bits"
+    records = inside.groupBy("file", "place", F.col("record").alias("name"), F.col("record_kind").alias("kind")).agg(
+        F.coalesce(number_(r"/\* size: (\d+),", 1), F.lit(0).cast("long")).alias("size_of"),
+        *(number_(total, k).alias(n) for k, n in ((1, "sum_members"), (2, "holes"), (3, "sum_holes"))),
+        *(number_(bits, k).alias(n) for k, n in ((1, "bit_holes"), (2, "sum_bit_holes"))),
+        number_(r"/\* padding: (\d+) \*/", 1).alias("padding"),
+    )
+    what, zero = F.col("what"), F.lit(0).cast("long")
+    is_member = what.isin("base", "member", "no_name")
+    upto = Window.partitionBy("file", "place").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    placed = inside.where(is_member | what.isin("hole", "bit_hole")).withColumn("pos", F.count(F.when(is_member, 1)).over(upto) - 1)
+    gaps = placed.where(~is_member & (F.col("pos") >= 0)).groupBy("file", "place", "pos").agg(
+        F.max_by(got(HOLE, 1).try_cast("long"), F.when(what == "hole", F.col("line_no"))).alias("hole_after"),
+        F.max_by(got(BIT_HOLE, 1).try_cast("long"), F.when(what == "bit_hole", F.col("line_no"))).alias("bit_hole_after"),
+    )
+    long_ = lambda pattern, k: got(pattern, k).try_cast("long")
+    width = F.when(what == "no_name", long_(NO_NAME, 2)).when(what == "member", long_(MEMBER, 3))
+    member = lambda base, plain, no_name: F.when(what == "base", base).when(what == "member", plain).otherwise(no_name)
+    offset = member(long_(BASE, 3), long_(MEMBER, 4), zero)
+    members = placed.where(is_member).select(
+        "file", "place", "record", "pos",
+        member(got(BASE, 2), got(MEMBER, 2), F.lit("")).alias("name"),
+        member(F.concat(got(BASE, 1), F.lit(" "), got(BASE, 2)), F.trim(got(MEMBER, 1)), F.trim(got(NO_NAME, 1))).alias("type"),
+        offset.alias("offset"), member(long_(BASE, 4), long_(MEMBER, 6), zero).alias("size"), (what == "base").alias("is_ancestor"),
+        F.when(width.isNotNull(), offset).alias("bit_unit"), F.when(width.isNotNull(), F.coalesce(F.when(what == "member", long_(MEMBER, 5)), zero)).alias("bit_first"), width.alias("bit_width"),
+    )
+    return records, members.join(gaps, ["file", "place", "pos"], "left"), not_found
