@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import bare_type
+from ..functions.rules import DYNAMIC_SECTIONS, EXCEPTION_SECTIONS, abi_category, any_prefix, bare_type
 from .graph import hops
 
 # How much news each construct of a type, and of a syntax node, is to a reader of C.
@@ -151,3 +151,31 @@ def node_constructs(nodes: DataFrame, virtual: DataFrame | None = None, destruct
     told = found.withColumns({"severity": how, "certain": certain})
     order = Window.partitionBy("file", "construct", "line").orderBy("pos")
     return told.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("file", "line", "col", "construct", "severity", "subject", "certain")
+
+
+def cpp_summary(symbols: DataFrame, sections: DataFrame, families: int = 50) -> DataFrame:
+    """M4: one row of counts and bytes of what a language adds to a program; is_cpp alone if no symbol is mangled.
+
+    symbols: ord, name, demangled, size; sections: name, size. Classes are those with a table of methods or type
+    information, and of two tables of one class the last counts; template_instantiations are those of the so many families, told by what is
+    before the first angle bracket, that take most bytes.
+    """
+    name, demangled = F.col("name"), F.coalesce("demangled", "name")
+    mangled = symbols.withColumn("category", abi_category(name)).where("category is not null")
+    owner = F.regexp_extract("name", "^_ZT[VI](.+)$", 1)
+    classes = mangled.where(owner != "").groupBy(owner.alias("class")).agg(F.max_by("size", F.when(name.startswith("_ZTV"), F.col("ord"))).alias("table_size"))
+    of_classes = classes.agg(F.count(F.lit(1)).alias("class_count"), F.coalesce(F.sum("table_size"), F.lit(0)).alias("vtable_bytes"))
+    base = F.trim(F.substring_index(demangled, "<", 1))
+    last = F.substring_index(base, " ", -1)
+    family = F.when(base.contains(" ") & (last.contains("::") | last.rlike("^[A-Z]")), last).otherwise(base)
+    kept = mangled.where(demangled.contains("<")).groupBy(family.alias("family")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("ord").alias("first")).orderBy(F.desc("total"), "first").limit(families)
+    of_families = kept.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("template_instantiations"))
+    count = lambda c: F.count_if(F.col("category") == c)
+    of_symbols = mangled.agg(F.count(F.lit(1)).alias("mangled_count"), count("ctor").alias("ctor_count"), count("dtor").alias("dtor_count"))
+    held = lambda c: F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0))
+    stubs = F.coalesce(F.sum(F.when(name == ".plt", F.greatest(F.lit(0), F.floor((F.col("size") - 16) / 16)))), F.lit(0))
+    of_sections = sections.agg(held(any_prefix(name, EXCEPTION_SECTIONS)).alias("exception_bytes"), held(name.isin(*DYNAMIC_SECTIONS)).alias("dynamic_bytes"), stubs.alias("plt_imports"))
+    every = of_symbols.crossJoin(of_classes).crossJoin(of_families).crossJoin(of_sections)  # a row each
+    is_cpp = F.col("mangled_count") > 0
+    names = ("mangled_count", "class_count", "vtable_bytes", "exception_bytes", "dynamic_bytes", "ctor_count", "dtor_count", "template_instantiations", "plt_imports")
+    return every.select(is_cpp.alias("is_cpp"), *(F.when(is_cpp, F.col(n)).cast("long").alias(n) for n in names))
