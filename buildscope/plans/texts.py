@@ -11,9 +11,24 @@ from ..streaming import telemetry as S
 from .registry import n_rows, query
 
 def lined(rows, key, *texts, file=None):
-    """Lines (file, line_no, line): each row's texts in order of key; null ones are left out."""
+    """Lines (file, line_no, line): each row's texts in order of key, null ones left out, written to files and read from them."""
     cols = F.array(*(F.struct((key * 16 + i).alias("line_no"), x.alias("line")) for i, x in enumerate(texts)))
-    return rows.select((F.lit("a/x.txt") if file is None else file).alias("file"), F.explode(cols).alias("l")).select("file", "l.*").where("line is not null")
+    return through_files(rows.select((F.lit("a/x.txt") if file is None else file).alias("file"), F.explode(cols).alias("l")).select("file", "l.*").where("line is not null"))
+
+
+def through_files(rows):
+    """Lines (file, line_no, line) as they come back from files in the shared folder."""
+    path = S.shared(rows.sparkSession, "lines")
+    K.write_files(rows, path)
+    return B.lines(rows.sparkSession, path, folders=True).withColumn("file", B.name_in(F.col("file")))
+
+
+def through_texts(rows):
+    """Texts (file, text) as they come back from files in the shared folder."""
+    path = S.shared(rows.sparkSession, "texts")
+    K.write_whole(rows, path)
+    back = B.whole(rows.sparkSession, path)
+    return back.select(B.name_in(F.col("file")).alias("file"), F.expr("left(text, length(text) - 1)").alias("text"))
 
 
 @query("SRC4_nm", """select name, addr, size, type_raw, type, is_global from (select p_partkey % 6 k, p_partkey * 16 + 134217728 a, p_size::bigint z, 'part_' || p_partkey n from part),
@@ -76,7 +91,7 @@ def src7(t):
     length = F.concat(F.col("p_size"), F.when(key % 3 == 0, "M").when(key % 3 == 1, "k").otherwise(""))
     line = F.concat(F.lit("  "), name, F.when(key % 4 == 3, "").otherwise(" (rw)"), F.lit(" : ORIGIN = "), origin, F.lit(", LENGTH = "), length, F.lit(" /* x */\n"))
     text = F.concat(F.lit("/* MEMORY { } */\nMEMORY\n{\n"), line, F.lit("}\nSECTIONS { }\n"))
-    return B.linker_regions(t.part.select(key.cast("string").alias("file"), text.alias("text"))).select("name", "origin", "length", "type")
+    return B.linker_regions(through_texts(t.part.select(key.cast("string").alias("file"), text.alias("text")))).select("name", "origin", "length", "type")
 
 
 def vcg(t):
@@ -84,7 +99,7 @@ def vcg(t):
     label = F.concat(F.lit('node: { title: "f'), key, F.lit('" label: "f'), key, F.lit("\\nsrc/a"), key % 7, F.lit(".c:"), key, F.lit(":1\\n"), F.col("p_size"), F.lit(" bytes ("), F.when(key % 5 == 0, "dynamic,bounded").when(key % 5 == 1, "dynamic").otherwise("static"), F.lit(')" }\n'))
     outside = F.concat(F.lit('node: { title: "x'), key, F.lit('" label: "x'), key, F.lit('" shape : ellipse }\n'))
     edge = F.concat(F.lit('edge: { sourcename: "f'), key, F.lit('" targetname: "x'), key, F.lit('" label: "src/a.c:3:4" }\n'))
-    return t.part.select(key.cast("string").alias("file"), F.concat(F.lit('graph: { title: "a.c"\n'), label, outside, edge, F.lit("}\n")).alias("text"))
+    return through_texts(t.part.select(key.cast("string").alias("file"), F.concat(F.lit('graph: { title: "a.c"\n'), label, outside, edge, F.lit("}\n")).alias("text")))
 
 
 @query("SRC9_call_graph_nodes", "select 'f' || p_partkey as name, false as external, p_size::bigint frame, p_partkey % 5 < 2 as dynamic, p_partkey % 5 = 0 as bounded, 'src/a' || p_partkey % 7 || '.c' as source, p_partkey as at_line from part union all select 'x' || p_partkey, true, 0, false, false, '', 0 from part")
@@ -146,7 +161,7 @@ def src16(t):
     key = F.col("p_partkey")
     one = lambda i: F.concat(F.lit('{"id": '), i, F.lit(', "inner": [{"s": "}{"}]}'))
     text = F.array_join(F.transform(F.sequence(F.lit(0), key % 3), one), "\n")
-    return B.json_objects(t.part.select(key.cast("string").alias("file"), F.concat(text, F.when(key % 2 == 0, '\n{"cut": [').otherwise("")).alias("text")))
+    return B.json_objects(through_texts(t.part.select(key.cast("string").alias("file"), F.concat(text, F.when(key % 2 == 0, '\n{"cut": [').otherwise("")).alias("text"))))
 
 
 @query("SRC18_compile_entry", "select 'C:/w/src/d' || p_partkey % 5 || '/f' || p_partkey || '.c' as path, case when p_partkey % 3 < 2 then case when p_partkey % 3 = 0 then 'd' || p_partkey % 5 else 'elsewhere' end || '/F' || p_partkey || '.c' end as entry from part")
@@ -176,7 +191,7 @@ def src20(t):
 def src21(t):
     key = F.col("p_partkey")
     text = F.concat(F.lit("---\nsymbol: "), F.col("p_brand"), F.lit("\r\ntags:  a:b \nnot a field\n---\nBody "), F.col("p_name"), F.lit("\n"))
-    got = B.front_matter(t.part.select(key.cast("string").alias("file"), text.alias("text")))
+    got = B.front_matter(through_texts(t.part.select(key.cast("string").alias("file"), text.alias("text"))))
     return got.select("file", F.try_element_at("fields", F.lit("symbol")).alias("symbol"), F.try_element_at("fields", F.lit("tags")).alias("tag"), "body")
 
 
@@ -208,7 +223,7 @@ def src23(t):
 def src25(t):
     key = F.col("p_partkey")
     text = F.concat(F.lit('<cproject><option id="i" valueType="includePath"><listOptionValue value="&quot;inc/'), key, F.lit('&quot;"/><listOptionValue value="common"/><listOptionValue value="common"/></option><option valueType="definedSymbols"><listOptionValue value="N='), F.col("p_size"), F.lit('"/></option></cproject>'))
-    return B.project_settings(t.part.select(key.cast("string").alias("file"), text.alias("text"))).select("file", F.array_join("includes", ",").alias("includes"), F.array_join("defines", ",").alias("defines"))
+    return B.project_settings(through_texts(t.part.select(key.cast("string").alias("file"), text.alias("text")))).select("file", F.array_join("includes", ",").alias("includes"), F.array_join("defines", ",").alias("defines"))
 
 
 @query("SNK1_csv_lines", """select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.') || lpad((epoch_us(ts) // 1000 % 1000)::varchar, 3, '0') || ',' || epoch_us(ts) // 1000 || ',rx,,,,,"' || replace(props, '"', '""') || '"' as line from events""")

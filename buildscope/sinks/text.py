@@ -79,6 +79,18 @@ def write_lines(df: DataFrame, line: Column, path: str, order: Sequence = (), eo
     out.text(path)
 
 
+def write_files(rows: DataFrame, path: str, eol: str = "\n") -> None:
+    """Lines (file, line_no, line) under path, a folder file=name a file; its parts, by name, follow line_no, so no task holds a file."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = rows.select(F.coalesce("file", F.lit("")).alias("file"), "line_no", "line")  # a name that may be null would be sorted again
+    own.repartitionByRange(n, "file", "line_no").sortWithinPartitions("file", "line_no").select("file", "line").write.partitionBy("file").option("lineSep", eol).text(path)
+
+
+def write_whole(rows: DataFrame, path: str) -> None:
+    """Texts (file, text) under path, each in a file of its own, ended by a line feed, in a folder file=name."""
+    rows.select(F.coalesce("file", F.lit("")).alias("file"), "text").write.partitionBy("file").option("maxRecordsPerFile", 1).text(path)
+
+
 def retained(files: DataFrame, size: str, newest: str, most: int, keep: int) -> DataFrame:
     """SNK4: of rotated files those that stay: the newest `keep` of those that have reached `most` bytes, and all that have not."""
     from ..operators.core import top_k

@@ -21,15 +21,26 @@ BLOCK_WORDS = ("VERSION", "COMMSETTINGS", "COMMDISPLAY", "COMMCHANNELS", "SEND",
 HEX_LINE = r"^([0-9a-fA-F]{2})(\s+[0-9a-fA-F]{2})+$"
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all files under path; files are split, so line_no tells the order of a file's lines but is not their count."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"), F.col("value").alias("line"))
-    return rows.select("file", F.struct("_at", "_row").alias("line_no"), "line")
+def lines(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
+    """Lines (file, line_no, line) of all files under path; files are split, so line_no tells the order of a file's lines but is not their count.
+
+    With folders a folder is one file, whose parts follow one another by name, as Spark writes them.
+    """
+    at, row = F.col("_metadata.file_block_start"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("_path"), at.alias("_at"), row.alias("_row"), F.col("value").alias("line"))
+    file = F.regexp_replace("_path", "/[^/]*$", "") if folders else F.col("_path")
+    place = [F.col("_path")] * folders + [F.col("_at"), F.col("_row")]
+    return rows.select(file.alias("file"), F.struct(*place).alias("line_no"), "line")
 
 
 def whole(spark: SparkSession, path: str) -> DataFrame:
     """Rows (file, text) for formats that a line does not hold; a file must fit a row."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+
+
+def name_in(path: Column, key: str = "file") -> Column:
+    """The name that a folder key=name of a path stands for."""
+    return F.url_decode(F.url_decode(F.regexp_extract(path, f"(?:^|/){key}=([^/]*)", 1)))
 
 
 def hexadecimal(c) -> Column:
