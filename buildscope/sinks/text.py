@@ -70,13 +70,22 @@ def mermaid_lines(nodes: DataFrame, edges: DataFrame, node: str, label: str, a:
     return nodes.sparkSession.createDataFrame([(0, "flowchart LR")], "part int, line string").unionByName(own).unionByName(links)
 
 
-def write_lines(df: DataFrame, line: Column, path: str, order: Sequence = (), eol: str = "\r\n", rows_a_file: int = 0) -> None:
-    """Lines under path; with an order, files and the lines in them follow it. rows_a_file bounds a file's lines (SNK4)."""
+def write_lines(df: DataFrame, line: Column, path: str, order: Sequence = (), eol: str = "\r\n", rows_a_file: int = 0, header: str | None = None) -> None:
+    """Lines under path; with an order, files and the lines in them follow it. rows_a_file bounds a file's lines (SNK4); a header comes first, once."""
     rows = df.orderBy(*order) if order else df
     out = rows.select(line.alias("value")).write.option("lineSep", eol)
     if rows_a_file:
         out = out.option("maxRecordsPerFile", rows_a_file)
     out.text(path)
+    if header is not None:  # a file whose name comes before those of the parts
+        head = df.sparkSession.createDataFrame([(header,)], "value string").coalesce(1)
+        head.write.option("lineSep", eol).text(f"{path}/head=0")
+
+
+def notes(store: DataFrame, key: str, generated: Sequence[str], corrected: Sequence[str], body: str) -> DataFrame:
+    """SNK9: rows (file, text): a note a key, its fields between --- lines, null ones left out, then its body."""
+    fields = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in (*generated, *corrected)]
+    return store.select(F.col(key).alias("file"), F.concat(F.lit("---\n"), F.concat_ws("\n", *fields), F.lit("\n---\n"), F.coalesce(body, F.lit(""))).alias("text"))
 
 
 def write_files(rows: DataFrame, path: str, eol: str = "\n") -> None:
