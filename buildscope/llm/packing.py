@@ -7,7 +7,7 @@ of one length form a bucket, from which a trainer draws batches of equal shape.
 
 Token ids come from a public tokenizer file. Its pre-tokenizer never joins across ASCII
 white space, so a text's ids are those of its white-space runs one after the other, and
-each worker keeps the ids of words that it has met (at most CACHE of them).
+each worker keeps the ids of words that it has met (WORDS bytes of them, and STEMS).
 
 Everything happens in one pass without a shuffle. sequence_id is the task's partition
 number and a count within it; a partition read again gets the same numbers.
@@ -28,43 +28,110 @@ from pyspark.sql import DataFrame
 from . import common as C
 
 LENGTH, END = 2048, 1
-#: Bytes of words and ids that a worker keeps: of the first words that it met, which the frequent ones are among.
-CACHE = 64 << 20
-#: Words given to the tokenizer at a time.
+#: Bytes of words and ids that a worker keeps, and of words without the punctuation at their end; beyond that it begins anew.
+WORDS, STEMS = 32 << 20, 64 << 20
+#: Words that are given to the tokenizer at a time, and runs of letters that it is given as one text.
 ENCODED = 1 << 13
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, bucket int"
 
 
-def encoder(path: str):
-    """The tokenizer of a file and this worker's cache of the ids of its words."""
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: A letter whose lower case ends in a mark, which joins with punctuation.
+DOTTED = "\u0130".encode()
 
-    def load():
+
+def letters(word: bytes) -> bool:
+    """Whether a word is of letters only, also in lower case, which can add marks."""
+    return word.isalpha() if word.isascii() else word.decode().lower().isalpha()
+
+
+def parts(word: bytes) -> tuple[bytes, bytes]:
+    """A word up to its last letter or digit and the ASCII punctuation behind that; a word that ends otherwise is one part."""
+    stem = word.rstrip(PUNCTUATION)
+    if not stem or len(stem) == len(word) or DOTTED in stem or not (stem[-1:].isalnum() if stem[-1] < 128 else stem.decode()[-1].isalnum()):
+        return word, b""
+    return stem, word[len(stem) :]
+
+
+def taken(ids: dict[bytes, bytes]) -> int:
+    """Bytes of a dictionary of words and ids, with what it and two objects an entry take."""
+    return sum(map(len, ids)) + sum(map(len, ids.values())) + 150 * len(ids)
+
+
+class Encoder:
+    """The tokenizer of a file, and the ids of what this worker has met.
+
+    Where the tokenizer takes upper case for lower case and parts punctuation from a letter or digit before it, the ids of a word
+    are those of the word in lower case without the ASCII punctuation at its end, and of that. Where the last token of a run of
+    letters is marked as such, many runs are encoded as one text. Otherwise words are encoded as they are.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        return [Tokenizer.from_file(path), {}, 0]
-
-    return C.held(("tokenizer", path), load)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.stems, self.size, self.stems_size = {}, {b"": b""}, 0, 0
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        normal, pre = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.folds = normal is not None and pre is not None and normal.normalize_str("AbZ") == "abz" and all(len(pre.pre_tokenize_str(x)) == 2 for x in ("ab,", "ab'", "ab..", "ab$-", "1,", "\u00b2."))
+        vocabulary = self.tokenizer.get_vocab() if self.folds else {}
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words as little-endian 32-bit integers."""
+        out, single = {}, words
+        if self.last.any():
+            runs, single = [], []
+            for w in words:
+                (runs if letters(w) else single).append(w)
+            for a in range(0, len(runs), ENCODED):
+                part = runs[a : a + ENCODED]
+                ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) != len(part):
+                    single += part
+                    continue
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                out |= {w: raw[x:y] for w, x, y in zip(part, [0, *ends], ends, strict=False)}
+        for a in range(0, len(single), ENCODED):
+            part = single[a : a + ENCODED]
+            got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            out |= {w: np.array(g.ids, "<u4").tobytes() for w, g in zip(part, got, strict=True)}
+        return out
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        if any(a in t for a in self.added for t in texts):  # a token that is text of its own is not cut or changed
+            return [np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() if any(a in t for a in self.added) else self([t])[0] for t in texts]
+        split = [(t.lower() if self.folds else t).split() for t in texts]
+        words = set().union(*split)
+        if self.size > WORDS:  # the words of later texts come from their parts again
+            self.words, self.size = {}, 0
+        missing = list(words.difference(self.words))
+        if not self.folds:
+            new = self.encoded(missing)
+        else:
+            two = [parts(w) for w in missing]
+            unknown = {a for a, _ in two}.union(b for _, b in two).difference(self.stems)
+            if self.stems_size > STEMS:
+                self.stems, self.stems_size = {b"": b""}, 0
+                unknown = {a for a, _ in two}.union(b for _, b in two).difference(self.stems)
+            fresh = self.encoded(list(unknown))
+            self.stems |= fresh
+            self.stems_size += taken(fresh)
+            stems = self.stems
+            new = {w: stems[a] + stems[b] if b else stems[a] for w, (a, b) in zip(missing, two, strict=True)}
+        self.words |= new
+        self.size += taken(new)
+        return [b"".join(map(self.words.__getitem__, own)) for own in split]
 
 
 def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit integers."""
-    own = encoder(path)
-    tokenizer, known, size = own
-    split = [t.split() for t in texts]
-    if not (missing := list(set().union(*split).difference(known))):
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-    new = {}
-    for a in range(0, len(missing), ENCODED):
-        part = missing[a : a + ENCODED]
-        encoded = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-        new |= {word: np.array(got.ids, "<u4").tobytes() for word, got in zip(part, encoded, strict=True)}
-    if size < CACHE:
-        known |= new
-        own[2] += sum(map(len, new)) + sum(map(len, new.values())) + 150 * len(new)  # and what the dictionary and two objects take
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-    return [b"".join([known[w] if w in known else new[w] for w in words]) for words in split]
+    """Ids of each text as little-endian 32-bit integers, by this worker's encoder."""
+    return C.held(("tokenizer", path), lambda: Encoder(path))(texts)
 
 
 def cuts(n: int, length: int) -> list[int]:
