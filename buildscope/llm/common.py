@@ -75,6 +75,16 @@ def forget(*tables: DataFrame | None) -> None:
             at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def set_apart(docs: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with all columns but `own` under names that no step uses, and what each column is called there."""
+    names = {c: c if c in own else f"_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names
+
+
+def set_back(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 _held: dict = {}
 
 

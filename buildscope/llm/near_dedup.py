@@ -340,9 +340,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without all but one row of each class: that of the least doc_id, nulls last, and of its texts that with the least rid."""
+    docs, names = C.set_apart(docs, ("doc_id", "text"))
     own = classes(docs, threshold)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first")
     kept = own.groupBy("label").agg(first).select(F.col("first.doc_id").alias("__kept"), F.col("first.rid").alias("__kept_rid"))
     key = docs.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumn("__id", F.col("doc_id").cast("long"))
     out = key.join(kept, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__rid") == F.col("__kept_rid")), "left_semi")
-    return out.dropDuplicates(["__id", "__rid"]).select(*docs.columns)
+    return C.set_back(out.dropDuplicates(["__id", "__rid"]), names)

@@ -92,17 +92,17 @@ ORACLE = {
     "op9_chat": """
 with t as (
   select conv_id, coalesce(role, 'unknown') as role, coalesce(text, '') as text,
+         coalesce(length(role) || ':' || role, '-') || coalesce(length(text) || ':' || text, '-') as said,
          row_number() over w as n, lead(1) over w is null as last
   from conversations window w as (partition by conv_id order by turn nulls first, role nulls first, text nulls first)),
 h as (
-  select *, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '')
-                over (partition by conv_id order by n)) as hash from t),
+  select *, md5(string_agg(said, '') over (partition by conv_id order by n)) as hash from t),
 kept as (
   select n, hash, min(conv_id) as conv_id from h where last group by n, hash),
 top as (
   select conv_id from kept k where not exists (select 1 from h where not h.last and h.n = k.n and h.hash = k.hash))
-select conv_id, count(*) as n_turns, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' order by n) as chat
-from t join top using (conv_id) group by conv_id""",
+select t.conv_id, count(*) as n_turns, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' order by n) as chat
+from t join top on t.conv_id is not distinct from top.conv_id group by t.conv_id""",
     "op11_hard_negatives": """
 with r as (
   select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,

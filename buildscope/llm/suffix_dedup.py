@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
 from . import superkmer as K
 from .substring_dedup import merged, sha256
 
@@ -158,6 +159,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM)
 
 def cleaned_documents(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """docs with text cut to what stays; a character of which a part was removed goes whole, n_chars follows."""
+    docs, back = C.set_apart(docs, ("doc_id", "text", "n_chars"))
     names = docs.columns
 
     def cut(batches):
@@ -178,7 +180,7 @@ def cleaned_documents(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     kinds = docs.withColumn("text", F.col("text").cast("string"))
     if "n_chars" in names:
         kinds = kinds.withColumn("n_chars", F.col("n_chars").cast("long"))
-    return K.with_spans(kinds, spans, shared).select(*names, "__spans").mapInArrow(cut, kinds.schema)
+    return C.set_back(K.with_spans(kinds, spans, shared).select(*names, "__spans").mapInArrow(cut, kinds.schema), back)
 
 
 __all__ = ["cleaned_documents", "remove_repeated_bytes", "repeated_windows", "sha256"]
