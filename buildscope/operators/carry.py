@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .graph import cut
+from .graph import cut, pinned
 
 #: Rows of a range, about.
 ROWS = 1 << 20
@@ -25,7 +25,7 @@ def ranged(rows: DataFrame, file: str, place: str, size: int = ROWS) -> DataFram
     """rows stored in ranges of about so many, with the range's number in _part, in order within it."""
     n = max(1, -(-rows.count() // size))
     dealt = rows.repartitionByRange(n, file, place).sortWithinPartitions(file, place)
-    return cut(dealt.withColumn("_part", F.spark_partition_id()))
+    return pinned(dealt.withColumn("_part", F.spark_partition_id()))
 
 
 def last_values(rows: DataFrame, file: str, place: str, columns: Sequence[str], size: int = ROWS, own: bool = True) -> DataFrame:

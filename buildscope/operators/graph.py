@@ -1,4 +1,4 @@
-"""Graph traversals as loops of frontier joins; lineage is cut by checkpoint() in the shared folder.
+"""Graph traversals as loops of frontier joins; lineage is cut by tables in the shared folder.
 
 A round joins the frontier with the edges, both by node, and keeps what is new; it costs
 the edges of the frontier. Rounds end when nothing is new, so cycles are harmless.
@@ -6,9 +6,11 @@ the edges of the frontier. Rounds end when nothing is new, so cycles are harmles
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .core import asof
@@ -17,18 +19,28 @@ from .core import asof
 COMPACT = 8
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed and stored in the folder that spark.checkpoint.dir names."""
-    spark = df.sparkSession
+def shared(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share, which spark.checkpoint.dir names."""
     sc = spark.sparkContext
+    if not (base := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="buildscope-")  # a single machine, as in tests
     if not sc.getCheckpointDir():
-        if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
-            if sc.master.split("[")[0] != "local":
-                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-            import tempfile
+        sc.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: its lineage ends, and its true size is known to what comes after."""
+    path = shared(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-            folder = tempfile.mkdtemp(prefix="buildscope-")
-        sc.setCheckpointDir(folder)
+def pinned(df: DataFrame) -> DataFrame:
+    """df stored in the shared folder with its partitions, and the order in them, as they are."""
+    shared(df.sparkSession, "")  # sets the folder where it is not set
     return df.checkpoint()
 
 
@@ -121,34 +133,6 @@ def cycles(edges: DataFrame, most: int) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def longest(edges: DataFrame, weights: DataFrame, most: int = 10_000) -> DataFrame:
-    """Rows (node, worst, path): own weight plus the greatest worst of the successors, and the way there.
-
-    Of equal successors the least counts. A round settles the nodes all of whose successors
-    are settled, so each is computed once. Nodes on a cycle, or before one, are never: they
-    keep their own weight with a null path, and the rounds end, which a graph with cycles
-    would otherwise not allow.
-    """
-    edges = edges.select("src", "dst").distinct().join(weights.select(F.col("node").alias("dst")), "dst", "left_semi").join(weights.select(F.col("node").alias("src")), "src", "left_semi")
-    left = cut(weights.select("node", "weight"))
-    done = None
-    for _ in range(most):
-        open_ = edges.join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
-        ready = left.join(open_, "node", "left_anti")
-        if done is None:
-            now = ready.select("node", F.col("weight").alias("worst"), F.array("node").alias("path"))
-        else:
-            best = edges.join(ready.select(F.col("node").alias("src")), "src", "left_semi").join(done.select(F.col("node").alias("dst"), "worst", "path"), "dst").groupBy(F.col("src").alias("node")).agg(F.max(F.struct("worst", (-F.col("dst")).alias("d"), "path")).alias("b"))
-            now = ready.join(best, "node", "left").select("node", (F.col("weight") + F.coalesce("b.worst", F.lit(0))).alias("worst"), F.concat(F.array("node"), F.coalesce("b.path", F.array().cast(best.schema["b"].dataType["path"].dataType))).alias("path"))
-        now = cut(now)
-        if now.isEmpty():
-            break
-        done = now if done is None else cut(done.unionByName(now))
-        left = cut(left.join(now, "node", "left_anti"))
-    rest = left.select("node", F.col("weight").alias("worst"), F.lit(None).cast("array<" + weights.schema["node"].dataType.simpleString() + ">").alias("path"))
-    return rest if done is None else done.unionByName(rest)
-
-
 def chase(links: DataFrame, most: int = 8) -> DataFrame:
     """Rows (node, target, hops): where chains of node -> next end, after at most so many steps.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import longest as L
 from .registry import n_rows, query
 
 HEAP = "with recursive e as (select p_partkey src, p_partkey // 2 dst from part where p_partkey > 1), "
@@ -56,8 +57,8 @@ def g6(t):
 
 @query("G7_longest_path_way", HEAP + "w as (select p_partkey node, p_partkey pos, p_size::bigint total, p_partkey::varchar path from part union all select node, dst, total + p_size, path || '>' || dst from w join e on pos = src join part on p_partkey = dst) select node, max(total) worst, arg_max(path, len(path)) path from w group by 1")
 def g7(t):
-    out = G.longest(heap(t), t.part.select(F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("weight")))
-    return out.select("node", "worst", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+    out = G.cut(L.longest(heap(t), t.part.select(F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("weight"))))
+    return out.join(L.ways(out), "node").select("node", "worst", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @query("G11_shortest_path", HEAP + "u as (select src, dst from e union select dst, src from e), w as (select 11::bigint node, ['11'] path union all select dst, list_append(path, dst::varchar) from w join u on node = src where not list_contains(path, dst::varchar) and len(path) < 14), p as (select path from w where node = 29 order by len(path) limit 1) select unnest(range(len(path))) as place, unnest(path)::bigint as node from p")
@@ -79,7 +80,7 @@ def m19(t):
 
 @query("G17_layers", HEAP + "w as (select p_partkey node, p_partkey pos, 0::bigint layer from part union all select node, dst, layer + 1 from w join e on pos = src join part on p_partkey = dst) select node, max(layer) as layer from w group by 1")
 def g17(t):
-    out = G.longest(heap(t), t.part.select(F.col("p_partkey").alias("node"), F.lit(1).cast("long").alias("weight")))
+    out = L.longest(heap(t), t.part.select(F.col("p_partkey").alias("node"), F.lit(1).cast("long").alias("weight")))
     return out.select("node", (F.col("worst") - 1).alias("layer"))
 
 

@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import core as O
 from ..operators import graph as G
 from ..operators import located as L
+from ..operators.longest import longest
 from ..streaming import telemetry
 from .graphs import HEAP, heap
 from .registry import ORACLE, QUERIES, as_double, money, n_rows, query
@@ -407,7 +408,7 @@ def g8(t):
 
 @query("G7_longest_path", HEAP + "w as (select p_partkey node, p_partkey pos, p_size::bigint total from part union all select node, dst, total + p_size from w join e on pos = src join part on p_partkey = dst) select node, max(total) worst from w group by 1")
 def g7(t):
-    return G.longest(heap(t), t.part.select(F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("weight"))).drop("path")
+    return longest(heap(t), t.part.select(F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("weight"))).select("node", "worst")
 
 
 @query("G13_alias_chain", HEAP + "w as (select src node, dst target, 1::bigint hops from e union all select node, dst, hops + 1 from w join e on target = src where hops < 8) select node, arg_max(target, hops) target, max(hops) hops from w group by 1")

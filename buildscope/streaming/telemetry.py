@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.core import dedupe_last
+from ..operators.graph import shared
 
 
 def series_state(events: DataFrame) -> DataFrame:
@@ -26,20 +27,6 @@ def series_stats(events: DataFrame) -> DataFrame:
     return with_rate(series_state(events))
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    import tempfile
-    import uuid
-
-    sc = spark.sparkContext
-    if not (base := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        if sc.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="buildscope-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def opened(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet file, or a folder of them, as a stream."""
     stream, at = spark.readStream.schema(spark.read.parquet(path).schema), spark._jvm.org.apache.hadoop.fs.Path(path)
