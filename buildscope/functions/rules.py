@@ -28,7 +28,7 @@ ABI = (
     ("global_fn", "^_Z[^TNLG]"),
 )
 
-#: F6. Classes of section names for one family of targets, the first prefix that fits.
+#: F6. Classes of section names for the families of targets, the first prefix that fits.
 ARM_SECTIONS = (
     (".text", "flash"), (".rodata", "flash"), (".init", "flash"), (".fini", "flash"), (".itcm_text", "flash"), (".pflash", "flash"),
     (".ARM", "flash"), (".preinit_array", "flash"), (".init_array", "flash"), (".fini_array", "flash"),
@@ -36,6 +36,20 @@ ARM_SECTIONS = (
     (".bss", "ram"), (".mcal_bss", "ram"), (".dtcm_bss", "ram"), (".sram_bss", "ram"), (".non_cacheable", "ram"), (".heap", "ram"), (".stack", "ram"),
     (".mcal_const", "flash"), (".mcal_const_cfg", "flash"), (".mcal_shared", "ram"), (".shareable", "ram"), (".standby", "ram"), (".int_vector", "ram"), (".int_results", "ram"),
 )
+ESP32_CLASSES = (
+    (".flash.text", "flash"), (".flash.rodata", "flash"), (".flash.appdesc", "flash"), (".flash_rodata_dummy", "flash"), (".flash.rodata_noload", "flash"),
+    (".iram0.text", "both"), (".iram0.vectors", "both"), (".dram0.data", "both"), (".dram0.bss", "ram"), (".dram0.dummy", "ignore"), (".noinit", "ram"),
+    (".rtc.text", "both"), (".rtc.force_fast", "both"), (".rtc.data", "both"), (".rtc.bss", "ram"), (".rtc_noinit", "ram"), (".rtc_reserved", "ram"), (".rtc.force_slow", "both"),
+    (".ext_ram.dummy", "ignore"), (".ext_ram", "ram"), (".iram0.data", "both"), (".iram0.bss", "ram"), (".iram0.text_end", "ignore"), (".dram0.heap_start", "ignore"),
+    (".debug", "ignore"), (".xtensa", "ignore"), (".xt.", "ignore"), (".comment", "ignore"),
+)
+X86_CLASSES = (
+    (".text", "flash"), (".init", "flash"), (".fini", "flash"), (".plt", "flash"), (".plt.got", "flash"), (".plt.sec", "flash"), (".rodata", "flash"), (".rodata.str", "flash"),
+    (".eh_frame", "flash"), (".eh_frame_hdr", "flash"), (".gcc_except_table", "flash"), (".init_array", "flash"), (".fini_array", "flash"), (".preinit_array", "flash"),
+    (".data", "both"), (".data.rel.ro", "both"), (".got", "both"), (".got.plt", "both"), (".tdata", "both"), (".bss", "ram"), (".tbss", "ram"),
+    (".note.ABI-tag", "ignore"), (".note.gnu.build-id", "ignore"), (".gnu.version", "ignore"), (".gnu.version_r", "ignore"), (".gnu.hash", "ignore"), (".dynsym", "ignore"),
+    (".dynstr", "ignore"), (".rela.dyn", "ignore"), (".rela.plt", "ignore"), (".dynamic", "ignore"), (".interp", "ignore"), (".comment", "ignore"),
+)
 IGNORED_SECTIONS = (".debug", ".comment", ".xtensa", ".xt.", ".zdebug")
 
 #: F7. Names of interrupt handlers: those of a family, and those of any.

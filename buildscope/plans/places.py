@@ -33,13 +33,12 @@ def j5(t):
     return L.located(x, m, "o_orderkey", "x", "lo", "size", "id", 1000.0)
 
 
-@query("J6_innermost", """with p as (select l_orderkey f, l_linenumber * 10 + l_partkey line, l_orderkey * 1000 + l_linenumber id from lineitem where l_linenumber <= 3), r as (select l_orderkey f, l_partkey lo, l_partkey + l_quantity::bigint * 3 hi, l_linenumber * 100000 + l_partkey name from lineitem),
-d as (select distinct id, f, line from p where id in (select id from p group by id having count(*) = 1)) select d.id, arg_min(r.name, (line - lo, r.name)) as name from d left join r on d.f = r.f and line >= lo and line <= hi group by 1""")
+@query("J6_innermost", """with p as (select distinct l_orderkey f, l_linenumber * 10 + l_partkey line from lineitem), r as (select l_orderkey f, l_partkey lo, l_partkey + l_quantity::bigint * 3 hi, l_linenumber * 100000 + l_partkey name from lineitem)
+ select p.f || ':' || line as id, arg_min(r.name, (line - lo, r.name)) as name from p left join r on p.f = r.f and line >= lo and line <= hi group by 1""")
 def j6(t):
-    line = t.lineitem.where("l_linenumber <= 3").select(F.col("l_orderkey").alias("f"), (F.col("l_linenumber") * 10 + F.col("l_partkey")).alias("line"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("id"))
-    once = line.groupBy("id").agg(n_rows().alias("n"), F.first("f").alias("f"), F.first("line").alias("line")).where("n = 1").drop("n")
+    points = t.lineitem.select(F.col("l_orderkey").alias("f"), (F.col("l_linenumber") * 10 + F.col("l_partkey")).alias("line")).distinct().withColumn("id", F.concat("f", F.lit(":"), "line"))
     ranges = t.lineitem.select(F.col("l_orderkey").alias("f"), F.col("l_partkey").alias("lo"), (F.col("l_partkey") + F.col("l_quantity").cast("long") * 3).alias("hi"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("name"))
-    return L.enclosing(once, ranges, "id", "f", "line", "lo", "hi", "name")
+    return L.enclosing(points, ranges, "id", "f", "line", "lo", "hi", "name")
 
 
 @query("J7_asof_elsewhere", """with e as (select event_id id, user_id f, event_id // 50 var, event_type = 'signup' mark from events), s as (select * from e where mark), p as (select * from e where not mark),
@@ -113,9 +112,9 @@ def j17(t):
     return L.resolved_includes(includes, files, "header", "path")
 
 
-@query("J20_override_fanout", "with c as (select distinct l_suppkey caller, l_partkey % 50 class from lineitem where l_orderkey < 2000), m as (select p_partkey % 50 class, p_partkey method from part where p_size > 45) select class, caller, method from c join m using (class)")
+@query("J20_override_fanout", "with c as (select distinct l_suppkey caller, l_partkey % 50 class from lineitem), m as (select p_partkey % 50 class, p_partkey method from part where p_size > 45) select class, caller, method from c join m using (class)")
 def j20(t):
-    callers = t.lineitem.where("l_orderkey < 2000").select(F.col("l_suppkey").alias("caller"), (F.col("l_partkey") % 50).alias("class")).distinct()
+    callers = t.lineitem.select(F.col("l_suppkey").alias("caller"), (F.col("l_partkey") % 50).alias("class")).distinct()
     methods = t.part.where("p_size > 45").select((F.col("p_partkey") % 50).alias("class"), F.col("p_partkey").alias("method"))
     return callers.join(methods, "class")
 

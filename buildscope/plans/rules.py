@@ -43,6 +43,25 @@ def f6(t):
     return t.part.select("p_partkey", R.section_class(pick(F.col("p_partkey"), SECTIONS)).alias("class"))
 
 
+# Section names of the other families, and the class that each must get.
+ESP32_EXPECTED = ((".flash.text", "flash"), (".flash.rodata_noload", "flash"), (".iram0.text_end", "both"), (".dram0.bss", "ram"), (".dram0.dummy", "ignore"), (".rtc.force_slow", "both"), (".ext_ram.dummy", "ignore"), (".ext_ram.bss", "ram"), (".zdebug_info", "ignore"), (".text", None), (".dram0.heap_start", "ignore"), (".noinit", "ram"))
+X86_EXPECTED = ((".text.unlikely", "flash"), (".plt.sec", "flash"), (".data.rel.ro", "both"), (".got.plt", "both"), (".tbss", "ram"), (".bss", "ram"), (".gnu.hash", "ignore"), (".gnu.version_r", "ignore"), (".rela.plt", "ignore"), (".xt.lit", "ignore"), (".mystery", None), (".eh_frame_hdr", "flash"))
+
+
+def _classes(expected):
+    return f"select p_partkey, case p_partkey % {len(expected)}" + "".join(f" when {i} then '{c}'" for i, (_, c) in enumerate(expected) if c) + " end as class from part"
+
+
+@query("F6_section_class_esp32", _classes(ESP32_EXPECTED))
+def f6_esp32(t):
+    return t.part.select("p_partkey", R.section_class(pick(F.col("p_partkey"), [n for n, _ in ESP32_EXPECTED]), R.ESP32_CLASSES).alias("class"))
+
+
+@query("F6_section_class_x86", _classes(X86_EXPECTED))
+def f6_x86(t):
+    return t.part.select("p_partkey", R.section_class(pick(F.col("p_partkey"), [n for n, _ in X86_EXPECTED]), R.X86_CLASSES).alias("class"))
+
+
 HANDLERS = ("NMI_Handler", "HardFault_Handler", "USART1_IRQHandler", "vPortSVCISR", "xPortSysTickHandler", "HAL_UART_IRQHandler", "my_isr", "tim-irq", "isr_main", "main", "IRQHandler", "SysTick_Handler", "Widget_interrupt", "PendSV_Handler2", "dma_copy")
 
 

@@ -104,8 +104,9 @@ def ring(samples: DataFrame, series: str, order: Sequence[str], value: str, most
         state.update(([o for o, _ in both], [v for _, v in both]))
         yield pd.DataFrame({series: [key[0]], "held": [[v for _, v in both]]})
 
-    # an order that strings keep: each part padded
-    parts = (F.lpad(F.unix_micros(F.col(c).cast("timestamp")).cast("string"), 20, "0") if samples.schema[c].dataType.simpleString().startswith("timestamp") else F.lpad(F.col(c).cast("string"), 20, "0") for c in order)
+    # an order that strings keep: whole numbers, lifted so that none is negative, and padded
+    number = lambda c: F.unix_micros(F.col(c).cast("timestamp")) if samples.schema[c].dataType.simpleString().startswith("timestamp") else F.col(c).cast("long")
+    parts = (F.lpad((number(c).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0") for c in order)
     rows = samples.select(series, value, F.concat(*parts).alias("_order"))
     return rows.groupBy(series).applyInPandasWithState(run, f"{series} {kind}, held array<{held}>", f"orders array<string>, vals array<{held}>", "update", GroupStateTimeout.NoTimeout)
 
