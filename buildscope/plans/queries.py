@@ -416,6 +416,6 @@ def g13(t):
     return G.chase(heap(t).withColumnsRenamed({"src": "node", "dst": "next"}))
 
 
-from . import binary, code, constructs, debug, dispatch, files, flow, graphs, machines, places, rollups, rules, source, texts  # noqa: E402, F401  they register their queries
+from . import binary, code, constructs, debug, dispatch, files, flow, graphs, machines, places, rollups, rules, source, summaries, texts  # noqa: E402, F401  they register their queries
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -201,6 +201,20 @@ def linker_regions(files: DataFrame) -> DataFrame:
     return rows.withColumn("end", F.col("origin") + F.col("length")).withColumn("type", kind)
 
 
+def linker_sections(files: DataFrame) -> DataFrame:
+    """SRC7: output sections of linker scripts (file, text): name, noload, vma and lma, the regions where they run and where they are stored, and place.
+
+    A section is a name, perhaps a type in parentheses or an address, a body in braces, which may hold braces once, and a
+    region. Scripts of several files are read one by one; J18 joins their sections with the regions of any.
+    """
+    plain = F.regexp_replace(F.regexp_replace("text", r"(?s)/\*.*?\*/", " "), r"//[^\n]*", " ")
+    body = F.regexp_extract(plain, r"(?s)SECTIONS\s*\{(.+)", 1)
+    section = r"(?s)(\.[\w.]+)\s*(\([^)]*\))?\s*(?::\s*(?:AT\s*\([^)]+\)\s*)?)?\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}[^>{}]*>\s*(\w+)(?:\s*AT\s*>\s*(\w+))?"
+    get = lambda k: F.nullif(F.regexp_extract("_m", section, k), F.lit(""))
+    found = files.select("file", F.posexplode(F.regexp_extract_all(body, F.lit(section), F.lit(0))).alias("place", "_m"))
+    return found.select("file", "place", get(1).alias("name"), F.col("_m").rlike(r"\bNOLOAD\b").alias("noload"), get(4).alias("vma"), get(5).alias("lma"))
+
+
 def call_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SRC9: (nodes, edges) of call graph dumps (file, text); a label's lines tell frame, its kind, and place. Of nodes of one name the last file's last counts."""
     block = F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)(?:node|edge)\s*:\s*\{[^}]*\}"), F.lit(0))).alias("place", "b")

@@ -134,3 +134,47 @@ def alarms(samples: DataFrame, by: str, order: Sequence[str], cpu: str, threads:
 
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return samples.withColumn("peak", F.max(cpu).over(w)).withColumn("alarm", (F.col(cpu) > 80) | (F.col(threads) > 20))
+
+
+def monitored(samples: DataFrame, by: str, order: str, cpu: str, threads: str, kept: int = 30) -> DataFrame:
+    """ST9: rows (by, order, peak, alarm, growing) of a stream: the peak so far, whether a limit (80 % of CPU, 20 threads) is passed, and W3's growth of more than 15 % over the last `kept` samples.
+
+    The state of a series is its peak and its last values; a batch's samples count in order.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    kinds = {c: samples.schema[c].dataType.simpleString() for c in (by, order)}
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        peak, last = state.get if state.exists else (None, [])
+        last, out = list(last), []
+        for at, value, n in pd.concat(list(batches)).sort_values(order)[[order, cpu, threads]].itertuples(index=False):
+            peak = value if peak is None else max(peak, value)
+            last = [*last, value][-kept:]
+            growing = len(last) == kept and last[0] > 0 and last[-1] > 1.15 * last[0]
+            out.append((key[0], at, peak, bool(value > 80 or n > 20), bool(growing)))
+        state.update((peak, last))
+        yield pd.DataFrame(out, columns=[by, order, "peak", "alarm", "growing"])
+
+    return samples.select(by, order, F.col(cpu).cast("double").alias(cpu), threads).groupBy(by).applyInPandasWithState(run, f"{by} {kinds[by]}, {order} {kinds[order]}, peak double, alarm boolean, growing boolean", "peak double, last array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def rewrites(changes: DataFrame, key: str, order: str, digest: str) -> DataFrame:
+    """ST10: rows (key, order, action) of a stream of saved contents: rewrite where a key's digest is new or another than its last, prune where it is null and the key was there."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    kinds = {c: changes.schema[c].dataType.simpleString() for c in (key, order)}
+
+    def run(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, out = (state.get[0] if state.exists else None), []
+        for at, now in pd.concat(list(batches)).sort_values(order)[[order, digest]].itertuples(index=False):
+            now = now if isinstance(now, str) else None
+            if now != last:
+                out.append((own[0], at, "prune" if now is None else "rewrite"))
+            last = now
+        state.update((last,))
+        yield pd.DataFrame(out, columns=[key, order, "action"])
+
+    return changes.select(key, order, digest).groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {order} {kinds[order]}, action string", "last string", "append", GroupStateTimeout.NoTimeout)
