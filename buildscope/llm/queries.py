@@ -106,10 +106,10 @@ from t join top on t.conv_id is not distinct from top.conv_id group by t.conv_id
     "op11_hard_negatives": """
 with r as (
   select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
-         list_transform(embedding, c -> floor(256 * c::double)) as x
+         list_transform(embedding, lambda c: floor(256 * c::double)) as x
   from embeddings
   where label is not null and embedding is not null
-    and len(list_filter(embedding, c -> c is null or not isfinite(c))) = 0),
+    and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
 s as (
   select a.vec_id as anchor_id, r.vec_id, r.label = a.label as same, list_dot_product(a.x, r.x)::bigint as score
   from r a join r on r.vec_id <> a.vec_id where a.vec_id % 100 = 0),
@@ -119,6 +119,6 @@ p as (
 select p.anchor_id, p.positive_id, row_number() over w as rank, s.vec_id as negative_id, p.positive_score, s.score as negative_score
 from p join s on s.anchor_id = p.anchor_id and not s.same
 where 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score
-qualify row_number() over w <= 10
-window w as (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id)""",
+window w as (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id)
+qualify row_number() over w <= 10""",
 }
