@@ -74,17 +74,17 @@ def snk8(t):
     return got.groupBy("file").agg(n_rows().alias("blocks"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", F.col("lines")[0].alias("l")))), lambda x: x["l"]), ",").alias("firsts"))
 
 
-@query("SNK9_store_files", "select p_partkey::varchar as key, p_brand as symbol, case when p_partkey % 3 = 0 then 'fixed ' || p_partkey end as correction, 'About ' || p_name as body from part")
+@query("SNK9_store_files", "select s_suppkey::varchar as key, 'N' || s_nationkey as symbol, case when s_suppkey % 3 = 0 then 'fixed ' || s_suppkey end as correction, 'About ' || s_name as body from supplier")
 def snk9(t):
     """Notes with a head of fields, a file each; a correction by hand outlives a new write."""
-    k = F.col("p_partkey")
-    first = t.part.where("p_partkey % 3 = 0").select(k.cast("string").alias("key"), F.lit("old").alias("symbol"), F.lit("old").alias("body"), F.concat(F.lit("fixed "), k).alias("correction"))
+    k = F.col("s_suppkey")
+    first = t.supplier.where("s_suppkey % 3 = 0").select(k.cast("string").alias("key"), F.lit("old").alias("symbol"), F.lit("old").alias("body"), F.concat(F.lit("fixed "), k).alias("correction"))
     at = S.shared(t.spark, "sink")
     K.write_whole(K.notes(first, "key", ["symbol"], ["correction"], "body"), f"{at}/1")
     held = B.front_matter(B.whole(t.spark, f"{at}/1"))
     field = lambda name: F.try_element_at(F.col("fields"), F.lit(name))
     store = held.select(B.name_in(F.col("file")).alias("key"), field("symbol").alias("symbol"), "body", field("correction").alias("correction"))
-    new = t.part.select(k.cast("string").alias("key"), F.col("p_brand").alias("symbol"), F.concat(F.lit("About "), "p_name").alias("body"))
+    new = t.supplier.select(k.cast("string").alias("key"), F.concat(F.lit("N"), "s_nationkey").alias("symbol"), F.concat(F.lit("About "), "s_name").alias("body"))
     K.write_whole(K.notes(K.upserted(store, new, "key", ["symbol", "body"], ["correction"]), "key", ["symbol"], ["correction"], "body"), f"{at}/2")
     back = B.front_matter(B.whole(t.spark, f"{at}/2"))
     return back.select(B.name_in(F.col("file")).alias("key"), field("symbol").alias("symbol"), field("correction").alias("correction"), "body")

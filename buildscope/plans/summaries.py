@@ -133,8 +133,8 @@ def st9(t):
     return S.drained(S.monitored(stream, "user_id", "event_id", "value", "threads"))
 
 
-@query("ST10_rewrites", "with e as (select user_id % 50 as key, event_id, case when event_id % 6 > 0 then (value::bigint % 3)::varchar end as d from events), l as (select *, lag(d) over (partition by key order by event_id) as b from e) select key, event_id, case when d is null then 'prune' else 'rewrite' end as action from l where d is distinct from b")
+@query("ST10_rewrites", "with e as (select user_id % 50 as key, event_id, case when event_id % 6 > 0 then (floor(value)::bigint % 3)::varchar end as d from events), l as (select *, lag(d) over (partition by key order by event_id) as b from e) select key, event_id, case when d is null then 'prune' else 'rewrite' end as action from l where d is distinct from b")
 def st10(t):
     k = F.col("event_id")
-    stream = S.opened(t.spark, f"{t.folder}/events.parquet").select((F.col("user_id") % 50).alias("key"), "event_id", F.when(k % 6 > 0, (F.floor(F.col("value") + 0.5).cast("long") % 3).cast("string")).alias("digest"))
+    stream = S.opened(t.spark, f"{t.folder}/events.parquet").select((F.col("user_id") % 50).alias("key"), "event_id", F.when(k % 6 > 0, (F.floor("value").cast("long") % 3).cast("string")).alias("digest"))
     return S.drained(S.rewrites(stream, "key", "event_id", "digest"))

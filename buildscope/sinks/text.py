@@ -97,7 +97,7 @@ def write_files(rows: DataFrame, path: str, eol: str = "\n") -> None:
 
 def write_whole(rows: DataFrame, path: str) -> None:
     """Texts (file, text) under path, each in a file of its own, ended by a line feed, in a folder file=name."""
-    rows.select(F.coalesce("file", F.lit("")).alias("file"), "text").write.partitionBy("file").option("maxRecordsPerFile", 1).text(path)
+    rows.select(F.coalesce("file", F.lit("")).alias("file"), "text").repartition("file").write.partitionBy("file").option("maxRecordsPerFile", 1).text(path)
 
 
 def retained(files: DataFrame, size: str, newest: str, most: int, keep: int) -> DataFrame:
