@@ -1,4 +1,4 @@
-"""Session defaults: UTC, ANSI, adaptive plans."""
+"""Session defaults: UTC, adaptive plans, skewed joins split."""
 
 from __future__ import annotations
 
