@@ -22,6 +22,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -29,7 +30,7 @@ from . import common as C
 
 LENGTH, END = 2048, 1
 #: Bytes of words and ids that a worker keeps, and of words without the punctuation at their end; beyond that it begins anew.
-WORDS, STEMS = 32 << 20, 64 << 20
+WORDS, STEMS = 24 << 20, 64 << 20
 #: Words that are given to the tokenizer at a time, and runs of letters that it is given as one text.
 ENCODED = 1 << 13
 
@@ -73,7 +74,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words, self.stems, self.size, self.stems_size = {}, {b"": b""}, 0, 0
-        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         normal, pre = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.folds = normal is not None and pre is not None and normal.normalize_str("AbZ") == "abz" and all(len(pre.pre_tokenize_str(x)) == 2 for x in ("ab,", "ab'", "ab..", "ab$-", "1,", "\u00b2."))
         vocabulary = self.tokenizer.get_vocab() if self.folds else {}
@@ -102,34 +103,60 @@ class Encoder:
             out |= {w: np.array(g.ids, "<u4").tobytes() for w, g in zip(part, got, strict=True)}
         return out
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        if any(a in t for a in self.added for t in texts):  # a token that is text of its own is not cut or changed
-            return [np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() if any(a in t for a in self.added) else self([t])[0] for t in texts]
-        split = [(t.lower() if self.folds else t).split() for t in texts]
-        words = set().union(*split)
+    def table(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different words."""
         if self.size > WORDS:  # the words of later texts come from their parts again
             self.words, self.size = {}, 0
-        missing = list(words.difference(self.words))
+        missing = [w for w in words if w not in self.words]
         if not self.folds:
             new = self.encoded(missing)
         else:
             two = [parts(w) for w in missing]
-            unknown = {a for a, _ in two}.union(b for _, b in two).difference(self.stems)
             if self.stems_size > STEMS:
                 self.stems, self.stems_size = {b"": b""}, 0
-                unknown = {a for a, _ in two}.union(b for _, b in two).difference(self.stems)
-            fresh = self.encoded(list(unknown))
+            fresh = self.encoded(list({p for pair in two for p in pair}.difference(self.stems)))
             self.stems |= fresh
             self.stems_size += taken(fresh)
             stems = self.stems
             new = {w: stems[a] + stems[b] if b else stems[a] for w, (a, b) in zip(missing, two, strict=True)}
         self.words |= new
         self.size += taken(new)
-        return [b"".join(map(self.words.__getitem__, own)) for own in split]
-
+        return list(map(self.words.__getitem__, words))
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a column as little-endian 32-bit integers; a null text has none.
+
+        Arrow splits the texts and numbers their words, so only different words are handled one by one.
+        """
+        texts = pc.fill_null(texts, "")
+        whole = np.zeros(len(texts), bool)  # a token that is text of its own is not cut or changed
+        for a in self.added:
+            whole |= np.asarray(pc.match_substring(texts, a))
+        out = self.joined(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
-def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
+    def joined(self, texts: pa.Array) -> list[bytes]:
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.folds else texts)
+        coded = split.flatten().cast(pa.binary()).dictionary_encode()
+        ids = self.table(coded.dictionary.to_pylist())
+        if not ids:
+            return [b""] * len(texts)
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.concatenate(([0], np.cumsum(size[:-1], dtype=np.int64))).astype(np.int32)
+        at = np.asarray(coded.indices)
+        n = size[at]
+        ends = np.cumsum(n, dtype=np.int64)
+        place = np.repeat(starts[at] - (ends - n).astype(np.int32), n) if len(ends) and ends[-1] < 1 << 31 else np.repeat(starts[at] - (ends - n), n)
+        place += np.arange(len(place), dtype=place.dtype)
+        raw = flat[place].tobytes()
+        offsets = np.asarray(split.offsets, np.int64) - split.offsets[0].as_py()
+        edge = (4 * np.concatenate(([0], ends))[offsets]).tolist()
+        return [raw[a:b] for a, b in zip(edge, edge[1:], strict=False)]
+
+
+def token_bytes(texts: pa.Array, path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers, by this worker's encoder."""
     return C.held(("tokenizer", path), lambda: Encoder(path))(texts)
 
@@ -140,7 +167,7 @@ def cuts(n: int, length: int) -> list[int]:
     return [length] * (n // length) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, step: int = 2000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, step: int = 1000) -> DataFrame:
     """A row for each piece; ids holds its token ids as little-endian 32-bit integers."""
     if length & (length - 1):
         raise ValueError("length must be a power of two")
@@ -151,10 +178,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
         for whole in batches:
             for k in range(0, whole.num_rows, step):
                 batch = whole.slice(k, step)
-                data, starts, ends = C.strings(batch.column("text"))
                 docs_ = batch.column("doc_id").to_pylist()
                 rows = []
-                for doc, raw in zip(docs_, token_bytes([bytes(data[a:b]) for a, b in zip(starts, ends, strict=True)], tokenizer), strict=True):
+                for doc, raw in zip(docs_, token_bytes(batch.column("text"), tokenizer), strict=True):
                     raw += last
                     at, n = 0, len(raw) // 4
                     for size in cuts(n, length):
