@@ -168,17 +168,23 @@ def call_sequence(nodes: DataFrame, virtual: DataFrame | None = None) -> DataFra
     type and the member; a construction's the type's constructor. virtual (name) lists methods known to be so.
     """
     word = named(GUARDS, F.col("kind"))
-    above = followed(nodes.select("file", "id", F.col("parent").alias("to"), F.when(word.isNotNull(), F.array(word)).otherwise(F.array().cast("array<string>")).alias("guards")), ["file"], "id", "to", {"guards": lambda a, b: F.concat(b, a)})
+    # what a call or a member needs of its children, in one pass over the nodes; rows are matched by merges, as files are many
+    first = lambda name, *kinds: F.min(F.when(F.col("kind").isin(*kinds), child)).alias(name)
+    child = F.struct("pos", F.col("id").alias("child"), "kind", "name")
+    inner = nodes.where("parent is not null").groupBy("file", F.col("parent").alias("id")).agg(
+        first("ref", "DeclRefExpr"), first("direct", "DeclRefExpr", "ImplicitCastExpr"), first("m", "MemberExpr"), F.min(F.struct("pos", F.col("id").alias("child"), "kind", "name", "type")).alias("r"),
+    ).select("file", "id", F.col("ref.name").alias("ref"), "direct", F.col("m.child").alias("_member"), F.col("m.name").alias("member"), F.col("r.type").alias("first_type"), F.lit(True).alias("_inner"))
+    is_call = F.col("kind").isin("CallExpr", "CXXOperatorCallExpr", "CXXMemberCallExpr", "CXXConstructExpr")
+    own = nodes.select("file", "id", "parent", "kind", *(F.when(is_call, F.col(c)).alias(c) for c in ("pos", "type", "line")))
+    every = cut(own.join(inner.hint("merge"), ["file", "id"], "left").where(F.col("_inner") | is_call))
+    # only a node with children is above another
+    chain = every.where("_inner").select("file", "id", F.col("parent").alias("to"), F.when(word.isNotNull(), F.array(word)).otherwise(F.array().cast("array<string>")).alias("guards"))
+    above = followed(chain, ["file"], "id", "to", {"guards": lambda a, b: F.concat(b, a)})
     guards = above.select("file", F.col("id").alias("parent"), "guards")
-    child = nodes.select("file", F.col("parent").alias("id"), F.struct("pos", F.col("id").alias("child"), F.col("kind").alias("kind"), "name", "type").alias("c"))
-    first = lambda kinds, name: child.where(F.col("c.kind").isin(*kinds)).groupBy("file", "id").agg(F.min("c").alias(name))
-    refs = first(["DeclRefExpr"], "ref")
-    direct = first(["DeclRefExpr", "ImplicitCastExpr"], "direct")
-    direct = direct.select("file", "id", "direct", F.col("direct.child").alias("_cast")).join(refs.select("file", F.col("id").alias("_cast"), F.col("ref.name").alias("inside")), ["file", "_cast"], "left")
-    direct = direct.select("file", "id", F.when(F.col("direct.kind") == "DeclRefExpr", F.col("direct.name")).otherwise(F.col("inside")).alias("callee"))
-    receivers = child.groupBy("file", "id").agg(F.min("c").alias("r")).select("file", F.col("id").alias("_member"), F.col("r.type").alias("receiver"))
-    members = first(["MemberExpr"], "m").select("file", "id", F.col("m.child").alias("_member"), F.col("m.name").alias("member")).join(receivers, ["file", "_member"], "left").drop("_member")
-    calls = nodes.where(F.col("kind").isin("CallExpr", "CXXOperatorCallExpr", "CXXMemberCallExpr", "CXXConstructExpr")).join(direct, ["file", "id"], "left").join(members, ["file", "id"], "left")
+    below = F.when(F.col("kind") == "CXXMemberCallExpr", F.col("_member")).when(F.col("direct.kind") == "ImplicitCastExpr", F.col("direct.child"))
+    inside = every.where("_inner and kind in ('MemberExpr', 'ImplicitCastExpr')").select("file", F.col("id").alias("_below"), F.col("ref").alias("inside"), F.col("first_type").alias("receiver"))
+    calls = every.where(is_call).withColumn("_below", below).join(inside.hint("merge"), ["file", "_below"], "left")
+    calls = calls.withColumn("callee", F.when(F.col("direct.kind") == "DeclRefExpr", F.col("direct.name")).otherwise(F.col("inside")))
     kind, own_type = F.col("kind"), F.nullif(bare_type(F.coalesce("type", F.lit(""))), F.lit(""))
     receiver = F.coalesce(bare_type(F.coalesce("receiver", F.lit(""))), F.lit(""))
     name = (
@@ -186,13 +192,31 @@ def call_sequence(nodes: DataFrame, virtual: DataFrame | None = None) -> DataFra
         .when(kind == "CXXConstructExpr", F.concat(own_type, F.lit("::"), F.element_at(F.split(own_type, "::"), -1)))
         .otherwise(F.col("callee"))
     )
-    steps = calls.withColumn("step_name", name).where("step_name is not null").join(guards, ["file", "parent"], "left")
+    steps = calls.withColumn("step_name", name).where("step_name is not null").join(guards.hint("merge"), ["file", "parent"], "left")
     steps = steps.select("file", "pos", F.col("step_name").alias("name"), "line", F.coalesce("guards", F.array().cast("array<string>")).alias("guards"), (F.col("kind") == "CXXMemberCallExpr").alias("_member"))
     known = steps.withColumn("virtual", F.lit(False)) if virtual is None else steps.join(virtual.select("name").distinct().withColumn("_v", F.lit(True)), "name", "left").withColumn("virtual", F.col("_member") & F.coalesce("_v", F.lit(False)))
     step = (F.row_number().over(Window.partitionBy("file").orderBy("line", "pos")) - 1).cast("long")
     return known.select("file", "pos", step.alias("step"), "name", "line", "guards", "virtual")
 
 
+def scoped(nodes: DataFrame, some: DataFrame) -> DataFrame:
+    """some (file, id, parent, ...) of the nodes with `scope`, the id of the next scope around each; null if there is none.
+
+    Most have it as their parent. Only if any has not, the nodes between scopes are followed, those that have children.
+    """
+    is_scope = F.col("kind").isin(*SCOPES)
+    scopes = nodes.where(is_scope).select("file", F.col("id").alias("parent"), F.col("id").alias("scope"))
+    met = cut(some.join(scopes.hint("merge"), ["file", "parent"], "left"))
+    away = F.col("scope").isNull() & F.col("parent").isNotNull()
+    if met.where(away).isEmpty():
+        return met
+    inner = nodes.where("parent is not null").select("file", F.col("parent").alias("id")).distinct()
+    between = nodes.where(~is_scope).select("file", "id", "parent").join(inner.hint("merge"), ["file", "id"], "left_semi")
+    chain = between.join(scopes.hint("merge"), ["file", "parent"], "left").select("file", "id", F.when(F.col("scope").isNull(), F.col("parent")).alias("to"), "scope")
+    found = followed(chain, ["file"], "id", "to", {"scope": lambda a, b: F.coalesce(a, b)}).select("file", F.col("id").alias("parent"), "scope")
+    return met.where(~away).unionByName(met.where(away).drop("scope").join(found.hint("merge"), ["file", "parent"], "left"))
+
+
 def lifetimes(nodes: DataFrame, types: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scopes, objects, dangling) of syntax nodes.
 
@@ -203,38 +227,50 @@ def lifetimes(nodes: DataFrame, types: DataFrame | None = None) -> tuple[DataFra
     outside of a scope, and of types that are no record, are not tracked. types (qualified, name, has_destructor) tells
     which types have a destructor; others, and all without it, are taken to have one.
     """
-    is_scope = F.col("kind").isin(*SCOPES)
-    # the next scope around a node: its parent, if that is one, else that of its parent
-    up = nodes.select("file", F.col("id").alias("parent"), F.when(is_scope, F.col("id")).alias("is"))
-    start = nodes.select("file", "id", "parent").join(up, ["file", "parent"], "left")
-    chain = start.select("file", "id", F.when(F.col("is").isNull(), F.col("parent")).alias("to"), F.col("is").alias("scope"))
-    found = followed(chain, ["file"], "id", "to", {"scope": lambda a, b: F.coalesce(a, b)}).select("file", "id", "scope")
-    every = cut(nodes.join(found, ["file", "id"]))
-    scopes = every.where(is_scope).select("file", "id", F.col("scope").alias("parent"), named(SCOPES, F.col("kind")).alias("kind"), "begin", "end")
-    ends = scopes.select("file", F.col("id").alias("scope"), F.col("end").alias("scope_end"))
-    own = every.join(ends, ["file", "scope"], "left")
+    return scopes(nodes), objects(nodes, types), dangling(nodes)
+
+
+def scopes(nodes: DataFrame) -> DataFrame:
+    """The scopes of lifetimes()."""
+    own = nodes.where(F.col("kind").isin(*SCOPES)).select("file", "id", "parent", "kind", "begin", "end")
+    return scoped(nodes, own).select("file", "id", F.col("scope").alias("parent"), named(SCOPES, F.col("kind")).alias("kind"), "begin", "end")
+
+
+def _variable() -> Column:
+    return (F.col("kind") == "VarDecl") & F.col("name").isNotNull()
+
+
+def objects(nodes: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """The objects of lifetimes()."""
     type_ = F.coalesce("type", F.lit(""))
     bare = bare_type(type_)
     is_record = (bare != "") & ~bare.rlike(BUILTIN) & ~type_.contains("*")
-    variable = (F.col("kind") == "VarDecl") & F.col("name").isNotNull() & F.col("scope").isNotNull()
+    variable = _variable()
     static = F.col("storage") == "static"
     shown = F.when(variable, F.when(F.coalesce(static, F.lit(False)), "static").otherwise("automatic")).when(F.col("kind") == "CXXNewExpr", "dynamic").when(F.col("kind") == "MaterializeTemporaryExpr", "temporary")
-    tracked = own.withColumn("kept", shown).where(F.col("kept").isNotNull() & (~variable | is_record))
+    tracked = nodes.withColumn("kept", shown).where(F.col("kept").isNotNull() & (~variable | is_record)).select("file", "id", "parent", "pos", "name", "type", "begin", "kept")
+    ends = nodes.where(F.col("kind").isin(*SCOPES)).select("file", F.col("id").alias("scope"), F.col("end").alias("scope_end"))
+    tracked = scoped(nodes, tracked).where(F.col("scope").isNotNull() | ~F.col("kept").isin("static", "automatic")).join(ends.hint("merge"), ["file", "scope"], "left")
     by = Window.partitionBy("file", "scope", "kept")
     n_before = F.row_number().over(Window.partitionBy("file", "scope", F.col("kept").isin("static", "automatic")).orderBy("pos")) - 1
     rank = F.when(F.col("kept") == "automatic", F.count(F.lit(1)).over(by) - F.row_number().over(by.orderBy("begin", "pos"))).when(F.col("kept") == "static", n_before).otherwise(-1)
     destroyed = F.when(F.col("kept") == "automatic", F.col("scope_end")).when(F.col("kept") == "temporary", F.col("begin")).otherwise(-1)
     name = F.when(F.col("kept") == "dynamic", "(heap)").when(F.col("kept") == "temporary", "(temporary)").otherwise(F.col("name"))
-    objects = tracked.select("file", "id", name.alias("name"), bare.alias("type"), "scope", F.col("begin").alias("constructed"), destroyed.alias("destroyed"), rank.cast("long").alias("rank"), F.col("kept").alias("storage"))
-    names = objects.columns
+    out = tracked.select("file", "id", name.alias("name"), bare.alias("type"), "scope", F.col("begin").alias("constructed"), destroyed.alias("destroyed"), rank.cast("long").alias("rank"), F.col("kept").alias("storage"))
+    names = out.columns
     if types is None:
-        objects = objects.withColumn("has_destructor", F.lit(True))
+        out = out.withColumn("has_destructor", F.lit(True))
     else:
         whole = types.groupBy(F.col("qualified").alias("type")).agg(F.min_by("has_destructor", "ord").alias("_a"), F.min("ord").alias("_oa"))
         short = types.groupBy(F.col("name").alias("_short")).agg(F.min_by("has_destructor", "ord").alias("_b"), F.min("ord").alias("_ob"))
-        objects = objects.withColumn("_short", F.element_at(F.split("type", "::"), -1)).join(whole, "type", "left").join(short, "_short", "left")
+        out = out.withColumn("_short", F.element_at(F.split("type", "::"), -1)).join(whole, "type", "left").join(short, "_short", "left")
         first = F.when(F.col("_ob").isNull() | (F.col("_oa") <= F.col("_ob")), F.col("_a")).otherwise(F.col("_b"))
-        objects = objects.select(*names, F.coalesce(first, F.lit(True)).alias("has_destructor"))
+        out = out.select(*names, F.coalesce(first, F.lit(True)).alias("has_destructor"))
+    return out
+
+
+def dangling(nodes: DataFrame) -> DataFrame:
+    """The dangling references of lifetimes()."""
     calls = nodes.where(F.col("kind").isin("CallExpr", "CXXMemberCallExpr")).select("file", F.col("parent").alias("id")).distinct()
-    dangling = every.where(variable & type_.contains("&") & (F.col("init") == "c")).join(calls, ["file", "id"], "left_semi").select("file", "id", "name", F.col("begin").alias("line"))
-    return scopes, objects, dangling
+    bound = nodes.where(_variable() & F.col("type").contains("&") & (F.col("init") == "c")).select("file", "id", "parent", "name", F.col("begin").alias("line"))
+    return scoped(nodes, bound.join(calls.hint("merge"), ["file", "id"], "left_semi")).where("scope is not null").select("file", "id", "name", "line")
