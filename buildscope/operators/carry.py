@@ -37,7 +37,7 @@ def last_values(rows: DataFrame, file: str, place: str, columns: Sequence[str],
     ends = dealt.groupBy(file, "_part").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(place))).alias(f"_end_{c}") for c in columns))
     ranges = Window.partitionBy(file).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = ends.select(file, "_part", *(F.last(f"_end_{c}", ignorenulls=True).over(ranges).alias(f"_before_{c}") for c in columns))
-    joined = inside.join(before, [file, "_part"])
+    joined = inside.join(before.hint("merge"), [file, "_part"])  # there may be as many files as rows
     return joined.select(*(F.coalesce(f"_in_{c}", f"_before_{c}").alias(c) if c in columns else F.col(c) for c in rows.columns))
 
 
@@ -81,5 +81,5 @@ def prefixes(rows: DataFrame, file: str, place: str, summary: Callable[[dict], b
             both = [compose(a, b) for a, b in zip(batch.column("_range").to_pylist(), batch.column("inside").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(both, pa.binary())], names=[*names, "before"])
 
-    every = inside.join(before, [file, "_part"]).select(*rows.columns, "inside", "_range")
+    every = inside.join(before.hint("merge"), [file, "_part"]).select(*rows.columns, "inside", "_range")
     return every.mapInArrow(joined, StructType([*rows.schema, StructField("before", BinaryType())]))

@@ -163,10 +163,10 @@ def comments_of(lines: DataFrame, declaration: str, most: int = 5) -> DataFrame:
     near = F.col("_text").isNotNull() & (F.coalesce("_other", F.lit(-1)) < F.col("_text")) & (F.col("line_no") - F.col("_text") <= most)
     # the comment's first line: the last that opened one up to its last line
     begin = state.select("file", F.col("line_no").alias("_text"), F.coalesce(F.when(F.col("line").contains("/*"), F.col("line_no")), "_start").alias("_from"))
-    told = found.withColumn("_text", F.when(near, F.col("_text"))).join(begin, ["file", "_text"], "left")
+    told = found.withColumn("_text", F.when(near, F.col("_text"))).join(begin.hint("merge"), ["file", "_text"], "left")
     first = told.groupBy("file", "name").agg(F.min_by(F.struct("line_no", "_from", "_text"), "line_no").alias("d")).select("file", "name", "d.*")
     spoken = first.where("_from is not null").withColumn("n", F.explode(F.sequence("_from", "_text")))
-    text = spoken.join(own.select("file", F.col("line_no").alias("n"), F.col("line").alias("_line")), ["file", "n"])
+    text = spoken.join(own.select("file", F.col("line_no").alias("n"), F.col("line").alias("_line")).hint("merge"), ["file", "n"])
     words = text.groupBy("file", "name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "_line"))), lambda x: x["_line"]), "\n").alias("comment"))
     clean = F.trim(F.regexp_replace(F.regexp_replace("comment", r"(?s)^.*/\*+|\*+/\s*$", ""), r"(?m)^\s*\*+ ?|\s+$", ""))
-    return first.select("file", "line_no", "name").join(words, ["file", "name"], "left").withColumn("comment", F.coalesce(clean, F.lit("")))
+    return first.select("file", "line_no", "name").join(words.hint("merge"), ["file", "name"], "left").withColumn("comment", F.coalesce(clean, F.lit("")))
