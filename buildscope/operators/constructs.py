@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import DYNAMIC_SECTIONS, EXCEPTION_SECTIONS, abi_category, any_prefix, bare_type
-from .graph import hops
+from .graph import cut, hops
 
 # How much news each construct of a type, and of a syntax node, is to a reader of C.
 OF_TYPES = {
@@ -32,7 +32,7 @@ def safe_destructors(types: DataFrame, bases: DataFrame, methods: DataFrame) ->
     told = bases.join(known, "base", "left")
     unknown = told.where("_known is null").select(F.col("type_id").alias("node")).distinct()
     having = methods.where("is_destructor and is_virtual").select(F.col("type_id").alias("node")).distinct()
-    down = told.where("_known").select(F.col("base").alias("src"), F.col("type_id").alias("dst")).distinct()
+    down = cut(told.where("_known").select(F.col("base").alias("src"), F.col("type_id").alias("dst")).distinct())  # read in every round
     reached = hops(down, having.unionByName(unknown).distinct()).select(F.col("node").alias("src"))
     return down.join(reached, "src", "left_semi").select(F.col("dst").alias("type")).unionByName(unknown.select(F.col("node").alias("type"))).distinct()
 
@@ -44,6 +44,8 @@ def type_constructs(types: DataFrame, bases: DataFrame, members: DataFrame, meth
     polymorphic if it has a virtual method or a direct base that is abstract; its destructor, declared or not, is held
     against it if it is not virtual and none is inherited that is, or may be.
     """
+    # each is read several times, and parsing a diagram costs more than to store it
+    types, bases, methods = cut(types), cut(bases.select("type_id", "base", "is_virtual")), cut(methods.select("type_id", "ord", "display_name", "is_virtual", "is_pure", "is_destructor", "is_deleted", "is_operator", "is_copy_assignment", "is_move_assignment", "is_coroutine", "is_constexpr", "is_consteval"))
     count = lambda c: F.count_if(c).alias
     names = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("ord", F.col("display_name").alias("n"))))), lambda x: x["n"])
     operator = F.col("is_operator") & ~F.col("is_copy_assignment") & ~F.col("is_move_assignment")

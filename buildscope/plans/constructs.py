@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import constructs as C
 from ..sources import debug, diagrams
-from .registry import pick, query, sql_pick
+from .registry import pick, query, spread, sql_pick
 from .texts import lined
 
 
@@ -29,7 +29,7 @@ def diagram(t):
     flags = F.concat(some(k % 6 == 0, text(',"is_abstract":true')), some(k % 13 == 0, text(',"is_template":true')), some(k % 17 == 3, text(',"is_union":true')), some(k % 17 == 4, text(',"is_struct":true')))
     element = F.concat(text('{"id":"c'), k, text('","name":"C'), k, text('","namespace":"'), some(k % 4 > 0, text("n"), k % 4), text('","type":"class"'), flags, text(',"bases":['), bases, text('],"members":['), member, text('],"methods":['), methods, text('],"source_location":{"file":"f.h","line":'), k + 1, text("}}"))
     relation = F.concat(text('{"source":"c'), k, text('","destination":"c'), F.floor(k / 2).cast("long"), text('","type":"extension"'), some(k % 8 == 1, text(',"access":"private"')), text("}"))
-    return t.part.select(F.concat(text("d"), k, text(".json")).alias("file"), F.concat(text('{"elements":['), element, text('],"relationships":['), relation, text("]}")).alias("text"))
+    return spread(t.part.select(k)).select(F.concat(text("d"), k, text(".json")).alias("file"), F.concat(text('{"elements":['), element, text('],"relationships":['), relation, text("]}")).alias("text"))
 
 
 TYPES = """with recursive p as (select p_partkey k from part),

@@ -31,6 +31,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all cores: a small file is read by one task, however long its rows then take."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def money(c) -> Column:
     """Exact sums of doubles, whatever the order of rows."""
     return F.col(c).cast("decimal(18,4)") if isinstance(c, str) else c.cast("decimal(18,4)")
