@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import carry
+from .graph import cut
 
 CODE, SLASH, LINE, BLOCK, STAR, STRING, STRING_ESCAPE, CHAR, CHAR_ESCAPE = range(9)
 _CLASSES = "/*\"'\\\n"
@@ -48,11 +49,22 @@ NOTHING = bytes(range(9))
 
 def compose(a: bytes, b: bytes) -> bytes:
     """What a and then b do."""
-    return bytes(b[s] for s in a)
+    return a.translate(b.ljust(256, b"\0"))
+
+
+_STEPS = {c: TABLE[k].tobytes().ljust(256, b"\0") for k, c in enumerate([*_CLASSES, "x"])}
+_PLAIN = re.compile(f"[^{re.escape(_CLASSES)}]+")
+#: Characters up to which a text is read one by one.
+SHORT = 1 << 10
 
 
 def does(text: str | None) -> bytes:
     """The map of a piece of text: the state after it for each state before it."""
+    if len(text or "") <= SHORT:
+        out = NOTHING
+        for c in _PLAIN.sub("x", text or ""):
+            out = out.translate(_STEPS[c])
+        return out
     codes = np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
     kinds = np.full(len(codes), len(_CLASSES), np.uint8)
     for k, c in enumerate(_CLASSES):
@@ -127,10 +139,10 @@ def blanked(pieces: DataFrame, size: int = carry.ROWS) -> DataFrame:
     def summaries(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("piece"), pa.array([does(t) for t in texts], pa.binary()), pa.array([t[:1] or None for t in texts], pa.string())], names=["file", "piece", "map", "first"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "piece", "text")), pa.array([does(t) for t in texts], pa.binary()), pa.array([t[:1] or None for t in texts], pa.string())], names=["file", "piece", "text", "map", "first"])
 
-    known = own.mapInArrow(summaries, "file string, piece long, map binary, first string")
-    before = carry.prefixes(known, "file", "piece", lambda row: row["map"], compose, NOTHING, size)
+    known = cut(own.mapInArrow(summaries, "file string, piece long, text string, map binary, first string"))  # read several times
+    before = carry.prefixes(known.select("file", "piece", "map"), "file", "piece", lambda row: row["map"], compose, NOTHING, size)
     # from the end of the file on, the last first character is that of the next piece that has one
     after = carry.last_values(known.select("file", (-F.col("piece")).alias("_back"), F.col("first").alias("after")), "file", "_back", ["after"], size, own=False)
 
@@ -140,5 +152,5 @@ def blanked(pieces: DataFrame, size: int = carry.ROWS) -> DataFrame:
             out = [blank(text, state[CODE], next_ or "") for text, state, next_ in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("piece"), pa.array(out, pa.string())], names=["file", "piece", "text"])
 
-    every = own.join(before.select("file", "piece", "before"), ["file", "piece"]).join(after.select("file", (-F.col("_back")).alias("piece"), "after"), ["file", "piece"])
+    every = known.select("file", "piece", "text").join(before.select("file", "piece", "before").hint("merge"), ["file", "piece"]).join(after.select("file", (-F.col("_back")).alias("piece"), "after").hint("merge"), ["file", "piece"])
     return every.mapInArrow(run, "file string, piece long, text string")
