@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import code as R
 from ..operators import code as C
-from .registry import pick, query, sql_pick
+from .registry import pick, query, spread, sql_pick
 
 
 def key():
@@ -55,7 +55,7 @@ def m38(t):
     flags = [F.lit(x) for x in ("gcc", "-Iold", "-Wall", "-DX", "-isystem", "include", "-o", "-DY", "-c")]
     arguments = F.array(*flags, given, F.lit("-O2"))
     out = R.compile_arguments(arguments, F.lit("/w/lib/.."), name, F.array(F.lit("-Iinc"), F.lit("-isystem/sys")), F.array(F.lit("-DON=1")), "cc")
-    return t.part.select("p_partkey", F.array_join(out, " ").alias("command"))
+    return spread(t.part.select("p_partkey")).select("p_partkey", F.array_join(out, " ").alias("command"))
 
 
 @query("M39_include_paths", """with v as (select l_orderkey % 50 project, min((l_orderkey, l_linenumber, l_partkey, l_suppkey)) first, case l_linenumber % 5 when 0 then '/w/app/inc' || l_partkey % 9 when 1 then '/w/app' when 2 then '/opt/sdk/lib' || l_partkey % 4 when 3 then 'a&b' else '/w/app/app' end path from lineitem group by 1, 3)
