@@ -141,7 +141,7 @@ def calls(files: DataFrame, extern_prefixes: Sequence[str]) -> DataFrame:
     extern = F.lit(False)
     for p in extern_prefixes:
         extern = extern | F.startswith("callee", F.lit(p))
-    return every.where("callee is not null").join(known, ["file", "callee"], "left").withColumn("is_extern", extern).where("known or is_extern").select("file", "caller", "callee", "is_extern", "at")
+    return every.where("callee is not null").join(known.hint("merge"), ["file", "callee"], "left").withColumn("is_extern", extern).where("known or is_extern").select("file", "caller", "callee", "is_extern", "at")
 
 
 def comments_of(lines: DataFrame, declaration: str, most: int = 5) -> DataFrame:

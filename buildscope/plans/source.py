@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lexer
 from ..operators import source as S
-from .registry import pick, query, sql_pick
+from .registry import pick, query, spread, sql_pick
 
 # Pieces of text in which comments and literals are open, and what stays of each.
 PIECES = (
@@ -40,7 +40,7 @@ def program(t):
         F.lit("(int a) const { return run"), k, F.lit("(a) + other(1); }\n};\n}\nstatic void run"), k, F.lit("(void)\n{ /* } */ HAL_x(\"go(\"); run"), k,
         F.lit("(1); if (a) { get"), k, F.lit("(2); get"), k, F.lit("(3); } }\n"),
     )
-    return t.part.select(F.concat(F.lit("f"), k, F.lit(".cpp")).alias("file"), text.alias("text"))
+    return spread(t.part.select(k)).select(F.concat(F.lit("f"), k, F.lit(".cpp")).alias("file"), text.alias("text"))
 
 
 @query(
