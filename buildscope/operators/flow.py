@@ -199,22 +199,28 @@ def call_sequence(nodes: DataFrame, virtual: DataFrame | None = None) -> DataFra
     return known.select("file", "pos", step.alias("step"), "name", "line", "guards", "virtual")
 
 
-def scoped(nodes: DataFrame, some: DataFrame) -> DataFrame:
-    """some (file, id, parent, ...) of the nodes with `scope`, the id of the next scope around each; null if there is none.
+def scoped(nodes: DataFrame, some: DataFrame, through: str | None = None) -> DataFrame:
+    """some (file, id, parent, ...) of the nodes with `scope`, the id of the next scope around each, and `scope_end`, its last line; null if there is none.
 
-    Most have it as their parent. Only if any has not, the nodes between scopes are followed, those that have children.
+    Most have it as their parent, or as that of the statement around them, if `through` names the kind of such statements. Only if any
+    has not, the nodes between scopes are followed, those that have children.
     """
     is_scope = F.col("kind").isin(*SCOPES)
-    scopes = nodes.where(is_scope).select("file", F.col("id").alias("parent"), F.col("id").alias("scope"))
-    met = cut(some.join(scopes.hint("merge"), ["file", "parent"], "left"))
+    scopes = nodes.where(is_scope).select("file", F.col("id").alias("parent"), F.col("id").alias("scope"), F.col("end").alias("scope_end"))
+    near = scopes
+    if through is not None:
+        around = nodes.where((F.col("kind") == through) & ~is_scope).select("file", "parent", "id").join(scopes.hint("merge"), ["file", "parent"])
+        near = scopes.unionByName(around.select("file", F.col("id").alias("parent"), "scope", "scope_end"))
+    met = cut(some.join(near.hint("merge"), ["file", "parent"], "left"))
     away = F.col("scope").isNull() & F.col("parent").isNotNull()
     if met.where(away).isEmpty():
         return met
     inner = nodes.where("parent is not null").select("file", F.col("parent").alias("id")).distinct()
     between = nodes.where(~is_scope).select("file", "id", "parent").join(inner.hint("merge"), ["file", "id"], "left_semi")
-    chain = between.join(scopes.hint("merge"), ["file", "parent"], "left").select("file", "id", F.when(F.col("scope").isNull(), F.col("parent")).alias("to"), "scope")
-    found = followed(chain, ["file"], "id", "to", {"scope": lambda a, b: F.coalesce(a, b)}).select("file", F.col("id").alias("parent"), "scope")
-    return met.where(~away).unionByName(met.where(away).drop("scope").join(found.hint("merge"), ["file", "parent"], "left"))
+    chain = between.join(scopes.hint("merge"), ["file", "parent"], "left").select("file", "id", F.when(F.col("scope").isNull(), F.col("parent")).alias("to"), "scope", "scope_end")
+    nearest = lambda a, b: F.coalesce(a, b)
+    found = followed(chain, ["file"], "id", "to", {"scope": nearest, "scope_end": nearest}).select("file", F.col("id").alias("parent"), "scope", "scope_end")
+    return met.where(~away).unionByName(met.where(away).drop("scope", "scope_end").join(found.hint("merge"), ["file", "parent"], "left"))
 
 
 def lifetimes(nodes: DataFrame, types: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -249,23 +255,25 @@ def objects(nodes: DataFrame, types: DataFrame | None = None) -> DataFrame:
     static = F.col("storage") == "static"
     shown = F.when(variable, F.when(F.coalesce(static, F.lit(False)), "static").otherwise("automatic")).when(F.col("kind") == "CXXNewExpr", "dynamic").when(F.col("kind") == "MaterializeTemporaryExpr", "temporary")
     tracked = nodes.withColumn("kept", shown).where(F.col("kept").isNotNull() & (~variable | is_record)).select("file", "id", "parent", "pos", "name", "type", "begin", "kept")
-    ends = nodes.where(F.col("kind").isin(*SCOPES)).select("file", F.col("id").alias("scope"), F.col("end").alias("scope_end"))
-    tracked = scoped(nodes, tracked).where(F.col("scope").isNotNull() | ~F.col("kept").isin("static", "automatic")).join(ends.hint("merge"), ["file", "scope"], "left")
+    tracked = scoped(nodes, tracked, "DeclStmt").where(F.col("scope").isNotNull() | ~F.col("kept").isin("static", "automatic"))
     by = Window.partitionBy("file", "scope", "kept")
     n_before = F.row_number().over(Window.partitionBy("file", "scope", F.col("kept").isin("static", "automatic")).orderBy("pos")) - 1
     rank = F.when(F.col("kept") == "automatic", F.count(F.lit(1)).over(by) - F.row_number().over(by.orderBy("begin", "pos"))).when(F.col("kept") == "static", n_before).otherwise(-1)
     destroyed = F.when(F.col("kept") == "automatic", F.col("scope_end")).when(F.col("kept") == "temporary", F.col("begin")).otherwise(-1)
     name = F.when(F.col("kept") == "dynamic", "(heap)").when(F.col("kept") == "temporary", "(temporary)").otherwise(F.col("name"))
-    out = tracked.select("file", "id", name.alias("name"), bare.alias("type"), "scope", F.col("begin").alias("constructed"), destroyed.alias("destroyed"), rank.cast("long").alias("rank"), F.col("kept").alias("storage"))
+    dealt = tracked.repartition("file", "scope")  # for all windows
+    out = dealt.select("file", "id", name.alias("name"), bare.alias("type"), "scope", F.col("begin").alias("constructed"), destroyed.alias("destroyed"), rank.cast("long").alias("rank"), F.col("kept").alias("storage"))
     names = out.columns
     if types is None:
         out = out.withColumn("has_destructor", F.lit(True))
     else:
         whole = types.groupBy(F.col("qualified").alias("type")).agg(F.min_by("has_destructor", "ord").alias("_a"), F.min("ord").alias("_oa"))
         short = types.groupBy(F.col("name").alias("_short")).agg(F.min_by("has_destructor", "ord").alias("_b"), F.min("ord").alias("_ob"))
-        out = out.withColumn("_short", F.element_at(F.split("type", "::"), -1)).join(whole, "type", "left").join(short, "_short", "left")
+        # told once a type, not once an object: a few types may have nearly all objects
+        own = tracked.select(bare.alias("type")).distinct().withColumn("_short", F.element_at(F.split("type", "::"), -1)).join(whole, "type", "left").join(short, "_short", "left")
         first = F.when(F.col("_ob").isNull() | (F.col("_oa") <= F.col("_ob")), F.col("_a")).otherwise(F.col("_b"))
-        out = out.select(*names, F.coalesce(first, F.lit(True)).alias("has_destructor"))
+        told = cut(own.select("type", F.coalesce(first, F.lit(True)).alias("has_destructor")))
+        out = out.join(told, "type", "left").select(*names, "has_destructor")
     return out
 
 
@@ -273,4 +281,4 @@ def dangling(nodes: DataFrame) -> DataFrame:
     """The dangling references of lifetimes()."""
     calls = nodes.where(F.col("kind").isin("CallExpr", "CXXMemberCallExpr")).select("file", F.col("parent").alias("id")).distinct()
     bound = nodes.where(_variable() & F.col("type").contains("&") & (F.col("init") == "c")).select("file", "id", "parent", "name", F.col("begin").alias("line"))
-    return scoped(nodes, bound.join(calls.hint("merge"), ["file", "id"], "left_semi")).where("scope is not null").select("file", "id", "name", "line")
+    return scoped(nodes, bound.join(calls.hint("merge"), ["file", "id"], "left_semi"), "DeclStmt").where("scope is not null").select("file", "id", "name", "line")

@@ -36,6 +36,15 @@ def test_lifetimes_follow_only_what_is_between_scopes(nodes, monkeypatch):
     assert [(r.id, r.line) for r in dangling.collect()] == [(4, 4)]
 
 
+def test_declared_objects_are_not_followed_nor_dealt_by_type(spark, nodes, monkeypatch):
+    monkeypatch.setattr(W, "followed", None)
+    more = [("f", 6, 1, 6, "DeclStmt", None, None, 5, 5, 5, None, None), ("f", 7, 6, 7, "VarDecl", "x", "ns::Box", 5, 5, 5, None, None)]
+    types = spark.createDataFrame([("ns::Box", "Box", False, 0)], "qualified string, name string, has_destructor boolean, ord int")
+    objects = W.objects(nodes.unionByName(spark.createDataFrame(more, NODE)), types)
+    assert "hashpartitioning(type" not in plan(objects)
+    assert sorted((r.id, r.scope, r.destroyed, r.rank, r.has_destructor) for r in objects.collect()) == [(4, 1, 8, 1, True), (7, 1, 8, 0, False)]
+
+
 def test_comments_broadcast_no_lines(spark):
     lines = spark.createDataFrame([("a", 1, "/* one */"), ("a", 2, ".x :"), ("a", 3, ".y :")], "file string, line_no long, line string")
     got = S.comments_of(lines, r"^\s*(\.\w+)\s*:")
