@@ -58,3 +58,20 @@ def test_innermost(spark, seed):
     assert {r.k: r.name for r in got.collect()} == want
     none = spark.createDataFrame([], "f string, lo int, hi int, name int")
     assert {r.name for r in L.enclosing(spark.createDataFrame(points, "k int, f string, line int"), none, "k", "f", "line", "lo", "hi", "name").collect()} == {None}
+
+
+def test_innermost_over_many_cells(spark, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(L, "CELL", 2)
+    points = [(k, rng.choice(["a", "b", None]), rng.randint(-20, 120)) for k in range(300)]
+    ranges = [(rng.choice(["a", "b", None]), lo, lo + rng.choice([0, 1, 3, 9, 40, 90, -1]), n) for n in range(60) for lo in [rng.randint(-20, 110)]]
+    want = {k: min(((line - lo, n) for g, lo, hi, n in ranges if f is not None and g == f and lo <= line <= hi), default=(0, None))[1] for k, f, line in points}
+    asked, held = spark.createDataFrame(points, "k int, f string, line int"), spark.createDataFrame(ranges, "f string, lo int, hi int, name int")
+    assert {r.k: r.name for r in L.enclosing(asked, held, "k", "f", "line", "lo", "hi", "name").collect()} == want
+
+
+def test_lines_of_short_ranges_are_one_row_each(spark):
+    asked, held = spark.range(50).selectExpr("id as k", "'a' as f", "id as line"), spark.createDataFrame([("a", 3, 130, 1)], "f string, lo int, hi int, name int")
+    got = L.enclosing(asked, held, "k", "f", "line", "lo", "hi", "name")
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.k for r in got.collect() if r.name == 1} == set(range(3, 50))
