@@ -120,7 +120,10 @@ def node_constructs(nodes: DataFrame, virtual: DataFrame | None = None, destruct
         every = every.withColumn("certain", F.lit(False))
     else:
         known = destructors.select(F.explode(F.array_distinct(F.array("type", short(F.col("type"))))).alias("_type")).distinct().withColumn("_known", F.lit(True))
-        every = every.withColumn("_type", short(F.col("own"))).join(known, "_type", "left").withColumn("certain", F.coalesce("_known", F.lit(False)))
+        # told once a type that is constructed, not once a node: a few types may have nearly all nodes
+        made = nodes.where("kind = 'CXXConstructExpr'").select(own.alias("own")).distinct()
+        told = cut(made.withColumn("_type", short(F.col("own"))).join(known, "_type").select("own", F.lit(True).alias("_known")))
+        every = every.join(told, "own", "left").withColumn("certain", F.coalesce("_known", F.lit(False)))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     construct = (
         F.when(kind == "CXXConstructExpr", "object_construction")
