@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import COMPACT, cut
+from .graph import cut
 
 # Relations by which one type holds another.
 HOLDING = ("composition", "aggregation", "association")
@@ -28,27 +28,30 @@ class Model:
 
 
 def derived(relations: DataFrame) -> DataFrame:
-    """Edges (base, type) of the hierarchy."""
+    """Edges (base, type) of the hierarchy. They grow with the model and are merged in every round, never broadcast."""
     return relations.where("kind = 'inheritance'").select(F.col("dst").alias("base"), F.col("src").alias("type")).distinct()
 
 
 def subtrees(relations: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows (root, type, depth): all types below each root (column id), itself included, and the least number of steps.
 
-    Only pairs that the last round found are extended, so a type that is reached by several ways is
-    met once, and a hierarchy that runs in a circle ends.
+    Only pairs that the last round found are extended, and only a type with several bases can have been met before (or
+    the root itself, in a circle): of those alone pairs are compared with the ones found, and a hierarchy that runs in a circle ends.
     """
     edges = derived(relations)
-    front = cut(roots.select(F.col("id").alias("root")).distinct().select("root", F.col("root").alias("type"), F.lit(0).cast("long").alias("depth")))
+    several = edges.groupBy("type").agg((F.count(F.lit(1)) > 1).alias("several"))
+    edges = cut(edges.join(several, "type"))  # read in every round
+    front = cut(roots.select(F.col("id").alias("root")).distinct().select("root", F.col("root").alias("type"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("several")))
     parts, depth = [front], 0
     while not front.isEmpty():
         depth += 1
-        step = front.select("root", F.col("type").alias("base")).join(edges, "base").select("root", "type").distinct()
-        front = cut(step.join(reduce(DataFrame.unionByName, parts), ["root", "type"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        step = front.select("root", F.col("type").alias("base")).join(edges.hint("merge"), "base").where("type <> root").select("root", "type", "several")
+        again = step.where("several").distinct()
+        if depth > 1:
+            again = again.join(reduce(DataFrame.unionByName, parts).where("several").select("root", "type").hint("merge"), ["root", "type"], "left_anti")
+        front = cut(step.where("not several").unionByName(again).select("root", "type", F.lit(depth).cast("long").alias("depth"), "several"))
         parts.append(front)
-        if len(parts) > COMPACT:
-            parts = [cut(reduce(DataFrame.unionByName, parts))]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts).drop("several")
 
 
 def evidence(model: Model) -> DataFrame:
@@ -92,27 +95,36 @@ def resolve(model: Model, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     rta; several else: cha; none, or a type that the model has not: unresolved.
     """
     key = ["static_type", "method", "arity"]
-    asked = cut(requests.select(F.col("static_type"), F.col("method"), F.col("arity").cast("long").alias("arity")).distinct().withColumn("call", F.monotonically_increasing_id()))
+    asked = cut(requests.select(F.col("static_type"), F.col("method"), F.col("arity").cast("long").alias("arity")).distinct())
     bases = model.types.groupBy(F.col("qualified").alias("static_type")).agg(F.min_by("id", "ord").alias("root"))
-    placed = asked.join(bases, "static_type")
-    below = subtrees(model.relations, placed.select(F.col("root").alias("id")))
-    methods = model.methods.withColumnsRenamed({"type_id": "type", "name": "method"})
-    met = placed.join(below, "root").join(methods, ["type", "method"])
-    fits = F.col("arity").isNull() | (F.col("n_params") == 0) | (F.col("n_params") == F.col("arity"))
-    chosen = met.where(fits).groupBy("call", "root", "type").agg(F.min_by(F.struct("is_virtual", "is_pure"), "ord").alias("m"))
-    declared = chosen.where("type = root and not m.is_virtual").select("call", F.lit(True).alias("exact"))
-    chosen = chosen.join(declared, "call", "left").where("type = root or exact is null")
-    spoken = chosen.join(evidence(model).withColumnRenamed("id", "type"), "type").join(model.types.select(F.col("id").alias("type"), F.col("qualified").alias("owner")), "type")
-    spoken = spoken.where(F.col("exact") | (~F.col("m.is_pure") & (F.col("reason") != "abstract")))
-    strong = F.col("exact").isNotNull() | F.col("reason").isin("member", "held")
-    found = cut(spoken.select("call", "exact", F.col("owner").alias("type"), F.when(F.col("exact"), "not virtual").otherwise(F.col("reason")).alias("reason"), F.when(strong, "strong").otherwise("none").alias("strength")))
-    counts = found.groupBy("call").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("strength") == "strong").alias("strong"), F.max("exact").alias("exact"))
-    n = F.coalesce("n", F.lit(0).cast("long"))
+    every = F.array_sort(F.collect_list(F.struct("ord", "n_params", "is_virtual", "is_pure")))
+    methods = model.methods.groupBy(F.col("type_id").alias("type"), F.col("name").alias("method")).agg(every.alias("overloads"))
+    first = lambda arity: F.get(F.filter("overloads", lambda m: arity.isNull() | (m["n_params"] == 0) | (m["n_params"] == arity)), F.lit(0))
+    exactly = lambda a: F.coalesce(~first(a["arity"])["is_virtual"], F.lit(False))
+    # a row a method of a static type, with the arities that are asked of it: those that its own method settles, and the others
+    wanted = asked.join(bases, "static_type").groupBy("root", "static_type", "method").agg(F.collect_list(F.struct("arity")).alias("arities"))
+    wanted = wanted.join(methods.withColumnRenamed("type", "root"), ["root", "method"], "left")
+    wanted = cut(wanted.select("root", "static_type", "method", F.filter("arities", exactly).alias("exact"), F.filter("arities", lambda a: ~exactly(a)).alias("open")))
+    exact = wanted.select("static_type", "method", F.explode("exact").alias("a")).select("static_type", "method", "a.arity", F.col("static_type").alias("type"), F.lit("not virtual").alias("reason"))
+    asked_below = wanted.where(F.size("open") > 0).select("root", "static_type", "method", "open")
+    below = subtrees(model.relations, asked_below.select(F.col("root").alias("id"))).select("root", "type")
+    # what a type answers is told before it meets the types above it; rows meet once more, by method of a static type, and are counted and ranked there
+    known = evidence(model).select(F.col("id").alias("type"), "reason").where("reason <> 'abstract'").join(model.types.select(F.col("id").alias("type"), F.col("qualified").alias("owner")), "type")
+    answers = cut(methods.where(F.exists("overloads", lambda m: ~m["is_pure"])).join(known, "type"))
+    met = below.join(answers.hint("merge"), "type").select("root", "method", "owner", "reason", "overloads").join(asked_below.hint("merge"), ["root", "method"])
+    found = met.select("root", "static_type", "method", "owner", "reason", "overloads", F.explode("open").alias("a")).select("*", "a.arity").where(~first(F.col("arity"))["is_pure"])
+    found = found.select("root", *key, F.col("owner").alias("type"), "reason", F.when(F.col("reason").isin("member", "held"), "strong").otherwise("none").alias("strength"))
+    counts = found.groupBy("root", *key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("strength") == "strong").alias("strong")).drop("root")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    tally = lambda rows, n, strong, is_exact: rows.select(*key, n.alias("n"), strong.alias("strong"), F.lit(is_exact).alias("exact"))
+    told = tally(asked, zero, zero, False).unionByName(tally(exact, one, one, True)).unionByName(tally(counts, F.col("n"), F.col("strong"), False))
+    told = told.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("strong").alias("strong"), F.max("exact").alias("exact"))
+    n = F.col("n")
     resolution = F.when(F.col("exact"), "exact").when(n == 0, "unresolved").when(n == 1, "devirtualised").when((F.col("strong") > 0) & (F.col("strong") < n), "rta").otherwise("cha")
     certainty = F.when(F.col("resolution").isin("exact", "devirtualised"), "certain").when(F.col("resolution") == "unresolved", "unknown").otherwise("bounded")
-    calls = asked.join(counts, "call", "left").withColumn("resolution", resolution).select(*key, "resolution", certainty.alias("certainty"), n.alias("n"))
-    order = Window.partitionBy("call").orderBy(F.desc("strength"), "type")
-    ranked = found.withColumn("rank", F.row_number().over(order)).join(asked, "call")
+    calls = told.withColumn("resolution", resolution).select(*key, "resolution", certainty.alias("certainty"), n.alias("n"))
+    order = Window.partitionBy("root", *key).orderBy(F.desc("strength"), "type")
+    ranked = found.withColumn("rank", F.row_number().over(order)).drop("root").unionByName(exact.withColumns({"strength": F.lit("strong"), "rank": F.lit(1)}))
     return calls, ranked.select(*key, "rank", F.concat("type", F.lit("::"), "method").alias("target"), "type", "reason", "strength")
 
 
@@ -136,12 +148,20 @@ def expand(model: Model, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame,
 
 
 def tables_of_targets(model: Model) -> DataFrame:
-    """Rows (type, method, target): the method that an object of the type answers with: its own, else that of the nearest base, of equally near ones the first in the model."""
-    own = model.methods.where("not is_pure").groupBy(F.col("type_id").alias("root"), F.col("name").alias("method")).agg(F.min("ord").alias("ord"))
-    below = subtrees(model.relations, own.select(F.col("root").alias("id")))
-    names = model.types.select(F.col("id").alias("root"), "qualified", F.col("ord").alias("place"))
-    every = own.join(below, "root").join(names, "root")
-    return every.groupBy("type", "method").agg(F.min_by(F.concat("qualified", F.lit("::"), "method"), F.struct("depth", "place")).alias("target"))
+    """Rows (type, method, target): the method that an object of the type answers with: its own, else that of the nearest base, of equally near ones the first in the model.
+
+    A round hands what the last one found on to the types derived from it that have no answer yet: what is nearest to a type is
+    nearest to one of its bases too, so each method of a type is handed on once.
+    """
+    names = model.types.select(F.col("id").alias("type"), "qualified", F.col("ord").alias("place"))
+    own = model.methods.where("not is_pure").select(F.col("type_id").alias("type"), F.col("name").alias("method")).distinct().join(names, "type")
+    front = cut(own.select("type", "method", "place", F.concat("qualified", F.lit("::"), "method").alias("target")))
+    edges, done = cut(derived(model.relations)), front
+    while not front.isEmpty():
+        step = front.withColumnRenamed("type", "base").join(edges.hint("merge"), "base").join(done.select("type", "method").hint("merge"), ["type", "method"], "left_anti")
+        front = cut(step.groupBy("type", "method").agg(F.min(F.struct("place", "target")).alias("t")).select("type", "method", "t.*"))
+        done = done.unionByName(front)
+    return done.select("type", "method", "target")
 
 
 def live(model: Model, direct: DataFrame, virtual: DataFrame, creates: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -150,30 +170,32 @@ def live(model: Model, direct: DataFrame, virtual: DataFrame, creates: DataFrame
     direct (src, dst) are plain calls, virtual (src, static_type, method) calls through a method, creates (src, type)
     where a function makes an object of a type; types are ids. A function is reached by a plain call, or if a
     reached function calls a method through a type at or above a live type that answers with it; a type is live when a
-    reached function makes it. A round takes only what the last one found: new methods with all live types,
-    new types with all methods called.
+    reached function makes it. A round takes only what the last one found; methods that are called go down one step of
+    the hierarchy a round, so a method of a type is handed on once, whatever the types above through which it is called.
     """
-    answers = cut(tables_of_targets(model))
-    above = cut(subtrees(model.relations, virtual.select(F.col("static_type").alias("id"))).select(F.col("root").alias("static_type"), "type"))
+    answers, edges = cut(tables_of_targets(model)), cut(derived(model.relations))
 
     def new(rows: DataFrame, seen: DataFrame | None) -> DataFrame:
         rows = rows.distinct()
-        return cut(rows if seen is None else rows.join(seen, rows.columns, "left_anti"))
+        return cut(rows if seen is None else rows.join(seen.hint("merge"), rows.columns, "left_anti"))
 
     def joined(seen: DataFrame | None, rows: DataFrame) -> DataFrame:
         return rows if seen is None else cut(seen.unionByName(rows))
 
     reached = front = new(roots.select("node"), None)
-    slots = types = None
-    while not front.isEmpty():
+    called = types = fresh_called = None  # called: the methods (type, method) that are called through the type or one above it
+    while not front.isEmpty() or (fresh_called is not None and not fresh_called.isEmpty()):
         by = front.withColumnRenamed("node", "src")
-        fresh_slots = new(virtual.join(by, "src", "left_semi").select("static_type", "method"), slots)
+        slots = virtual.join(by, "src", "left_semi").select(F.col("static_type").alias("type"), "method")
+        if fresh_called is not None:
+            slots = slots.unionByName(fresh_called.withColumnRenamed("type", "base").join(edges.hint("merge"), "base").select("type", "method"))
+        fresh_called = new(slots, called)
         fresh_types = new(creates.join(by, "src", "left_semi").select("type"), types)
         all_types = joined(types, fresh_types)
-        pairs = fresh_slots.join(above, "static_type").join(all_types, "type", "left_semi")
-        if slots is not None:
-            pairs = pairs.unionByName(slots.join(above.join(fresh_types, "type", "left_semi"), "static_type"), allowMissingColumns=True)
-        dispatched = pairs.select("type", "method").distinct().join(answers, ["type", "method"]).select(F.col("target").alias("node"))
+        pairs = fresh_called.join(all_types, "type", "left_semi")
+        if called is not None:
+            pairs = pairs.unionByName(called.join(fresh_types, "type", "left_semi"))
+        dispatched = pairs.join(answers.hint("merge"), ["type", "method"]).select(F.col("target").alias("node"))
         front = new(direct.join(by, "src", "left_semi").select(F.col("dst").alias("node")).unionByName(dispatched), reached)
-        slots, types, reached = joined(slots, fresh_slots), all_types, joined(reached, front)
+        called, types, reached = joined(called, fresh_called), all_types, joined(reached, front)
     return reached, types if types is not None else creates.select("type").limit(0)

@@ -2,7 +2,10 @@
 
 import pytest
 
+from buildscope.operators import constructs as C
+from buildscope.operators import dispatch as D
 from buildscope.operators import flow as W
+from buildscope.operators import longest as G
 from buildscope.operators import source as S
 
 NODE = "file string, id int, parent int, pos int, kind string, name string, type string, line int, begin int, end int, storage string, init string"
@@ -50,3 +53,38 @@ def test_comments_broadcast_no_lines(spark):
     got = S.comments_of(lines, r"^\s*(\.\w+)\s*:")
     assert "Broadcast" not in plan(got)
     assert {(r.name, r.comment) for r in got.collect()} == {(".x", "one"), (".y", "")}
+
+
+def test_longest_ways_broadcast_no_nodes(spark, monkeypatch):
+    plans, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: plans.append(plan(df)) or cut(df))
+    edges = spark.createDataFrame([(3, 1), (4, 1), (4, 3), (5, 4), (5, 3)], "src long, dst long")
+    got = G.longest(edges, spark.createDataFrame([(k, 1) for k in (1, 3, 4, 5)], "node long, weight int"))
+    assert {r.node: r.worst for r in got.collect()} == {1: 1, 3: 2, 4: 3, 5: 4}
+    assert not any("Broadcast" in p for p in [*plans, plan(got)])
+
+
+def test_constructs_are_not_dealt_by_type(spark):
+    node = NODE + ", col int, mangled string, cast string, cleanups boolean, array boolean"
+    nodes = spark.createDataFrame([("f", k, None, k, "CXXConstructExpr", None, t, k, k, k, None, None, 1, None, None, None, None) for k, t in enumerate(["ns::Box", "Cup", None])], node)
+    got = C.node_constructs(nodes, destructors=spark.createDataFrame([("ns::Box",)], "type string"))
+    assert "hashpartitioning(_type" not in plan(got)
+    assert sorted((r.line, r.subject, r.certain) for r in got.collect()) == [(0, "ns::Box", True), (1, "Cup", False), (2, None, False)]
+
+
+def test_subtrees_compare_types_of_several_bases_alone(spark, monkeypatch):
+    monkeypatch.setattr(D, "cut", lambda df: df)  # whole plans
+    relations = spark.createDataFrame([("B", "A", "inheritance"), ("C", "B", "inheritance"), ("A", "C", "inheritance")], "src string, dst string, kind string")
+    got = D.subtrees(relations, spark.createDataFrame([("A",), ("B",)], "id string"))
+    assert sorted(map(tuple, got.collect())) == [("A", "A", 0), ("A", "B", 1), ("A", "C", 2), ("B", "A", 2), ("B", "B", 0), ("B", "C", 1)]
+
+
+def test_calls_meet_targets_once(spark):
+    row = lambda text, *rows: spark.createDataFrame(rows, text)
+    types = row("id string, name string, qualified string, is_abstract boolean, ord int", ("a", "A", "A", False, 0), ("b", "B", "B", False, 1))
+    methods = row("type_id string, ord int, name string, n_params long, is_virtual boolean, is_pure boolean", ("a", 0, "f", 0, True, False), ("b", 0, "f", 2, True, False))
+    model = D.Model(types, row("src string, dst string, kind string, ord int", ("b", "a", "inheritance", 0)), row("type_id string, ord int, name string, type string", ("a", 0, "m", "B")), methods)
+    calls, targets = D.resolve(model, row("static_type string, method string, arity int", ("A", "f", None), ("A", "f", 1), ("A", "f", 2)))
+    assert plan(targets).count("Exchange hashpartitioning(root") <= 2  # methods of a static type, and types with those above
+    assert {(r.arity, r.resolution, r.n) for r in calls.collect()} == {(None, "rta", 2), (1, "devirtualised", 1), (2, "rta", 2)}
+    assert [(r.arity, r.rank, r.type) for r in targets.orderBy("arity", "rank").collect()] == [(None, 1, "B"), (None, 2, "A"), (1, 1, "A"), (2, 1, "B"), (2, 2, "A")]
