@@ -41,34 +41,37 @@ def strong(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def settled(edges: DataFrame, weights: DataFrame) -> DataFrame:
-    """Rows (node, worst, next): nodes from which no circle is reached; of equal successors next is the least, and null at an end."""
+    """Rows (node, worst, next): nodes from which no circle is reached; of equal successors next is the least, and null at an end.
+
+    Joins are merges: what is settled grows with the nodes, and broadcasts of it, one or more a round, would go through the driver.
+    """
     out = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("only"))
-    nodes = weights.join(out, "node", "left")
+    nodes = weights.join(out.hint("merge"), "node", "left")
     one = F.col("n") == 1
     rows = nodes.select(F.lit(0).alias("space"), "node", F.when(one, F.col("only")).alias("to"), F.when(one, F.col("weight")).otherwise(F.lit(0).cast("long")).alias("sum"), F.col("node").alias("end"))
     chains = followed(rows, ["space"], "node", "to", {"sum": lambda a, b: a + b, "end": lambda a, b: b}).where("to is null").select("node", "sum", "end")
     chains = cut(chains)
     # ways of the branching nodes: to the end of each successor's chain, and what lies on it
     hubs = nodes.where("n > 1").select(F.col("node").alias("src"))
-    ways = cut(edges.join(hubs, "src", "left_semi").join(chains.withColumnRenamed("node", "dst"), "dst", "left").select("src", "dst", "sum", "end"))
+    ways = cut(edges.join(hubs.hint("merge"), "src", "left_semi").join(chains.withColumnRenamed("node", "dst").hint("merge"), "dst", "left").select("src", "dst", "sum", "end"))
     done = cut(nodes.where("n is null").select("node", F.col("weight").alias("worst"), F.lit(None).cast(weights.schema["node"].dataType).alias("next")))
     new, waiting = done, cut(ways.groupBy("src").agg(F.count(F.lit(1)).alias("left")))
     best = None
     while not new.isEmpty():
-        met = ways.join(new.select(F.col("node").alias("end"), "worst"), "end").select("src", "dst", (F.col("sum") + F.col("worst")).alias("value"))
+        met = ways.join(new.select(F.col("node").alias("end"), "worst").hint("merge"), "end").select("src", "dst", (F.col("sum") + F.col("worst")).alias("value"))
         met = met.select("src", F.lit(1).alias("n"), F.struct("value", F.col("dst").alias("by")).alias("b"))
         both = met if best is None else met.unionByName(best)
         # of the greatest values the least successor
         most = both.groupBy("src").agg(F.sum("n").alias("n"), F.max("b.value").alias("value"))
-        by = both.join(most.select("src", "value"), "src").where("b.value = value").groupBy("src").agg(F.min("b.by").alias("by"))
-        best = cut(most.join(by, "src").select("src", F.col("n").cast("int").alias("n"), F.struct("value", "by").alias("b")))
-        ready = best.join(waiting, "src").where("n = left")
+        by = both.join(most.select("src", "value").hint("merge"), "src").where("b.value = value").groupBy("src").agg(F.min("b.by").alias("by"))
+        best = cut(most.join(by.hint("merge"), "src").select("src", F.col("n").cast("int").alias("n"), F.struct("value", "by").alias("b")))
+        ready = best.join(waiting.hint("merge"), "src").where("n = left")
         own = weights.select(F.col("node").alias("src"), "weight")
-        new = cut(ready.join(own, "src").select(F.col("src").alias("node"), (F.col("weight") + F.col("b.value")).alias("worst"), F.col("b.by").alias("next")))
-        best = best.join(new.select(F.col("node").alias("src")), "src", "left_anti")
+        new = cut(ready.join(own.hint("merge"), "src").select(F.col("src").alias("node"), (F.col("weight") + F.col("b.value")).alias("worst"), F.col("b.by").alias("next")))
+        best = best.join(new.select(F.col("node").alias("src")).hint("merge"), "src", "left_anti")
         done = done.unionByName(new)
     ends = cut(done)
-    singles = nodes.where(one).select("node", "only").join(chains, "node").join(ends.select(F.col("node").alias("end"), "worst"), "end")
+    singles = nodes.where(one).select("node", "only").join(chains.hint("merge"), "node").join(ends.select(F.col("node").alias("end"), "worst").hint("merge"), "end")
     return ends.unionByName(singles.select("node", (F.col("sum") + F.col("worst")).alias("worst"), F.col("only").alias("next")))
 
 
@@ -80,11 +83,11 @@ def longest(edges: DataFrame, weights: DataFrame) -> DataFrame:
     """
     own = cut(weights.select("node", F.col("weight").cast("long").alias("weight")))
     known = own.select("node")
-    every = edges.select("src", "dst").distinct().join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    every = edges.select("src", "dst").distinct().join(known.withColumnRenamed("node", "src").hint("merge"), "src", "left_semi").join(known.withColumnRenamed("node", "dst").hint("merge"), "dst", "left_semi")
     every = cut(every)
     between, loops = every.where("src <> dst"), every.where("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("loop"))
     plain = cut(settled(between, own))
-    left = cut(own.join(plain, "node", "left_anti"))
+    left = cut(own.join(plain.hint("merge"), "node", "left_anti"))
     out = plain.withColumns({"component": F.col("node"), "circle": F.lit(False)})
     if not left.isEmpty():
         ways = cut(between.join(left.select(F.col("node").alias("src")), "src", "left_semi"))
@@ -98,7 +101,7 @@ def longest(edges: DataFrame, weights: DataFrame) -> DataFrame:
         got = settled(cut(joined), cut(sums.select("node", "weight").unionByName(below)))
         told = sums.select(F.col("node").alias("component"), (F.col("size") > 1).alias("circle")).join(got.withColumnRenamed("node", "component"), "component")
         out = out.unionByName(component.join(told, "component").select("node", "worst", "next", "component", "circle"))
-    return out.join(loops, "node", "left").select("node", "worst", "next", "component", (F.col("circle") | F.coalesce("loop", F.lit(False))).alias("recursive"))
+    return out.join(loops.hint("merge"), "node", "left").select("node", "worst", "next", "component", (F.col("circle") | F.coalesce("loop", F.lit(False))).alias("recursive"))
 
 
 def ways(found: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
