@@ -50,7 +50,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .components import components
-from .superkmer import compressor, decompressor, dictionary
+from .superkmer import compressed, compressor, decompressor, dictionary
+from .superkmer import texts as unsqueezed
 from .tables import packed, summed, unpacked
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -339,11 +340,24 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without all but one row of each class: that of the least doc_id, nulls last, and of its texts that with the least rid."""
+    """docs without all but one row of each class: that of the least doc_id, nulls last, and of its texts that with the least rid.
+
+    Whole texts travel once, compressed: the ids that are kept and rows that repeat meet them at the same keys.
+    """
     docs, names = C.set_apart(docs, ("doc_id", "text"))
     own = classes(docs, threshold)
+    identity = lambda c: F.coalesce(c, F.lit(C.NULL_ID))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first")
-    kept = own.groupBy("label").agg(first).select(F.col("first.doc_id").alias("__kept"), F.col("first.rid").alias("__kept_rid"))
-    key = docs.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumn("__id", F.col("doc_id").cast("long"))
-    out = key.join(kept, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__rid") == F.col("__kept_rid")), "left_semi")
-    return C.set_back(out.dropDuplicates(["__id", "__rid"]), names)
+    kept = own.groupBy("label").agg(first).select(identity(F.col("first.doc_id")).alias("__id"), F.col("first.rid").alias("__rid"))
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    key = rows.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), "text")).withColumn("__id", identity(F.col("doc_id").cast("long")))
+    shared = dictionary(rows)
+    out = compressed(key, shared).join(kept.hint("merge"), ["__id", "__rid"], "left_semi").dropDuplicates(["__id", "__rid"]).select(*docs.columns)
+
+    def restore(batches):
+        coder = decompressor(shared.value)
+        for batch in batches:
+            text = pa.array([None if t is None else t.decode() for t in unsqueezed(batch, coder)], pa.string())
+            yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
+
+    return C.set_back(out.mapInArrow(restore, rows.schema).withColumn("text", F.col("text").cast(docs.schema["text"].dataType)), names)

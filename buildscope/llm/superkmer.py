@@ -405,10 +405,8 @@ def repeated_spans(docs: DataFrame, words: bool, width: int, gram: int, least: C
     return C.stored(spans, "spans")  # so that the pieces' shuffle files go before the texts are shuffled
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, shared) -> DataFrame:
-    """docs with the list of each row's packed spans as __spans (null if none) and text compressed; see texts."""
-    by = spans.groupBy("doc_id", "rid").agg(F.collect_list("spans").alias("__spans")).withColumnsRenamed({"doc_id": "__id", "rid": "__rid"})
-    left = docs.withColumn("__rid", row_key(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)))
+def compressed(rows: DataFrame, shared) -> DataFrame:
+    """rows with text compressed, null where it is null; see texts."""
 
     def squeeze(batches):
         coder = compressor(shared.value, 3)
@@ -416,12 +414,19 @@ def with_spans(docs: DataFrame, spans: DataFrame, shared) -> DataFrame:
             text = pa.array([None if t is None else coder.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
 
-    small = left.mapInArrow(squeeze, left.withColumn("text", F.lit(None).cast("binary")).schema)
+    return rows.mapInArrow(squeeze, rows.withColumn("text", F.lit(None).cast("binary")).schema)
+
+
+def with_spans(docs: DataFrame, spans: DataFrame, shared) -> DataFrame:
+    """docs with the list of each row's packed spans as __spans (null if none) and text compressed; see texts."""
+    by = spans.groupBy("doc_id", "rid").agg(F.collect_list("spans").alias("__spans")).withColumnsRenamed({"doc_id": "__id", "rid": "__rid"})
+    left = docs.withColumn("__rid", row_key(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)))
+    small = compressed(left, shared)
     return small.join(by, ["__id", "__rid"], "left").drop("__id", "__rid")
 
 
 def texts(batch: pa.RecordBatch, coder: zstandard.ZstdDecompressor) -> list[bytes | None]:
-    """The texts of a batch of with_spans in UTF-8."""
+    """The texts of a batch of compressed or with_spans in UTF-8."""
     return [None if t is None else coder.decompress(t) for t in batch.column("text").to_pylist()]
 
 
