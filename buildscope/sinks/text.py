@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,8 +100,34 @@ def write_files(rows: DataFrame, path: str, eol: str = "\n") -> None:
 
 
 def write_whole(rows: DataFrame, path: str) -> None:
-    """Texts (file, text) under path, each in a file of its own, ended by a line feed, in a folder file=name."""
-    rows.select(F.coalesce("file", F.lit("")).alias("file"), "text").repartition("file").write.partitionBy("file").option("maxRecordsPerFile", 1).text(path)
+    """Texts (file, text) under path, each in a file of its own, file=name, ended by a line feed; the second of a name is in a folder copy=1, and so on.
+
+    All tasks write, by Arrow: Spark's writer takes a folder and several processes a file, and the driver moves each.
+    That writer is used, with a folder file=name a name, where Arrow does not know the file system.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = rows.select(F.coalesce("file", F.lit("")).alias("file"), F.coalesce("text", F.lit("")).alias("text")).repartition(n, "file")  # a number given is not coalesced
+    try:
+        system, root = FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, OSError):
+        own.write.partitionBy("file").options(**{"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}).text(path)
+        return
+    system.create_dir(root, recursive=True)
+
+    def run(batches):
+        there, at = FileSystem.from_uri(path)
+        seen: Counter = Counter()
+        for batch in batches:
+            for file, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                folder = f"{at}/copy={seen[file]}" if seen[file] else at
+                if seen[file]:
+                    there.create_dir(folder, recursive=True)
+                seen[file] += 1
+                with there.open_output_stream(f"{folder}/file={quote(file, safe='')}") as out:
+                    out.write(f"{text}\n".encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    own.mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def retained(files: DataFrame, size: str, newest: str, most: int, keep: int) -> DataFrame:
