@@ -21,20 +21,25 @@ from .graph import cut, pinned
 ROWS = 1 << 20
 
 
+def dealt(rows: DataFrame, file: str, place: str, size: int) -> DataFrame:
+    """rows by ranges of about so many, with the range's number in _part; as many ranges as cores, if they are not very small then."""
+    count, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    n = max(1, -(-count // size), min(cores, count // max(1, size // 64)))
+    return rows.repartitionByRange(n, file, place).withColumn("_part", F.spark_partition_id())
+
+
 def ranged(rows: DataFrame, file: str, place: str, size: int = ROWS) -> DataFrame:
-    """rows stored in ranges of about so many, with the range's number in _part, in order within it."""
-    n = max(1, -(-rows.count() // size))
-    dealt = rows.repartitionByRange(n, file, place).sortWithinPartitions(file, place)
-    return pinned(dealt.withColumn("_part", F.spark_partition_id()))
+    """rows stored in ranges of about so many, a partition each, with the range's number in _part, in order within it."""
+    return pinned(dealt(rows, file, place, size).sortWithinPartitions(file, place))
 
 
 def last_values(rows: DataFrame, file: str, place: str, columns: Sequence[str], size: int = ROWS, own: bool = True) -> DataFrame:
     """rows with the last value that is not null of each of the columns in place of the column: up to and with the row itself, or before it."""
-    dealt = ranged(rows, file, place, size)
+    own_part = cut(dealt(rows, file, place, size))  # a window sorts them itself
     window = Window.partitionBy(file, "_part").orderBy(place)
     upto = window.rowsBetween(Window.unboundedPreceding, 0 if own else -1)
-    inside = dealt.withColumns({f"_in_{c}": F.last(c, ignorenulls=True).over(upto) for c in columns})
-    ends = dealt.groupBy(file, "_part").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(place))).alias(f"_end_{c}") for c in columns))
+    inside = own_part.withColumns({f"_in_{c}": F.last(c, ignorenulls=True).over(upto) for c in columns})
+    ends = own_part.groupBy(file, "_part").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(place))).alias(f"_end_{c}") for c in columns))
     ranges = Window.partitionBy(file).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = ends.select(file, "_part", *(F.last(f"_end_{c}", ignorenulls=True).over(ranges).alias(f"_before_{c}") for c in columns))
     joined = inside.join(before.hint("merge"), [file, "_part"])  # there may be as many files as rows

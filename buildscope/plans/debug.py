@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import debug as D
-from .registry import pick, query, sql_pick
+from .registry import pick, query, spread, sql_pick
 from .texts import lined, through_files
 
 
@@ -40,7 +40,7 @@ def listing(t):
         entry(72, 3, "base_type"), value("byte_size", F.concat(F.lit("0x0"), F.pow(F.lit(2), k % 4).cast("int"))),
     ]
     rows = F.array(*(F.struct((k * 64 + i).alias("line_no"), x.alias("line")) for i, x in enumerate(texts)))
-    return through_files(t.part.select(F.concat(F.lit("u"), k % 3).alias("file"), F.explode(rows).alias("l")).select("file", "l.*").where("line is not null"))
+    return through_files(spread(t.part).select(F.concat(F.lit("u"), k % 3).alias("file"), F.explode(rows).alias("l")).select("file", "l.*").where("line is not null"))
 
 
 # The size of the type T of a part: that of its base type, or of the part three before it in the same file.

@@ -182,10 +182,12 @@ def entries(rows: DataFrame, size: int = carry.ROWS) -> DataFrame:
     """
     got = lambda pattern, k: F.regexp_extract("line", pattern, k)
     line = F.col("line")
-    own = rows.select("file", "line_no", F.regexp_replace("line", "\r$", "").alias("line")).where(line.rlike(ENTRY_LINE) | line.rlike(ATTRIBUTE_LINE))
-    is_entry = line.rlike(ENTRY_LINE)
+    # plain searches first: most of the time goes into patterns
+    is_entry, is_attribute = line.startswith("0x") & line.rlike(ENTRY_LINE), line.contains("DW_AT_") & line.rlike(ATTRIBUTE_LINE)
+    own = rows.select("file", "line_no", F.when(line.contains("\r"), F.regexp_replace("line", "\r$", "")).otherwise(line).alias("line")).where(is_entry | is_attribute)
     real = is_entry & (got(ENTRY_LINE, 3) != "NULL")
     marked = own.select("file", "line_no", "line", F.when(real, hexadecimal(got(ENTRY_LINE, 1))).alias("entry"), F.when(is_entry, F.when(real, hexadecimal(got(ENTRY_LINE, 1))).otherwise(F.lit(-1).cast("long"))).alias("of"))
+    marked = cut(marked)  # ranges are counted, sampled and dealt
     held = cut(carry.last_values(marked, "file", "line_no", ["of"], size))
     depth = F.greatest(F.lit(0), F.floor((F.length(got(ENTRY_LINE, 2)) - 1) / 2)).cast("long")
     heads = held.where("entry is not null").select("file", "line_no", "entry", got(ENTRY_LINE, 3).alias("tag"), depth.alias("depth"))
@@ -248,7 +250,7 @@ def observed(rows: DataFrame, size: int = carry.ROWS) -> tuple[DataFrame, DataFr
     """
     every = cut(entries(rows, size))
     said = F.lower(F.regexp_extract("line", r"(?i)addr_size\s*=\s*(0x[0-9a-f]+|\d+)", 1))
-    address = rows.where(said != "").groupBy("file").agg(F.min_by(number(said), "line_no").alias("_address"))
+    address = rows.where(F.lower("line").contains("addr_size")).where(said != "").groupBy("file").agg(F.min_by(number(said), "line_no").alias("_address"))
     every = every.join(address, "file", "left").withColumn("_address", F.when(F.col("_address") > 0, F.col("_address")).otherwise(F.lit(4).cast("long")))
     attribute = lambda name: F.col("attributes").getItem(name)
     quoted = lambda c: F.nullif(F.regexp_extract(c, '"([^"]*)"', 1), F.lit(""))
