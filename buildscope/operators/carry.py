@@ -46,10 +46,10 @@ def last_values(rows: DataFrame, file: str, place: str, columns: Sequence[str],
     return joined.select(*(F.coalesce(f"_in_{c}", f"_before_{c}").alias(c) if c in columns else F.col(c) for c in rows.columns))
 
 
-def prefixes(rows: DataFrame, file: str, place: str, summary: Callable[[dict], bytes], compose: Callable[[bytes, bytes], bytes], nothing: bytes, size: int = ROWS) -> DataFrame:
+def prefixes(rows: DataFrame, file: str, place: str, summary: Callable[[dict], bytes], compose: Callable[[bytes, bytes], bytes], nothing: bytes, size: int = ROWS, uses: Sequence[str] | None = None) -> DataFrame:
     """rows with `before`: the summaries of all rows before it in its file, composed; nothing for a file's first.
 
-    summary(row) tells in bytes what a row, given as a dictionary, does; compose(a, b) what a and then b do, and
+    summary(row) tells in bytes what a row, given as a dictionary of the columns that it uses (all, if not told), does; compose(a, b) what a and then b do, and
     must be associative. The sizes of what compose() gives must not grow with the rows.
     """
     own = ranged(rows, file, place, size)
@@ -59,9 +59,10 @@ def prefixes(rows: DataFrame, file: str, place: str, summary: Callable[[dict], b
         at, upto = None, nothing
         for batch in batches:
             inside, after = [], []
-            for row in batch.to_pylist():
-                if (row[file], row["_part"]) != at:
-                    at, upto = (row[file], row["_part"]), nothing
+            told = batch.select(list(uses)) if uses is not None else batch
+            for key, part, row in zip(batch.column(file).to_pylist(), batch.column("_part").to_pylist(), told.to_pylist(), strict=True):
+                if (key, part) != at:
+                    at, upto = (key, part), nothing
                 inside.append(upto)
                 upto = compose(upto, summary(row))
                 after.append(upto)

@@ -191,7 +191,7 @@ def entries(rows: DataFrame, size: int = carry.ROWS) -> DataFrame:
     held = cut(carry.last_values(marked, "file", "line_no", ["of"], size))
     depth = F.greatest(F.lit(0), F.floor((F.length(got(ENTRY_LINE, 2)) - 1) / 2)).cast("long")
     heads = held.where("entry is not null").select("file", "line_no", "entry", got(ENTRY_LINE, 3).alias("tag"), depth.alias("depth"))
-    nested = carry.prefixes(heads, "file", "line_no", _nested, _stacked, _EMPTY, size)
+    nested = carry.prefixes(heads, "file", "line_no", _nested, _stacked, _EMPTY, size, uses=("depth", "entry"))
     parent = parent_of(F.col("before"), F.col("depth"))
     attributes = held.where("entry is null and of >= 0").groupBy("file", F.col("of").alias("entry"), got(ATTRIBUTE_LINE, 1).alias("name")).agg(F.max_by(got(ATTRIBUTE_LINE, 2), "line_no").alias("value"))
     attributes = attributes.groupBy("file", "entry").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("attributes"))
