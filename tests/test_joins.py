@@ -5,8 +5,10 @@ import pytest
 from buildscope.operators import constructs as C
 from buildscope.operators import dispatch as D
 from buildscope.operators import flow as W
+from buildscope.operators import located as L
 from buildscope.operators import longest as G
 from buildscope.operators import source as S
+from buildscope.plans import queries as Q
 
 NODE = "file string, id int, parent int, pos int, kind string, name string, type string, line int, begin int, end int, storage string, init string"
 
@@ -88,3 +90,24 @@ def test_calls_meet_targets_once(spark):
     assert plan(targets).count("Exchange hashpartitioning(root") <= 2  # methods of a static type, and types with those above
     assert {(r.arity, r.resolution, r.n) for r in calls.collect()} == {(None, "rta", 2), (1, "devirtualised", 1), (2, "rta", 2)}
     assert [(r.arity, r.rank, r.type) for r in targets.orderBy("arity", "rank").collect()] == [(None, 1, "B"), (None, 2, "A"), (1, 1, "A"), (2, 1, "B"), (2, 2, "A")]
+
+
+def test_every_pair_is_an_equi_join(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 3)  # 24 values a list
+    left = spark.createDataFrame([(k % 3 if k else None, k if k % 10 else None) for k in range(90)] + [(1, 7)] * 40 + [(9, 1)], "c int, a long")
+    right = spark.createDataFrame([(k % 4 if k else None, f"m{k}" if k % 7 else None) for k in range(50)] + [(8, "m")], "c int, b string")
+    got, want = L.every_pair(left, right, "c", "a", "b"), left.join(right, "c")
+    key = lambda df: sorted(map(str, df.collect()))
+    assert got.dtypes == want.dtypes and key(got) == key(want)
+    assert L.every_pair(left, right.limit(0), "c", "a", "b").count() == 0
+
+
+def test_fan_out_takes_little_disk(spark, tmp_path):
+    """A million rows, which took two bytes each where the methods of 50 classes alternated; one class is the work of many tasks."""
+    spark.range(2500).selectExpr("id div 50 l_suppkey", "id l_partkey").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(20000).selectExpr("id p_partkey", "50 p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    df = Q.QUERIES["J20_override_fanout"](spark, str(tmp_path))
+    df.write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).distinct().count() == 1_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 500_000
+    assert df.where("class = 7").rdd.glom().map(len).filter(bool).count() > 1
