@@ -212,10 +212,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, blo
     last = None
     for tests in blocks(benchmark, width, block):
         if last is not None:  # a test set of several blocks: each pass is stored, then merged
-            parts.append(C.stored(rows.mapInArrow(_find(last), FOUND), "found"))
+            parts.append(C.stored(rows.mapInArrow(C.tidied(_find(last)), FOUND), "found"))
             last.unpersist()
         last = spark.sparkContext.broadcast(tests)  # arrays of at most some 30 times the block's bytes
-    final = rows.mapInArrow(_find(last), FOUND)
+    final = rows.mapInArrow(C.tidied(_find(last)), FOUND)
     parts.append(C.stored(final, "found") if parts else final)
     if len(parts) == 1:
         return parts[0]
@@ -268,7 +268,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block: int
                     bad[ids] |= np.fromiter((len(h) > 0 for h in found.column("hits").to_pylist()), bool, len(ids))
                 yield batch.filter(pa.array(~bad))
 
-        return kept.mapInArrow(run, kept.schema)
+        return kept.mapInArrow(C.tidied(run), kept.schema)
 
     for tests in blocks(benchmark, width, block):
         if last is not None:

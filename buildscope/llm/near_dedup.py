@@ -188,7 +188,7 @@ def signatures(rows: DataFrame, weigh: Weights) -> DataFrame:
                 nodes.append(key), out.append(band.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["node", "bands"])
 
-    return rows.select("node", "text").mapInArrow(run, "node binary, bands array<long>")
+    return rows.select("node", "text").mapInArrow(C.tidied(run), "node binary, bands array<long>")
 
 
 def prefix(kinds: np.ndarray, weights: np.ndarray, df: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +221,7 @@ def prefixes(texts: DataFrame, weigh: Weights, threshold: float, shared) -> Data
                 before = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found[at]))
                 yield pa.RecordBatch.from_arrays([pa.array([node] * n, pa.binary()), pa.array(np.full(n, w.sum())), pa.array(found), pa.array(onward), before], names=["node", "total", "shingle", "onward", "before"])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, total double, shingle long, onward double, before array<long>")
+    return texts.select("node", "text").mapInArrow(C.tidied(run), "node binary, total double, shingle long, onward double, before array<long>")
 
 
 def undecided_pairs(left: DataFrame, texts: DataFrame, weigh: Weights, threshold: float, shared) -> DataFrame:
@@ -267,7 +267,7 @@ def compared(pairs: DataFrame, texts: DataFrame, weigh: Weights, threshold: floa
             keep = [similarity(weighed(i, s), weighed(j, t)) >= threshold for i, j, s, t in zip(a, b, x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(C.tidied(run), "a binary, b binary")
 
 
 def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -290,7 +290,7 @@ def squeezed(rows: DataFrame, shared) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([coder.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], names=["node", "text"])
 
-    return rows.select("node", "text").mapInArrow(run, "node binary, text binary")
+    return rows.select("node", "text").mapInArrow(C.tidied(run), "node binary, text binary")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -360,4 +360,4 @@ def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             text = pa.array([None if t is None else t.decode() for t in unsqueezed(batch, coder)], pa.string())
             yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
 
-    return C.set_back(out.mapInArrow(restore, rows.schema).withColumn("text", F.col("text").cast(docs.schema["text"].dataType)), names)
+    return C.set_back(out.mapInArrow(C.tidied(restore), rows.schema).withColumn("text", F.col("text").cast(docs.schema["text"].dataType)), names)

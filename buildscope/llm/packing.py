@@ -32,7 +32,9 @@ LENGTH, END = 2048, 1
 #: Bytes of words and ids that a worker keeps, and of words without the punctuation at their end; beyond that it begins anew.
 WORDS, STEMS = 24 << 20, 64 << 20
 #: Words that are given to the tokenizer at a time, and runs of letters that it is given as one text.
-ENCODED = 1 << 13
+ENCODED = 1 << 10
+#: The same two limits where a worker shares its executor with what stages before took.
+SPARING = (8 << 20, 24 << 20)
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, bucket int"
 
@@ -68,11 +70,12 @@ class Encoder:
     letters is marked as such, many runs are encoded as one text. Otherwise words are encoded as they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limits: tuple[int, int] = (WORDS, STEMS)):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.limits = limits  # of words and stems
         self.words, self.stems, self.size, self.stems_size = {}, {b"": b""}, 0, 0
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         normal, pre = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
@@ -105,14 +108,14 @@ class Encoder:
 
     def table(self, words: list[bytes]) -> list[bytes]:
         """Ids of different words."""
-        if self.size > WORDS:  # the words of later texts come from their parts again
+        if self.size > self.limits[0]:  # the words of later texts come from their parts again
             self.words, self.size = {}, 0
         missing = [w for w in words if w not in self.words]
         if not self.folds:
             new = self.encoded(missing)
         else:
             two = [parts(w) for w in missing]
-            if self.stems_size > STEMS:
+            if self.stems_size > self.limits[1]:
                 self.stems, self.stems_size = {b"": b""}, 0
             fresh = self.encoded(list({p for pair in two for p in pair}.difference(self.stems)))
             self.stems |= fresh
@@ -156,9 +159,9 @@ class Encoder:
         return [raw[a:b] for a, b in zip(edge, edge[1:], strict=False)]
 
 
-def token_bytes(texts: pa.Array, path: str) -> list[bytes]:
+def token_bytes(texts: pa.Array, path: str, limits: tuple[int, int] = (WORDS, STEMS)) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers, by this worker's encoder."""
-    return C.held(("tokenizer", path), lambda: Encoder(path))(texts)
+    return C.held(("tokenizer", path, limits), lambda: Encoder(path, limits))(texts)
 
 
 def cuts(n: int, length: int) -> list[int]:
@@ -167,8 +170,8 @@ def cuts(n: int, length: int) -> list[int]:
     return [length] * (n // length) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, step: int = 1000) -> DataFrame:
-    """A row for each piece; ids holds its token ids as little-endian 32-bit integers."""
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, step: int = 250, limits: tuple[int, int] = (WORDS, STEMS)) -> DataFrame:
+    """A row for each piece; ids holds its token ids as little-endian 32-bit integers. step texts are encoded at a time; limits are the bytes of words and stems that a worker keeps."""
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     last = np.array([end], "<u4").tobytes()
@@ -180,7 +183,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
                 batch = whole.slice(k, step)
                 docs_ = batch.column("doc_id").to_pylist()
                 rows = []
-                for doc, raw in zip(docs_, token_bytes(batch.column("text"), tokenizer), strict=True):
+                for doc, raw in zip(docs_, token_bytes(batch.column("text"), tokenizer, limits), strict=True):
                     raw += last
                     at, n = 0, len(raw) // 4
                     for size in cuts(n, length):
@@ -191,8 +194,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
                 names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "bucket"]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                pa.default_memory_pool().release_unused()  # what a batch took is not needed as the next one's
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(C.tidied(run), SCHEMA)
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:

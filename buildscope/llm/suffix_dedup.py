@@ -180,7 +180,7 @@ def cleaned_documents(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     kinds = docs.withColumn("text", F.col("text").cast("string"))
     if "n_chars" in names:
         kinds = kinds.withColumn("n_chars", F.col("n_chars").cast("long"))
-    return C.set_back(K.with_spans(kinds, spans, shared).select(*names, "__spans").mapInArrow(cut, kinds.schema), back)
+    return C.set_back(K.with_spans(kinds, spans, shared).select(*names, "__spans").mapInArrow(C.tidied(cut), kinds.schema), back)
 
 
 __all__ = ["cleaned_documents", "remove_repeated_bytes", "repeated_windows", "sha256"]

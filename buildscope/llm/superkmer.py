@@ -374,7 +374,7 @@ def dealing(rows: DataFrame, words: bool, width: int, gram: int, parts: int, sha
             size = int((at[first + windows + width - 1] - at[first]).sum()) if len(first) else 0
             yield pa.RecordBatch.from_arrays([pa.array(np.append(got[0][few], np.uint64(0)).view(np.int64)), pa.array(np.append(got[1][few], got[1].sum()).astype(np.int64)), pa.array(np.append(np.zeros(few.sum(), np.int64), size)), pa.array(np.arange(few.sum() + 1) == few.sum())], names=["anchor", "n", "size", "total"])
 
-    counts = rows.where(F.pmod(F.shiftright("rid", 8), F.lit(share)) == 0).mapInArrow(count, "anchor long, n long, size long, total boolean").groupBy("anchor", "total").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    counts = rows.where(F.pmod(F.shiftright("rid", 8), F.lit(share)) == 0).mapInArrow(C.tidied(count), "anchor long, n long, size long, total boolean").groupBy("anchor", "total").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
     counts = C.stored(counts, "anchors")
     total, size = counts.where("total").agg(F.sum("n"), F.sum("size")).first()
     wanted = max(BUCKETS, share * (size or 0) // BUCKET)
@@ -400,8 +400,8 @@ def repeated_spans(docs: DataFrame, words: bool, width: int, gram: int, least: C
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", row_key())
     hot, parts, subs = dealing(rows, words, width, gram, C.shuffle_partitions(docs.sparkSession))
-    sent = rows.mapInArrow(_send(words, width, gram, parts, subs, hot, shared), SENT)
-    spans = sent.repartitionById(parts, F.col("pid")).sortWithinPartitions("sub").mapInArrow(_answer(words, width, gram, least, shared), SPANS)
+    sent = rows.mapInArrow(C.tidied(_send(words, width, gram, parts, subs, hot, shared)), SENT)
+    spans = sent.repartitionById(parts, F.col("pid")).sortWithinPartitions("sub").mapInArrow(C.tidied(_answer(words, width, gram, least, shared)), SPANS)
     return C.stored(spans, "spans")  # so that the pieces' shuffle files go before the texts are shuffled
 
 
@@ -414,7 +414,7 @@ def compressed(rows: DataFrame, shared) -> DataFrame:
             text = pa.array([None if t is None else coder.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
 
-    return rows.mapInArrow(squeeze, rows.withColumn("text", F.lit(None).cast("binary")).schema)
+    return rows.mapInArrow(C.tidied(squeeze), rows.withColumn("text", F.lit(None).cast("binary")).schema)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, shared) -> DataFrame:
