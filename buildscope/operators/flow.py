@@ -153,6 +153,7 @@ SCOPES = {
     "FunctionDecl": "function", "CXXMethodDecl": "function", "CompoundStmt": "block", "IfStmt": "if", "ForStmt": "for", "WhileStmt": "while",
     "CXXForRangeStmt": "for each", "CXXTryStmt": "try", "CXXCatchStmt": "catch",
 }
+RAISES = 3  # times that calls go up among the rows of their file, each twice as far as before
 BUILTIN = r"^(void|bool|char|signed|unsigned|short|int|long|float|double|u?int\d+_t|size_t|ptrdiff_t|auto)\b"
 
 
@@ -160,43 +161,78 @@ def named(words: dict[str, str], kind: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in words.items() for x in kv)), kind)
 
 
-def call_sequence(nodes: DataFrame, virtual: DataFrame | None = None) -> DataFrame:
+def _raised(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """rows (file, id, to, guards, kept...) with each `to` moved on to that of the row it names, and that row's guards put before its own.
+
+    A row is sent to where it is and to where it points; both meet there in one order, so rows dealt by file stay where they are.
+    """
+    goes = F.col("to").isNotNull()
+    sent = lambda at, asks: F.struct(F.col(at).alias("_at"), F.lit(asks).alias("_asks"))
+    both = rows.withColumn("_s", F.explode(F.when(goes, F.array(sent("id", False), sent("to", True))).otherwise(F.array(sent("id", False)))))
+    asks, stays = F.col("_s._asks"), F.col("_s._asks") | F.col("to").isNull()
+    both = both.select("file", "id", F.col("_s._at").alias("_at"), asks.alias("_asks"), "to", "guards", *(F.when(stays, F.col(c)).alias(c) for c in kept))
+    met = F.max(F.when(~F.col("_asks"), F.struct("to", "guards"))).over(Window.partitionBy("file", "_at").orderBy("_asks").rowsBetween(Window.unboundedPreceding, 0))
+    moved = both.withColumn("_t", met).where("_asks or to is null")
+    guards = F.when(F.col("_asks") & F.col("_t").isNotNull(), F.concat("_t.guards", "guards")).otherwise(F.col("guards"))
+    return moved.select("file", "id", F.when(F.col("_asks"), F.col("_t.to")).alias("to"), guards.alias("guards"), *kept)
+
+
+def call_sequence(nodes: DataFrame, virtual: DataFrame | None = None, dealt: bool = False) -> DataFrame:
     """Rows (file, pos, step, name, line, guards, virtual): the calls of a file by line, with what each is guarded by, from the outside in.
 
     nodes: file, id, parent, pos (place in the walk), kind, name (of a declaration referred to, or a member), type, line. A call's
     name is that of the declaration its first reference names, perhaps inside a cast; a member call's is its receiver's
     type and the member; a construction's the type's constructor. virtual (name) lists methods known to be so.
+
+    Nodes are dealt by file once, or not at all if they are dealt so already (dealt); all that meets after that is of one file, and
+    is matched where it lies. Calls no deeper than 2 ** RAISES nodes are done then; only files with deeper ones are followed on.
     """
     word = named(GUARDS, F.col("kind"))
-    # what a call or a member needs of its children, in one pass over the nodes; rows are matched by merges, as files are many
-    first = lambda name, *kinds: F.min(F.when(F.col("kind").isin(*kinds), child)).alias(name)
-    child = F.struct("pos", F.col("id").alias("child"), "kind", "name")
-    inner = nodes.where("parent is not null").groupBy("file", F.col("parent").alias("id")).agg(
-        first("ref", "DeclRefExpr"), first("direct", "DeclRefExpr", "ImplicitCastExpr"), first("m", "MemberExpr"), F.min(F.struct("pos", F.col("id").alias("child"), "kind", "name", "type")).alias("r"),
-    ).select("file", "id", F.col("ref.name").alias("ref"), "direct", F.col("m.child").alias("_member"), F.col("m.name").alias("member"), F.col("r.type").alias("first_type"), F.lit(True).alias("_inner"))
     is_call = F.col("kind").isin("CallExpr", "CXXOperatorCallExpr", "CXXMemberCallExpr", "CXXConstructExpr")
-    own = nodes.select("file", "id", "parent", "kind", *(F.when(is_call, F.col(c)).alias(c) for c in ("pos", "type", "line")))
-    every = cut(own.join(inner.hint("merge"), ["file", "id"], "left").where(F.col("_inner") | is_call))
-    # only a node with children is above another
-    chain = every.where("_inner").select("file", "id", F.col("parent").alias("to"), F.when(word.isNotNull(), F.array(word)).otherwise(F.array().cast("array<string>")).alias("guards"))
-    above = followed(chain, ["file"], "id", "to", {"guards": lambda a, b: F.concat(b, a)})
-    guards = above.select("file", F.col("id").alias("parent"), "guards")
-    below = F.when(F.col("kind") == "CXXMemberCallExpr", F.col("_member")).when(F.col("direct.kind") == "ImplicitCastExpr", F.col("direct.child"))
-    inside = every.where("_inner and kind in ('MemberExpr', 'ImplicitCastExpr')").select("file", F.col("id").alias("_below"), F.col("ref").alias("inside"), F.col("first_type").alias("receiver"))
-    calls = every.where(is_call).withColumn("_below", below).join(inside.hint("merge"), ["file", "_below"], "left")
-    calls = calls.withColumn("callee", F.when(F.col("direct.kind") == "DeclRefExpr", F.col("direct.name")).otherwise(F.col("inside")))
-    kind, own_type = F.col("kind"), F.nullif(bare_type(F.coalesce("type", F.lit(""))), F.lit(""))
-    receiver = F.coalesce(bare_type(F.coalesce("receiver", F.lit(""))), F.lit(""))
+    # a node meets its children: each goes to its own id and to its parent's
+    own, at = F.col("_own"), F.when(F.col("parent").isNotNull(), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    rows = nodes.select("file", "id", "parent", "pos", "kind", "name", "type", "line")
+    rows = (rows if dealt else rows.repartition("file")).withColumn("_own", F.explode(at)).withColumn("_at", F.when(own, F.col("id")).otherwise(F.col("parent")))
+    first = lambda name, *kinds: F.min(F.when(~own & F.col("kind").isin(*kinds), F.struct("pos", F.col("id").alias("child"), "kind", "name"))).over(met).alias(name)
+    met = Window.partitionBy("file", "_at").orderBy("_own").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(
+        "file", "id", "parent", "pos", "kind", "type", "line", "_own", first("ref", "DeclRefExpr"), first("direct", "DeclRefExpr", "ImplicitCastExpr"), first("m", "MemberExpr"), F.min(F.when(~own, F.struct("pos", F.col("id").alias("child"), "type"))).over(met).alias("r"),
+    ).where(own & (F.col("r").isNotNull() | is_call))
+    # a call meets what its cast or member has inside
+    inner, kind = F.col("r").isNotNull(), F.col("kind")
+    tells = inner & kind.isin("MemberExpr", "ImplicitCastExpr") & F.col("parent").isNotNull()
+    bare = bare_type(F.coalesce(F.when(kind == "CXXConstructExpr", F.col("type")).otherwise(F.col("r.type")), F.lit("")))  # once a row, before it is sorted
+    rows = rows.withColumn("type", F.when(tells | (kind == "CXXConstructExpr"), F.nullif(bare, F.lit(""))))
+    rows = rows.withColumn("_own", F.explode(F.when(tells, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))).withColumn("_at", F.when(own, F.col("id")).otherwise(F.col("parent")))
+    told = lambda of: F.min(F.when(~own & (kind == of), F.struct("pos", F.col("id").alias("child"), F.col("ref.name").alias("inside"), F.col("type").alias("receiver")))).over(met)
+    rows = rows.withColumn("_m", told("MemberExpr")).withColumn("_c", told("ImplicitCastExpr")).where(own)
+    inside = F.when(F.col("_c.child") == F.col("direct.child"), F.col("_c.inside"))
+    receiver = F.when(F.col("_m.child") == F.col("m.child"), F.col("_m.receiver"))
     name = (
-        F.when(kind == "CXXMemberCallExpr", F.when(receiver != "", F.concat(receiver, F.lit("::"), "member")).otherwise(F.col("member")))
-        .when(kind == "CXXConstructExpr", F.concat(own_type, F.lit("::"), F.element_at(F.split(own_type, "::"), -1)))
-        .otherwise(F.col("callee"))
+        F.when(kind == "CXXMemberCallExpr", F.concat(F.coalesce(F.concat(receiver, F.lit("::")), F.lit("")), "m.name"))
+        .when(kind == "CXXConstructExpr", F.concat("type", F.lit("::"), F.substring_index("type", "::", -1)))
+        .when(is_call, F.when(F.col("direct.kind") == "DeclRefExpr", F.col("direct.name")).otherwise(inside))
     )
-    steps = calls.withColumn("step_name", name).where("step_name is not null").join(guards.hint("merge"), ["file", "parent"], "left")
-    steps = steps.select("file", "pos", F.col("step_name").alias("name"), "line", F.coalesce("guards", F.array().cast("array<string>")).alias("guards"), (F.col("kind") == "CXXMemberCallExpr").alias("_member"))
-    known = steps.withColumn("virtual", F.lit(False)) if virtual is None else steps.join(virtual.select("name").distinct().withColumn("_v", F.lit(True)), "name", "left").withColumn("virtual", F.col("_member") & F.coalesce("_v", F.lit(False)))
-    step = (F.row_number().over(Window.partitionBy("file").orderBy("line", "pos")) - 1).cast("long")
-    return known.select("file", "pos", step.alias("step"), "name", "line", "guards", "virtual")
+    none = F.array().cast("array<string>")
+    rows = rows.select("file", "id", F.col("parent").alias("to"), F.when(inner & word.isNotNull(), F.array(word)).otherwise(none).alias("guards"), name.alias("name"), "pos", "line", (kind == "CXXMemberCallExpr").alias("_member"), inner.alias("_inner"))
+    rows = rows.where("_inner or name is not null").drop("_inner")
+    kept = ["name", "pos", "line", "_member"]
+    for _ in range(RAISES):
+        rows = _raised(rows, kept)
+    named_ = F.col("name").isNotNull()
+    step = F.row_number().over(Window.partitionBy("file", named_).orderBy("line", "pos")) - 1
+    deep = F.max(F.col("to").isNotNull() & named_).over(Window.partitionBy("file"))
+    rows = cut(rows.withColumn("step", step.cast("long")).withColumn("_deep", deep).where(named_ | F.col("_deep")))
+    steps = rows.where(named_)
+    if not rows.where("_deep").isEmpty():
+        above = followed(rows.where("_deep"), ["file"], "id", "to", {"guards": lambda a, b: F.concat(b, a)})
+        met_ = steps.where("_deep").drop("guards").join(above.select("file", "id", "guards").hint("merge"), ["file", "id"])
+        steps = steps.where("not _deep").unionByName(met_)
+    if virtual is None:
+        known = steps.withColumn("virtual", F.lit(False))
+    else:
+        known = steps.join(virtual.select("name").distinct().withColumn("_v", F.lit(True)), "name", "left").withColumn("virtual", F.col("_member") & F.coalesce("_v", F.lit(False)))
+    return known.select("file", "pos", "step", "name", "line", "guards", "virtual")
 
 
 def scoped(nodes: DataFrame, some: DataFrame, through: str | None = None) -> DataFrame:

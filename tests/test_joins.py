@@ -32,6 +32,29 @@ def test_call_sequence_broadcasts_no_nodes(nodes):
     assert [(r.name, r.guards) for r in got.collect()] == [("go", ["if"])]
 
 
+def test_call_sequence_deals_nodes_once(spark, nodes, monkeypatch):
+    plans, cut = [], W.cut
+    monkeypatch.setattr(W, "cut", lambda df: plans.append(plan(df)) or cut(df))
+    monkeypatch.setattr(W, "followed", None)  # nothing is deep
+    got = W.call_sequence(nodes)
+    assert sum(p.count("Exchange") for p in [*plans, plan(got)]) == 1
+    assert [(r.name, r.guards) for r in got.collect()] == [("go", ["if"])]
+    plans.clear()
+    assert W.call_sequence(nodes.repartition(3, "file"), dealt=True).count() == 1
+    assert sum(p.count("Exchange") for p in plans) == 1
+
+
+def test_call_sequence_of_deep_and_circular_files(spark):
+    deep = [("f", k, k - 1 if k else None, k, "IfStmt" if k % 2 else "ForStmt", None, None, k, k, k, None, None) for k in range(40)]
+    deep += [("f", 40, 39, 40, "CXXConstructExpr", None, "A", 9, 9, 9, None, None), ("f", 41, 3, 41, "CXXConstructExpr", None, "B", 8, 8, 8, None, None)]
+    flat = [("g", 0, None, 0, "IfStmt", None, None, 1, 1, 1, None, None), ("g", 1, 0, 1, "CXXConstructExpr", None, "n::C", 5, 5, 5, None, None), ("g", 2, 77, 2, "CXXConstructExpr", None, "D", 5, 5, 5, None, None)]
+    circle = [("h", 1, 2, 1, "IfStmt", None, None, 1, 1, 1, None, None), ("h", 2, 1, 2, "IfStmt", None, None, 1, 1, 1, None, None), ("h", 3, 2, 3, "CXXConstructExpr", None, "E", 1, 1, 1, None, None)]
+    got = {(r.file, r.step, r.name): r.guards for r in W.call_sequence(spark.createDataFrame(deep + flat + circle, NODE)).collect()}
+    words = ["if" if k % 2 else "for" for k in range(40)]
+    assert set(got.pop(("h", 0, "E::E"))) == {"if"}
+    assert got == {("f", 0, "B::B"): words[:4], ("f", 1, "A::A"): words, ("g", 0, "n::C::C"): ["if"], ("g", 1, "D::D"): []}
+
+
 def test_lifetimes_follow_only_what_is_between_scopes(nodes, monkeypatch):
     monkeypatch.setattr(W, "followed", None)
     scopes, objects, dangling = W.scopes(nodes), W.objects(nodes), W.dangling(nodes)
