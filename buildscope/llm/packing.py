@@ -40,6 +40,7 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+MARKS = frozenset(bytes([c]) for c in PUNCTUATION)
 #: A letter whose lower case ends in a mark, which joins with punctuation.
 DOTTED = "\u0130".encode()
 
@@ -90,7 +91,7 @@ class Encoder:
         if self.last.any():
             runs, single = [], []
             for w in words:
-                (runs if letters(w) else single).append(w)
+                (runs if w.isalpha() or not w.isascii() and letters(w) else single).append(w)
             for a in range(0, len(runs), ENCODED):
                 part = runs[a : a + ENCODED]
                 ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
@@ -110,11 +111,13 @@ class Encoder:
         """Ids of different words."""
         if self.size > self.limits[0]:  # the words of later texts come from their parts again
             self.words, self.size = {}, 0
-        missing = [w for w in words if w not in self.words]
+        ids = list(map(self.words.get, words))
+        places = [k for k, x in enumerate(ids) if x is None]
+        missing = [words[k] for k in places]
         if not self.folds:
             new = self.encoded(missing)
         else:
-            two = [parts(w) for w in missing]
+            two = [parts(w) if w[-1:] in MARKS else (w, b"") for w in missing]
             if self.stems_size > self.limits[1]:
                 self.stems, self.stems_size = {b"": b""}, 0
             fresh = self.encoded(list({p for pair in two for p in pair}.difference(self.stems)))
@@ -124,7 +127,9 @@ class Encoder:
             new = {w: stems[a] + stems[b] if b else stems[a] for w, (a, b) in zip(missing, two, strict=True)}
         self.words |= new
         self.size += taken(new)
-        return list(map(self.words.__getitem__, words))
+        for k, w in zip(places, missing, strict=True):
+            ids[k] = new[w]
+        return ids
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text of a column as little-endian 32-bit integers; a null text has none.
